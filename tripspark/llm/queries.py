@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from tripspark.llm.op1_substring import OP1_SQL, op1_substring
+from tripspark.llm.op4_simhash import op4_simhash
+from tripspark.llm.op7_decontaminate import OP7_SQL, op7_decontaminate
+from tripspark.llm.op8_quality import op8_quality
 from tripspark.llm.op10_bpe import op10_bpe
 
-QUERIES = {"op10_bpe": op10_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_substring": op1_substring, "op4_simhash": op4_simhash, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op10_bpe": op10_bpe}
+ORACLE_SQL: dict[str, str] = {"op1_substring": OP1_SQL, "op7_decontaminate": OP7_SQL}
