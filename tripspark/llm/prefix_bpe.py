@@ -93,22 +93,13 @@ class PrefixBPE:
 
     def extend(self, seq, last: list, size: list) -> None:
         """last[i], size[i]: last token of seq[:i] and its length; continues them from where they end to len(seq)."""
-        ends, pairs, n = self.ends, self.pairs, len(seq)
+        ends, pairs, n = self.ends.get, self.pairs.get, len(seq)
         for i in range(len(last), n + 1):
-            found, j = [], i - 1
-            while j >= 0:
-                t = ends.get(seq[j:i])
-                if t is None:
+            j = i - 1
+            while j >= 0 and (t := ends(seq[j:i])) is not None:
+                if t >= 0 and (j == 0 or (pairs(last[j] << 32 | t) or self.may_follow(last[j], t))):
                     break
-                if t >= 0:
-                    found.append((j, t))
                 j -= 1
-            for j, t in reversed(found):
-                if j == 0:
-                    break
-                ok = pairs.get(last[j] << 32 | t)
-                if ok or ok is None and self.may_follow(last[j], t):
-                    break
             else:
                 j, t = i - 1, -1  # a symbol without a rank
             last.append(t)

@@ -3,10 +3,22 @@
 from __future__ import annotations
 
 from tripspark.llm.op1_substring import OP1_SQL, op1_substring
+from tripspark.llm.op2_winnowing import op2_winnowing
+from tripspark.llm.op3_token_files import op3_token_files
 from tripspark.llm.op4_simhash import op4_simhash
 from tripspark.llm.op7_decontaminate import OP7_SQL, op7_decontaminate
 from tripspark.llm.op8_quality import op8_quality
+from tripspark.llm.op9_counts import op9_counts
 from tripspark.llm.op10_bpe import op10_bpe
 
-QUERIES = {"op1_substring": op1_substring, "op4_simhash": op4_simhash, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op10_bpe": op10_bpe}
+QUERIES = {
+    "op1_substring": op1_substring,
+    "op2_winnowing": op2_winnowing,
+    "op3_token_files": op3_token_files,
+    "op4_simhash": op4_simhash,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_quality": op8_quality,
+    "op9_counts": op9_counts,
+    "op10_bpe": op10_bpe,
+}
 ORACLE_SQL: dict[str, str] = {"op1_substring": OP1_SQL, "op7_decontaminate": OP7_SQL}
