@@ -113,8 +113,9 @@ def _extend(rows: DataFrame, keys: list[str], length: int, window: int) -> DataF
 
 
 def _again(rows: DataFrame, by: list[str], weight) -> DataFrame:
-    """The values of `by` that are found twice or more in the corpus."""
-    return rows.groupBy(*by).agg(F.sum(weight).alias("w_")).filter("w_ > 1").select(*by)
+    """The values of `by` that are found twice or more in the corpus, written out: a join with them then has an exchange
+    of its own on either side, of which Spark can split a hot value's."""
+    return materialize(rows.groupBy(*by).agg(F.sum(weight).alias("w_")).filter("w_ > 1").select(*by), "again")
 
 
 def _with_text(keyed: DataFrame, keys: list[str], text_col: str, runs: DataFrame) -> DataFrame:
