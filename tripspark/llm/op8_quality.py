@@ -26,7 +26,7 @@ from tripspark.llm.hashing import SPACE, mix, prefix_sums, span_hashes, word_spa
 BUCKETS = 1 << 18
 GRAMS = (3, 4)
 #: Labelled rows that a model is fitted on, at most; half of either class.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 3000
 THRESHOLD = 0.3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -96,7 +96,7 @@ class Model:
         return out
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, dim: int = 4, epochs: int = 14, rate: float = 0.3, lift: float = 2.0, batch: int = 32, seed: int = 3) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, dim: int = 4, epochs: int = 5, rate: float = 0.5, lift: float = 4.0, batch: int = 32, seed: int = 3) -> Model:
     """rows: buckets and weights of each document. prior: share of label 1 among all labelled rows, as the sample is balanced."""
     rng = np.random.default_rng(seed)
     table = ((rng.random((BUCKETS, dim)) - 0.5) / dim).astype(np.float32)
@@ -120,7 +120,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: fl
             back = error @ top.T
             top -= step * hidden.T @ error / len(pick)
             bias -= step * error.mean(0)
-            change = step * lift * weight[:, None] * back[doc]
+            often = np.maximum(np.bincount(bucket, weight, BUCKETS), 1)[bucket]  # a bucket of many documents moves by their mean
+            change = step * lift * (weight / often)[:, None] * back[doc]
             np.subtract.at(table.reshape(-1), (bucket[:, None] * dim + place).reshape(-1), change.reshape(-1))
             done += 1
     shift = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)) if 0 < prior < 1 else 0.0

@@ -6,6 +6,7 @@ from tripspark.llm.op1_substring import OP1_SQL, op1_substring
 from tripspark.llm.op2_winnowing import op2_winnowing
 from tripspark.llm.op3_token_files import op3_token_files
 from tripspark.llm.op4_simhash import op4_simhash
+from tripspark.llm.op5_toxicity import op5_toxicity
 from tripspark.llm.op6_license import op6_license, op6_sql
 from tripspark.llm.op7_decontaminate import OP7_SQL, op7_decontaminate
 from tripspark.llm.op8_quality import op8_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_winnowing": op2_winnowing,
     "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
     "op6_license": op6_license,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
