@@ -1,4 +1,5 @@
 """Registered queries and the SQL that they are checked against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tripspark.plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
