@@ -32,19 +32,15 @@ def bearing_difference(a: Column, b: Column) -> Column:
     return F.least(d, 180 - d)
 
 
-def _plane(lat: Column, lng: Column, at_lat: Column) -> tuple[Column, Column]:
-    return lng * DEGREE_KM * F.greatest(F.lit(0.01), F.cos(F.radians(at_lat))), lat * DEGREE_KM
-
-
 def point_edge_km(plat: Column, plng: Column, alat: Column, alng: Column, blat: Column, blng: Column) -> Column:
-    """Distance from a point to an edge, in the plane at the point."""
-    scale = DEGREE_KM * F.greatest(F.lit(0.01), F.cos(F.radians(plat)))
-    ax, ay = (alng - plng) * scale, (alat - plat) * DEGREE_KM
-    bx, by = (blng - plng) * scale, (blat - plat) * DEGREE_KM
-    dx, dy = bx - ax, by - ay
-    length = dx * dx + dy * dy
-    t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / length))).otherwise(F.lit(0.0))
-    return F.sqrt((ax + t * dx) * (ax + t * dx) + (ay + t * dy) * (ay + t * dy))
+    """Distance from a point to an edge, in the plane at the point.
+
+    Written so that few terms stand twice: inside a join condition Spark does not share them."""
+    squeeze = F.greatest(F.lit(0.01), F.cos(F.radians(plat)))
+    wx, wy, vx, vy = (plng - alng) * squeeze, plat - alat, (blng - alng) * squeeze, blat - alat
+    along, length = wx * vx + wy * vy, vx * vx + vy * vy
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(along, length), F.lit(0.0))))
+    return DEGREE_KM * F.hypot(wx - t * vx, wy - t * vy)
 
 
 def _side(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
@@ -66,11 +62,16 @@ def edges_meet(a: str, b: str) -> Column:
     return (o1 != o2) & (o3 != o4) | touch
 
 
-def edges_km(a: str, b: str) -> Column:
-    """0 if two edges meet, else the least distance of an end to the other edge."""
+def ends_km(a: str, b: str) -> Column:
+    """Least distance of an end of either edge to the other edge: that of edges that do not meet."""
     p = {f"{s}{c}": F.col(f"{s}{c}") for s in (a, b) for c in ("alat", "alng", "blat", "blng")}
     ends = []
     for s, t in ((a, b), (b, a)):
         edge = [p[f"{t}{c}"] for c in ("alat", "alng", "blat", "blng")]
         ends += [point_edge_km(p[f"{s}{e}lat"], p[f"{s}{e}lng"], *edge) for e in "ab"]
-    return F.when(edges_meet(a, b), F.lit(0.0)).otherwise(F.least(*ends))
+    return F.least(*ends)
+
+
+def edges_km(a: str, b: str) -> Column:
+    """0 if two edges meet, else the least distance of an end to the other edge."""
+    return F.when(edges_meet(a, b), F.lit(0.0)).otherwise(ends_km(a, b))

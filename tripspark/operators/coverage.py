@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripspark.functions.geo import bearing, bearing_difference, edges_km, edges_meet, haversine, point_edge_km
+from tripspark.functions.geo import bearing, bearing_difference, edges_meet, ends_km, haversine, point_edge_km
 
 CELL_DEG = 0.012
 ENDS = ("alat", "alng", "blat", "blng")
@@ -127,7 +127,9 @@ def route_achievement(runs: DataFrame, specs: DataFrame) -> DataFrame:
 def line_crossing(routes: DataFrame, trips: DataFrame, tolerance_km: float = 0.04, min_angle: float = 25.0) -> DataFrame:
     """trip_id, route_id: a trip's edge meets a route's, or comes within tolerance at an angle of min_angle or more."""
     angle = bearing_difference(F.col("l_dir"), F.col("r_dir"))
-    hit = edges_meet("l_", "r_") | (angle >= min_angle) & (edges_km("l_", "r_") <= tolerance_km)
+    hit = edges_meet("l_", "r_")
+    if tolerance_km > 0:
+        hit = hit | (angle >= min_angle) & (ends_km("l_", "r_") <= tolerance_km)
     return grid_candidates(trips.select("trip_id", *ENDS), routes.select("route_id", *ENDS), [], tolerance_km, hit, "inner").select("trip_id", "route_id").distinct()
 
 
