@@ -204,7 +204,7 @@ def stitch_rings(members: DataFrame) -> DataFrame:
     """relation_id, ring, coords: outer member lines (relation_id, member, role, coords) joined end to end within 1e-5 degrees
     in any direction; closed rings of 4 points or more. A relation's members are worked through together."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         lines = [[(p["lat"], p["lng"]) for p in r["coords"]] for r in sorted(table.to_pylist(), key=lambda r: r["member"]) if r["coords"] and len(r["coords"]) > 1]
         near = lambda a, b: abs(a[0] - b[0]) <= 1e-5 and abs(a[1] - b[1]) <= 1e-5
         rings = []

@@ -128,7 +128,7 @@ def unique_cities(cities: DataFrame) -> DataFrame:
         h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b["lng"] - a["lng"]) / 2) ** 2
         return 2 * 6371.0088 * math.asin(math.sqrt(h)) <= 25
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         kept: list[dict] = []
         for row in sorted(table.to_pylist(), key=lambda r: r["ord"]):
             if not row["n_"] or not any(same(k, row) for k in kept):
