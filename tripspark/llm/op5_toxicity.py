@@ -5,7 +5,8 @@ probabilities of the categories before it. While training, those probabilities a
 that has not seen the row, as at prediction; the models that are kept are then fitted on all training rows.
 
 Features are the distinct words of the whole text (between ASCII white space, without punctuation at their ends, A-Z
-lower-cased), hashed, each scaled by how much more often it stands in texts with the category than without it.
+lower-cased) and the distinct pieces of four bytes inside words, hashed, each scaled by how much more often it stands in
+texts with the category than without it.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from pyspark.sql import functions as F
 from tripspark.llm.common import map_rows, slices
 from tripspark.llm.hashing import SPACE, mix, prefix_sums, span_hashes, word_spans
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+GRAM = 4
 FOLDS = 5
+#: Log-likelihood ratio over which a word counts as telling a category.
+SURE = 12.0
 #: Labelled rows that the chain is fitted on, at most; half of them toxic.
 TRAIN_ROWS = 8000
 #: Words that tell the kind of a text that is labelled toxic; the last category is the label itself.
@@ -35,32 +39,44 @@ CHAIN = (*CATEGORIES, "toxic")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CODE = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes that a word's ends are freed of: ASCII other than letters and digits.
 _EDGE = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> np.uint64(46)).astype(np.int64)
+    return (mix(h) >> np.uint64(44)).astype(np.int64)
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """document, bucket of each distinct word of each text, in that order."""
+def features(column: pa.Array, grams: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """document, bucket of each distinct word, and piece of a word, of each text, in that order."""
     data, start, end, first = word_spans(column)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = _CODE[_LOWER[data]]
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     inside = ~(_EDGE[data] | SPACE[data])
     at = np.flatnonzero(inside)
     a, b = np.searchsorted(at, start), np.searchsorted(at, end)
     solid = b > a
-    start, end, doc = at[a[solid]], at[b[solid] - 1] + 1, doc[solid]
-    key = np.unique(doc * BUCKETS + _bucket(span_hashes(prefix_sums(_CODE[_LOWER[data]]), start, end)))
+    begin, stop = at[a[solid]], at[b[solid] - 1] + 1
+    keys = [doc[solid] * BUCKETS + _bucket(span_hashes(prefix_sums(code), begin, stop))]
+    if grams and len(data) >= GRAM:
+        h, used = np.zeros(len(data) - GRAM + 1, np.uint64), np.ones(len(data) - GRAM + 1, bool)
+        for j in range(GRAM):
+            h = h * _ODD + code[j : j + len(h)]
+            used &= inside[j : j + len(h)]
+        place = np.flatnonzero(used)
+        word = np.searchsorted(start, place, "right") - 1  # texts stand without a gap, so a piece may run on into the next
+        place, word = place[place + GRAM <= end[word]], word[place + GRAM <= end[word]]
+        keys.append(doc[word] * BUCKETS + _bucket(h[place]))
+    key = np.unique(np.concatenate(keys))
     return key // BUCKETS, key % BUCKETS
 
 
 def bucket_of(word: str) -> int:
     """The bucket of one word."""
-    return int(words(pa.array([word]))[1][0])
+    return int(features(pa.array([word]), False)[1][0])
 
 
 @dataclass
@@ -76,26 +92,31 @@ class Link:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit_link(doc: np.ndarray, bucket: np.ndarray, before: np.ndarray, label: np.ndarray, epochs: int = 30, rate: float = 0.5) -> Link:
+def fit_link(doc: np.ndarray, bucket: np.ndarray, before: np.ndarray, label: np.ndarray, epochs: int = 60, rate: float = 1.0) -> Link:
     """Logistic regression by full gradient steps over scaled presence of words; without both labels, a constant."""
     n, pos = len(label), label.sum()
     if pos in (0, n):
         return Link(np.zeros(BUCKETS, np.float32), np.zeros(before.shape[1]), 30.0 if pos and n else -30.0)
-    ones, zeros = np.bincount(bucket, label[doc], BUCKETS) + 0.5, np.bincount(bucket, 1 - label[doc], BUCKETS) + 0.5
-    scale = np.log(ones / (pos + 1)) - np.log(zeros / (n - pos + 1))
-    scale[ones + zeros < 4] = 0  # words that are seen once or twice tell nothing
-    scale = np.sign(scale) * np.maximum(np.abs(scale) - 1, 0)
-    gain, chain, bias = np.full(BUCKETS, 0.5), np.zeros(before.shape[1]), float(np.log(pos / (n - pos)))
+    ones, zeros = np.bincount(bucket, label[doc], BUCKETS), np.bincount(bucket, 1 - label[doc], BUCKETS)
+    scale = np.log((ones + 0.5) / (pos + 1)) - np.log((zeros + 0.5) / (n - pos + 1))
+    share = pos / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.where(ones > 0, ones * np.log(ones / ((ones + zeros) * share)), 0) + np.where(zeros > 0, zeros * np.log(zeros / ((ones + zeros) * (1 - share))), 0))
+    scale[~(g > SURE)] = 0  # what may well be chance tells nothing
     used = np.flatnonzero(scale[bucket])
-    doc, bucket = doc[used], bucket[used]
-    value = scale[bucket]
+    doc, value = doc[used], scale[bucket[used]]
+    there, at = np.unique(bucket[used], return_inverse=True)
+    often = np.maximum(np.bincount(at, minlength=len(there)), 1)
+    gain, chain, bias = np.full(len(there), 0.5), np.zeros(before.shape[1]), float(np.log(pos / (n - pos)))
     for _ in range(epochs):
-        z = np.bincount(doc, gain[bucket] * value, n) + before @ chain + bias
+        z = np.bincount(doc, gain[at] * value, n) + before @ chain + bias
         error = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - label
-        gain -= rate * np.bincount(bucket, error[doc] * value, BUCKETS) / np.maximum(np.bincount(bucket, minlength=BUCKETS), 1)
+        gain -= rate * np.bincount(at, error[doc] * value, len(there)) / often
         chain -= rate * before.T @ error / n
         bias -= rate * error.mean()
-    return Link((gain * scale).astype(np.float32), chain, bias)
+    weight = np.zeros(BUCKETS, np.float32)
+    weight[there] = gain * scale[there]
+    return Link(weight, chain, bias)
 
 
 def fit_chain(doc: np.ndarray, bucket: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> list[Link]:
@@ -125,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in slices(batch, 2):
-                doc, bucket = words(part.column(2))
+                doc, bucket = features(part.column(2))
                 cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 own = [bucket[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.binary())], ["y", "fold", "bucket"])
@@ -157,7 +178,7 @@ def predict(docs: DataFrame, chain: list[Link], text_col: str = "text") -> DataF
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in slices(batch, text_col, 1 << 20):
-                doc, bucket = words(part.column(text_col))
+                doc, bucket = features(part.column(text_col))
                 p = np.zeros((part.num_rows, 0))
                 for link in sent.value:
                     p = np.column_stack([p, link.predict(doc, bucket, p)])

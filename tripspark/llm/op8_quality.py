@@ -27,6 +27,8 @@ BUCKETS = 1 << 18
 GRAMS = (3, 4)
 #: Labelled rows that a model is fitted on, at most; half of either class.
 TRAIN_ROWS = 3000
+#: Steps of training, at least; small samples are gone through more often.
+STEPS = 400
 THRESHOLD = 0.3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -101,6 +103,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: fl
     rng = np.random.default_rng(seed)
     table = ((rng.random((BUCKETS, dim)) - 0.5) / dim).astype(np.float32)
     top, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
+    epochs = max(epochs, -(-STEPS // -(-len(rows) // batch)))
     steps, done = epochs * -(-len(rows) // batch), 0
     place = np.arange(dim)
     for _ in range(epochs):

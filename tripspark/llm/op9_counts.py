@@ -97,8 +97,8 @@ def prefix_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFra
 def within_budget(counted: DataFrame, budget: int, out_col: str = "fits") -> DataFrame:
     """counted (see prefix_counts) with out_col (long): characters of the longest prefix of the text with budget tokens at
     most, read off the stored counts. Counts may fall as merges complete, so the last prefix that fits is taken."""
-    schema = counted.schema.add(out_col, T.LongType(), False)
-    names = counted.columns
+    names = [c for c in counted.columns if c != out_col]
+    schema = counted.select(*names).schema.add(out_col, T.LongType(), False)
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -106,11 +106,11 @@ def within_budget(counted: DataFrame, budget: int, out_col: str = "fits") -> Dat
             for row in batch.column("changes").to_pylist():
                 fits = np.flatnonzero(np.cumsum(np.frombuffer(row or b"", np.int8), dtype=np.int64)[1:] <= budget)
                 out.append(int(fits[-1]) + 1 if len(fits) else 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*names, out_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.int64())], [*names, out_col])
 
         return work
 
-    return map_rows(counted, make, schema)
+    return map_rows(counted.select(*names), make, schema)
 
 
 def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
