@@ -1,0 +1,71 @@
+"""Trip changes as streams: upserts by key, first conquests, pending scans."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tripspark.operators.sync import upsert
+
+
+def read_changes(spark: SparkSession, path: str, schema: str, most_files: int = 100) -> DataFrame:
+    """A stream of Parquet files of changes."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(path)
+
+
+def stream_upserts(changes: DataFrame, table_path: str, checkpoint: str, keys: list[str], at: str = "updated_at"):
+    """Keep the table under table_path up to date: in each batch the last change of a key by time wins over an older row; a late,
+    older change loses, so no watermark is needed. Versions are written beside one another and a pointer file names the live
+    one, so a batch that is run again after a failure gives the same table."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        live = live_version(spark, table_path, before=number)
+        now = batch if live is None else upsert(spark.read.parquet(live), batch, keys, at)
+        if live is None:
+            now = upsert(batch.limit(0), batch, keys, at)
+        now.write.mode("overwrite").parquet(f"{table_path}/version={number}")
+
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
+def live_version(spark: SparkSession, table_path: str, before: int | None = None) -> str | None:
+    """The newest complete version's folder (of a batch before `before`), or none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return None
+    found = []
+    for s in fs.listStatus(hadoop):
+        name = s.getPath().getName()
+        if name.startswith("version=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
+            n = int(name.split("=")[1])
+            if before is None or n < before:
+                found.append(n)
+    return f"{table_path}/version={max(found)}" if found else None
+
+
+def stream_first_conquests(conquests: DataFrame, keys: tuple[str, ...] = ("user_id", "item_key")) -> DataFrame:
+    """The first row that arrives for each key, once; state is one entry for each key. Where the first by trip time is
+    wanted and rows come out of order, merge batches with first_by_time instead."""
+    return conquests.dropDuplicates(list(keys))
+
+
+def first_by_time(table: DataFrame, batch: DataFrame, keys: list[str], at: str = "trip_date") -> DataFrame:
+    """Conquests after a batch: the earliest by time of each key (of equal times the least trip)."""
+    both = table.unionByName(batch.select(*table.columns))
+    rest = [c for c in table.columns if c not in keys]
+    order = [at, "trip_id", *[c for c in rest if c not in (at, "trip_id")]]
+    first = F.min(F.struct(*order)).alias("f")
+    return both.groupBy(*keys).agg(first).select(*keys, *[F.col(f"f.{c}").alias(c) for c in rest]).select(*table.columns)
+
+
+def stream_pending_scan(changes: DataFrame, scan: Callable[[DataFrame], DataFrame], out_path: str, checkpoint: str):
+    """Run a scan (changed trips -> rows) for each batch and write its rows under the batch's number."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        scan(batch).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
