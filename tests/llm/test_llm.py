@@ -108,7 +108,10 @@ def test_edit_report(spark):
             edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
             assert got[x]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[x]["n_chars"] == len(t)
             assert got[x]["edited_fingerprint"] == op2_winnowing.written(*op2_winnowing.winnow(edited)) and 0 <= got[x]["near_next"] <= 1
-    assert op2_winnowing.edit_report(table(spark)).count() == len(texts()) + 2
+    usual = {r["doc_id"]: r for r in op2_winnowing.edit_report(table(spark, rows, False)).collect()}
+    finer = {r["doc_id"]: r for r in op2_winnowing.edit_report(table(spark, rows, False), coarse=3, rows=4).collect()}
+    assert usual == finer
+    assert op2_winnowing.edit_report(table(spark)).count() == op2_winnowing.edit_report(table(spark), coarse=2, rows=5).count() == len(texts()) + 2
     assert op2_winnowing.edit_report(table(spark, [], False)).count() == 0
 
 

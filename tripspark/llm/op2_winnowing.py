@@ -7,20 +7,23 @@ where. A text of fewer than k characters has one hash, of all of it; a text with
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripspark.llm.common import id_ranges, map_rows, range_of, slices, with_key
+from tripspark.llm.common import id_ranges, map_rows, materialize, range_of, slices, small, with_key
 from tripspark.llm.hashing import prefix_sums, span_hashes
 
 GRAM, WIDTH = 20, 100
-#: Ranges of ids that are worked through on their own; of a few numbers each, whatever the corpus.
-RANGES = 512
+#: Boundaries of ids that the driver holds, at most; between two of them ranges are cut evenly, as many as the corpus needs.
+COARSE = 512
+#: Documents in a range, about.
+RANGE_ROWS = 500
 _ENTRY = np.dtype([("hash", ">u8"), ("at", ">u4")])
 
 
@@ -80,36 +83,41 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "f
     return map_rows(docs.select(*names), make, schema)
 
 
-def in_ranges(docs: DataFrame, id_col: str, text_col: str, ranges: int = RANGES) -> tuple[DataFrame, list[str]]:
+def in_ranges(docs: DataFrame, id_col: str, text_col: str, coarse: int = COARSE, rows: int = RANGE_ROWS) -> DataFrame:
     """Rows dealt out by ranges of ids, in each partition by range and then descending id (equal ids by a hash of the text,
-    null ids last), with the first row of the next lower range after each range, marked `next_`; after the last, the first of all."""
+    null ids last), with the first row of the next lower range after each range, marked `next_`; after the last, the first of all.
+
+    The number of ranges follows the number of rows. Texts are shuffled once; the ranges' first rows are found by a scan."""
     keyed, keys = with_key(docs.select(id_col, text_col), id_col, text_col)
-    bounds = id_ranges(docs, id_col, ranges)
-    keyed = keyed.withColumn("range_", range_of(id_col, bounds))
-    heads = {r["range_"]: (r["h"][keys[0]], r["h"][keys[1]]) for r in keyed.groupBy("range_").agg(F.max(F.struct(*keys)).alias("h")).collect()}  # ranges rows at most
-    there = sorted(heads)
-    above = {there[i]: there[(i + 1) % len(there)] for i in range(len(there))}
-    if not heads:
-        return keyed.withColumn("next_", F.lit(False)), keys
-    rows = [(r, *heads[r], above[r]) for r in there]
-    table = F.broadcast(docs.sparkSession.createDataFrame(rows, "range_ int, h_id long, h_text long, above_ int"))
-    marked = keyed.join(table, "range_")
-    head = (F.col(keys[0]) == F.col("h_id")) & (F.col(keys[1]) == F.col("h_text"))
-    own = F.struct(F.col("range_").alias("r"), F.lit(False).alias("next"))
-    more = F.struct(F.col("above_").alias("r"), F.lit(True).alias("next"))
-    placed = marked.withColumn("place", F.explode(F.when(head, F.array(own, more)).otherwise(F.array(own))))
-    placed = placed.select(id_col, *keys, text_col, F.col("place.r").alias("range_"), F.col("place.next").alias("next_"))
-    return placed.repartition("range_").sortWithinPartitions("range_", "next_", F.desc(keys[0]), F.desc(keys[1])), keys
-
-
-def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, width: int = WIDTH) -> DataFrame:
+    edges = docs.agg(F.count("*").alias("n"), F.min(id_col).alias("a"), F.max(id_col).alias("b")).first()
+    bounds = id_ranges(docs, id_col, coarse)
+    cuts = max(1, -(-edges["n"] // (coarse * rows)))
+    part = range_of(id_col, bounds).cast("long")
+    if cuts > 1 and edges["a"] is not None:
+        ends = F.array(*[F.lit(float(x)) for x in [edges["a"], *bounds, edges["b"] + 1]])
+        low, high = F.get(ends, part.cast("int")), F.get(ends, part.cast("int") + 1)
+        cut = F.floor((F.col(id_col) - low) / F.greatest(high - low, F.lit(1.0)) * cuts)
+        part = part * cuts + F.coalesce(F.greatest(F.lit(0), F.least(F.lit(cuts - 1), cut)), F.lit(0))
+    keyed = keyed.withColumn("range_", part)
+    heads = keyed.groupBy("range_").agg(F.max(F.struct(*keys)).alias("h")).select("range_", "h.*", F.floor(F.col("range_") / cuts).alias("c_"))
+    heads = materialize(heads, "heads")
+    # the next range above, within a coarse range, else the first of the next one that has rows, else the first of all
+    firsts = heads.groupBy("c_").agg(F.min("range_").alias("first_"))
+    order = Window.orderBy("c_")  # a row for each coarse range
+    firsts = firsts.select("c_", F.coalesce(F.lead("first_").over(order), F.min("first_").over(Window.partitionBy(F.lit(0)))).alias("after_"))
+    above = heads.withColumn("above_", F.lead("range_").over(Window.partitionBy("c_").orderBy("range_"))).join(firsts, "c_")
+    above = above.select(*keys, F.coalesce("above_", "after_").alias("above_"))
+    more = keyed.join(small(above), keys).select(id_col, *keys, text_col, F.col("above_").alias("range_"), F.lit(True).alias("next_"))
+    placed = keyed.select(id_col, *keys, text_col, "range_", F.lit(False).alias("next_")).union(more)
+    return placed.repartition("range_").sortWithinPartitions("range_", "next_", F.desc(keys[0]), F.desc(keys[1]))
+
+
+def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, width: int = WIDTH, coarse: int = COARSE, rows: int = RANGE_ROWS) -> DataFrame:
     """Each document against its edited text, whose last half is replaced by the beginning of the next document's, in
     descending order of id: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null texts count as empty. Repeated rows follow one another; the only document is its own next."""
-    import hashlib
-
-    placed, _ = in_ranges(docs, id_col, text_col)
+    placed = in_ranges(docs, id_col, text_col, coarse, rows)
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 

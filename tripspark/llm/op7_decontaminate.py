@@ -12,12 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripspark.llm.common import ascii_lower, materialize, with_key
+from tripspark.llm.common import ascii_lower, materialize, small, with_key
 
 #: What ends a word, once A-Z is lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A table of more rows is joined by shuffling instead of sent to every executor.
-BROADCAST_ROWS = 200_000
 #: The term that stands for a document's end; no word is empty.
 END = ""
 
@@ -26,11 +24,6 @@ def words_of(text: str) -> F.Column:
     return F.filter(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it has BROADCAST_ROWS rows at most."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS else df
-
-
 def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item, item_id, at, term, size: the words of each item in order; rows with equal id and text are one item."""
     keyed, keys = with_key(items.select(id_col, text_col), id_col, text_col)
