@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +14,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes at a time; a longer text is a pass of its own.
 SLICE_BYTES = 2 << 20
+#: Rows of a table that is sent to every executor, at most; its rows are a few numbers or a word each.
+BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch between Spark and Python, about.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,8 +48,9 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def is_empty(df: DataFrame) -> bool:
-    return not df.take(1)
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it has BROADCAST_ROWS rows at most; more are left to be joined by shuffling."""
+    return F.broadcast(df) if len(df.select(F.lit(1)).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS else df
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -89,9 +93,18 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of long texts to a few MB; a setting of the user's own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's default
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with state made once in each task: make() returns the function of a batch."""
 
+    bound_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
@@ -119,7 +132,3 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def local_name(path: str) -> str:
-    return os.path.basename(path)

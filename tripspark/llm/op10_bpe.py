@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripspark.llm.common import map_rows, slices, tokenizer_path
-from tripspark.llm.prefix_bpe import MEMO, rank_file, splitter
+from tripspark.llm.prefix_bpe import rank_file, ranks_of, splitter
+
+#: Words whose ids a task keeps; when it has more it starts anew.
+WORDS = 150_000
 
 
 def _pattern(pattern: str | None) -> str:
@@ -33,7 +36,7 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, text_col: str
 
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
-                if len(self) > MEMO // 3:
+                if len(self) > WORDS:
                     self.clear()
                 got = np.array(bpe.encode(word.encode()), np.int32).tobytes()
                 if len(word) < 64:
@@ -60,8 +63,8 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
     schema = tokens.select(*names).schema.add(bytes_col, T.BinaryType(), False)
 
     def make():
-        bpe = rank_file(path)
-        pieces = [bpe.piece.get(i) for i in range(max(bpe.piece) + 1)]
+        piece = {rank: p for p, rank in ranks_of(path).items()}
+        pieces = [piece.pop(i, None) for i in range(max(piece) + 1)]
         size = np.array([len(p) if p is not None else -1 for p in pieces], np.int64)
         start = np.concatenate(([0], np.cumsum(np.maximum(size, 0))))
         table = np.frombuffer(b"".join(p or b"" for p in pieces), np.uint8)

@@ -24,6 +24,7 @@ import regex
 _NEVER = 1 << 60
 #: Entries after which a memo starts anew; bounds the memory of a task.
 MEMO = 1_000_000
+PAIRS = 400_000
 
 
 class PrefixBPE:
@@ -75,7 +76,7 @@ class PrefixBPE:
         key = a << 32 | b
         ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) > MEMO:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             ok = self.pairs[key] = self._apart(a, b)
         return ok
@@ -144,11 +145,15 @@ class PrefixBPE:
         return fresh, new_last, new_size
 
 
-@lru_cache(maxsize=2)
-def rank_file(path: str) -> PrefixBPE:
-    """A tiktoken rank file."""
+def ranks_of(path: str) -> dict[bytes, int]:
+    """Pieces and ranks of a tiktoken rank file."""
     with open(path, "rb") as f:
-        return PrefixBPE({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+@lru_cache(maxsize=1)
+def rank_file(path: str) -> PrefixBPE:
+    return PrefixBPE(ranks_of(path))
 
 
 def _ranges(points: Iterable[int]) -> str:

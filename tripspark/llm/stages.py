@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripspark.llm import op1_substring, op4_simhash, op7_decontaminate, op8_quality, op10_bpe
-from tripspark.llm.common import free_name, materialize, tokenizer_path, with_key
+from tripspark.llm.common import free_name, materialize, small, tokenizer_path, with_key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark's items."""
     found, keys = op7_decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = op7_decontaminate.small(materialize(found.filter("contaminated").select(*keys).distinct(), "bad"))
+    bad = small(materialize(found.filter("contaminated").select(*keys).distinct(), "bad"))
     keyed, own = with_key(docs, "doc_id", "text")
     return keyed.join(bad.toDF(*own), own, "left_anti").select(*docs.columns)
 
