@@ -156,10 +156,6 @@ def fuzzy_score(name: Column, query: Column, cutoff: float = 0.34) -> Column:
     )
 
 
-def format_distance(metres: Column) -> Column:
-    return F.when(metres < 1000, F.concat(F.round(metres).cast("long").cast("string"), F.lit(" m"))).otherwise(F.concat(F.regexp_replace(F.format_number(metres / 1000, 1), r"\.", ","), F.lit(" km")))
-
-
 def city_identity(osm_type: Column, osm_id: Column, city: Column, region: Column, code: Column, lat: Column, lng: Column) -> Column:
     """osm:type:id, else name|region|country|coordinates to 4 places."""
     known = (F.coalesce(osm_type, F.lit("")) != "") & (F.coalesce(osm_id.cast("string"), F.lit("")) != "")

@@ -154,3 +154,35 @@ def crossed_not_destination(scanned: DataFrame, visited: DataFrame) -> DataFrame
     w = Window.partitionBy("user_id", "place_id").orderBy("trip_date", "trip_id")
     only = scanned.join(visited.select("user_id", "place_id").distinct(), ["user_id", "place_id"], "left_anti")
     return only.withColumn("n_", F.row_number().over(w)).filter("n_ = 1").select("user_id", "place_id", "trip_id")
+
+
+def tagged_radius_km(population: Column, kind: Column) -> Column:
+    """How near a trip must pass a tagged place: by population where it is said, else by kind."""
+    out = F.when(population >= 1_000_000, 8.0)
+    for least, km in ((500_000, 6.0), (200_000, 5.0), (100_000, 4.5), (50_000, 3.8), (10_000, 2.8), (2_000, 2.0), (1, 1.2)):
+        out = out.when(population >= least, km)
+    return out.when(kind == "city", 4.0).when(kind == "town", 2.0).otherwise(1.0)
+
+
+def urban_radius_km(population: Column, low: float = 0.65, high: float = 5.5, per_root: float = 0.0055) -> Column:
+    """The earlier mode's radius: the root of the population, scaled and clamped."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.sqrt(F.coalesce(population, F.lit(0)).cast("double")) * per_root))
+
+
+def route_passes(trips: DataFrame, places: DataFrame, km: float = 3.0) -> DataFrame:
+    """trip_id, place_id of places (trip_id, place_id, lat, lng: a trip's own end's municipality) that the trip passes within km."""
+    j = places.join(trips.select("trip_id", *ENDS), "trip_id")
+    return j.filter(point_edge_km(F.col("lat"), F.col("lng"), *[F.col(c) for c in ENDS]) <= km).select("trip_id", "place_id").distinct()
+
+
+def match_destinations(queries: DataFrame, pois: DataFrame, most: int = 8) -> DataFrame:
+    """query_id, poi_id, pos: points of interest (query_id, poi_id, ord, name, country, category_hit) for each query (query_id, query)
+    whose name has its words or whose kind it names: equal names first, then at home, near, elsewhere, in input order."""
+    from tripspark.functions.display import poi_score
+    from tripspark.operators.match import NEARBY
+
+    j = queries.join(pois, "query_id").withColumn("score", poi_score(F.col("name"), F.col("query")))
+    j = j.filter(F.col("score").isNotNull() | F.coalesce("category_hit", F.lit(False)))
+    near = F.when(F.col("country") == "BR", 0).when(F.col("country").isin(*NEARBY), 1).otherwise(2)
+    w = Window.partitionBy("query_id").orderBy(F.coalesce(F.col("score"), F.lit(2.0)) != 0, near, "ord")
+    return j.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= most).select("query_id", "poi_id", "pos")

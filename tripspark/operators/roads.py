@@ -93,3 +93,59 @@ def rank_road_achievements(roads: DataFrame) -> DataFrame:
     r = r.withColumn("n_state", F.when(F.col("tier") == 2, F.count("*").over(Window.partitionBy("user_id", "tier", "state"))).otherwise(0))
     order = ["tier", F.desc("n_state"), "state", F.when(F.col("tier") < 3, F.col("number")).otherwise(0), F.when(F.col("tier") == 3, F.col("first_at")), "label"]
     return r.select("user_id", "label", "tier", "state", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)).alias("pos"))
+
+
+def road_groups_from_segments(segments: DataFrame, max_gap_km: float = 20.0, min_km: float = 20.0) -> DataFrame:
+    """trip_id, label, group_no, road_km: the same groups from stored pieces (trip_id, label, ord, coords) that have no order along
+    the route's steps: each piece is turned so that its nearer end follows the piece before, and a gap over max_gap_km between
+    those ends begins a new group. How a piece is turned depends on the one before, so a trip's road is gone through in turn."""
+    import math
+
+    import pyarrow as pa
+
+    def far(a: dict, b: dict) -> float:
+        p, q = math.radians(a["lat"]), math.radians(b["lat"])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b["lng"] - a["lng"]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(min(1.0, math.sqrt(h)))
+
+    def run(key, table):
+        groups, end = [], None
+        for row in sorted(table.to_pylist(), key=lambda r: r["ord"]):
+            line = row["coords"] or []
+            if len(line) < 2:
+                continue
+            if end is not None and far(end, line[-1]) < far(end, line[0]):
+                line = line[::-1]
+            if end is None or far(end, line[0]) > max_gap_km:
+                groups.append(0.0)
+            groups[-1] += sum(far(a, b) for a, b in zip(line, line[1:]))
+            end = line[-1]
+        kept = [(i, km) for i, km in enumerate(groups) if km > min_km]
+        return pa.table({"trip_id": pa.array([key[0].as_py()] * len(kept), pa.int64()), "label": pa.array([key[1].as_py()] * len(kept), pa.string()), "group_no": pa.array([i for i, _ in kept], pa.int32()), "road_km": pa.array([km for _, km in kept], pa.float64())})
+
+    pieces = segments.select(F.col("trip_id").cast("long").alias("trip_id"), "label", "ord", "coords")
+    return pieces.groupBy("trip_id", "label").applyInArrow(run, "trip_id long, label string, group_no int, road_km double")
+
+
+def order_route_points(points: DataFrame) -> DataFrame:
+    """points (trip_id, kind, ord, progress) with pos: by progress; within 1e-6 stops before adjustments, then in input order."""
+    w = Window.partitionBy("trip_id").orderBy(F.round("progress", 6), F.when(F.col("kind") == "stop", 0).otherwise(1), "ord")
+    return points.withColumn("pos", F.row_number().over(w))
+
+
+def preserve_waypoints(controls: DataFrame, waypoints: DataFrame) -> DataFrame:
+    """waypoints (trip_id, waypoint_id, progress) with after_ord: the control point they stand after.
+
+    controls: trip_id, ord, progress of the new list of places; their progress is made to rise by 1e-4 at least from each to
+    the next. Waypoints before the first control get null."""
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "progress")))
+    c = controls.groupBy("trip_id").agg(ordered.alias("cs"))
+    start = F.struct(F.lit(-1.0).alias("last"), F.array().cast("array<struct<ord:bigint,at:double>>").alias("out"))
+
+    def step(s, x):
+        at = F.greatest(x["progress"], s["last"] + 1e-4)
+        return F.struct(at.alias("last"), F.concat(s["out"], F.array(F.struct(x["ord"].cast("long").alias("ord"), at.alias("at")))).alias("out"))
+
+    c = c.select("trip_id", F.aggregate("cs", start, step)["out"].alias("cs"))
+    j = waypoints.join(c, "trip_id", "left")
+    return j.withColumn("after_ord", F.get(F.reverse(F.filter("cs", lambda x: x["at"] <= F.col("progress"))), F.lit(0))["ord"]).drop("cs")
