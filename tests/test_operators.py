@@ -186,3 +186,15 @@ def test_nearest_airport_prefers_the_own_town(spark):
     a = spark.createDataFrame([("VCP", 1, "Campinas", "BR", -23.0, -47.13), ("CPQ", 3, "Campinas", "BR", -22.86, -47.1), ("GRU", 1, "São Paulo", "BR", -23.43, -46.47)], "iata string, kind_rank int, town string, country string, alat double, alng double")
     got = {r["place_id"]: r["iata"] for r in places.nearest_airport(p, a).collect()}
     assert got == {1: "VCP", 3: "CPQ"}
+
+
+def test_long_lists_of_boxes_give_what_short_ones_give(spark, monkeypatch):
+    t = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0), (2, 5.0, 5.0, 6.0, 6.0), (3, None, None, None, None)], "trip_id long, s double, w double, n double, e double")
+    r = spark.createDataFrame([(1, 0.99, 0.5, 3.5, 3.0), (2, 1.01, 1.01, 2.0, 2.0), (3, None, None, None, None)], "route_id long, s double, w double, n double, e double")
+    p = spark.createDataFrame([(1, 0.5, 0.5), (2, 9.0, 9.0), (3, 1.5, 1.5)], "point_id long, lat double, lng double")
+    boxes = spark.createDataFrame([(2, "B", 0.0, 0.0, 2.0, 2.0), (1, "A", 1.0, 1.0, 3.0, 3.0)], "priority int, code string, s double, w double, n double, e double")
+    short = [sorted(map(tuple, cov.bbox_prefilter(t, r).collect())), sorted(map(tuple, places.point_country(p, boxes).collect()))]
+    assert short[0] == [(1, 1), (1, 2), (1, 3), (2, 3), (3, 1), (3, 2), (3, 3)] and short[1] == [(1, "B"), (2, None), (3, "A")]
+    monkeypatch.setattr(cov, "is_small", lambda df: False)
+    monkeypatch.setattr(places, "is_small", lambda df: False)
+    assert short == [sorted(map(tuple, cov.bbox_prefilter(t, r).collect())), sorted(map(tuple, places.point_country(p, boxes).collect()))]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripspark.functions.geo import bearing, bearing_difference, edges_meet, ends_km, haversine, point_edge_km
+from tripspark.operators.sizes import is_small, small
 
 CELL_DEG = 0.012
 ENDS = ("alat", "alng", "blat", "blng")
@@ -115,9 +116,7 @@ def route_achievement(runs: DataFrame, specs: DataFrame) -> DataFrame:
     traveled_km, percent, discovered, complete; zeros for routes not touched."""
     users = runs.select("user_id").distinct()
     done = runs.groupBy("user_id", "route_id").agg(F.max("km").alias("longest_km"), F.sum("km").alias("traveled_km"))
-    small_specs = specs.select("route_id", "is_long", "min_km", "total_km")
-    # each user against the fixed list of routes: rows grow with users only
-    every = users.select("user_id", F.lit(1).alias("one")).join(F.broadcast(small_specs.withColumn("one", F.lit(1))), "one").drop("one")
+    every = users.crossJoin(small(specs.select("route_id", "is_long", "min_km", "total_km")))  # each of these pairs is a result
     out = every.join(done, ["user_id", "route_id"], "left").fillna(0.0, ["longest_km", "traveled_km"])
     percent = F.when(F.col("total_km") > 0, F.least(F.lit(100.0), F.col("traveled_km") / F.col("total_km") * 100)).otherwise(F.lit(0.0))
     found = F.col("longest_km") >= F.col("min_km")
@@ -146,8 +145,18 @@ def traversal_density(trips: DataFrame, cell: float = CELL_DEG) -> DataFrame:
 
 
 def bbox_prefilter(trips: DataFrame, routes: DataFrame, pad_deg: float = 0.025) -> DataFrame:
-    """trip_id, route_id whose boxes (s, w, n, e) overlap, the route's padded; a missing box always passes. routes is a
-    fixed list of a few hundred rows; with more, join by cells instead (line_crossing)."""
+    """trip_id, route_id whose boxes (s, w, n, e) overlap, the route's padded; a missing box always passes.
+
+    A list of routes that is too long to send to every executor is matched by cells of a degree first."""
+    if not is_small(routes):
+        box = F.col("s").isNotNull() & F.col("w").isNotNull() & F.col("n").isNotNull() & F.col("e").isNotNull()
+        cut = lambda df, pad: df.filter(box).withColumn("cx", F.explode(F.sequence(F.floor(F.col("w") - pad), F.floor(F.col("e") + pad)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("s") - pad), F.floor(F.col("n") + pad))))
+        t, r = cut(trips, 0.0).alias("t"), cut(routes, pad_deg).alias("r")
+        over = (F.col("t.n") >= F.col("r.s") - pad_deg) & (F.col("t.s") <= F.col("r.n") + pad_deg) & (F.col("t.e") >= F.col("r.w") - pad_deg) & (F.col("t.w") <= F.col("r.e") + pad_deg)
+        met = t.join(r, (F.col("t.cx") == F.col("r.cx")) & (F.col("t.cy") == F.col("r.cy")) & over).select("t.trip_id", "r.route_id").distinct()
+        open_trips = trips.filter(~box).select("trip_id").crossJoin(routes.select("route_id"))  # each of these pairs is a result
+        open_routes = trips.filter(box).select("trip_id").crossJoin(routes.filter(~box).select("route_id"))
+        return met.union(open_trips).union(open_routes)
     t, r = trips.alias("t"), F.broadcast(routes).alias("r")
     over = (F.col("t.n") >= F.col("r.s") - pad_deg) & (F.col("t.s") <= F.col("r.n") + pad_deg) & (F.col("t.e") >= F.col("r.w") - pad_deg) & (F.col("t.w") <= F.col("r.e") + pad_deg)
     return t.join(r, F.coalesce(over, F.lit(True))).select("t.trip_id", "r.route_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tripspark.functions.geo import edges_meet, haversine, point_edge_km
 from tripspark.functions.text import city_identity, plain
 from tripspark.operators.coverage import ENDS, grid_candidates
+from tripspark.operators.sizes import is_small
 
 PLACE_CELL_DEG = 0.04
 
@@ -71,10 +72,16 @@ def nearest_airport(places: DataFrame, airports: DataFrame, most_km: float = 55.
 
 
 def point_country(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """point_id, code: of the boxes (priority, code, s, w, n, e) that hold a point, the first by priority. The list of regions is
-    fixed and short, so it is sent to every task."""
-    r = F.broadcast(regions)
-    hit = points.join(r, F.col("lat").between(F.col("s"), F.col("n")) & F.col("lng").between(F.col("w"), F.col("e")), "left")
+    """point_id, code: of the boxes (priority, code, s, w, n, e) that hold a point, the first by priority; null outside all.
+
+    A list of regions that is too long to send to every executor is matched by cells of a degree first."""
+    inside = F.col("lat").between(F.col("s"), F.col("n")) & F.col("lng").between(F.col("w"), F.col("e"))
+    if is_small(regions):
+        hit = points.join(F.broadcast(regions), inside, "left")
+    else:
+        r = _cells(regions, F.col("s"), F.col("n"), F.col("w"), F.col("e"), 1.0).withColumnsRenamed({"cx": "rx", "cy": "ry"})
+        p = points.withColumn("cx", F.floor("lng")).withColumn("cy", F.floor("lat"))
+        hit = p.join(r, (F.col("cx") == F.col("rx")) & (F.col("cy") == F.col("ry")) & inside, "left")
     return hit.groupBy("point_id").agg(F.min_by("code", "priority").alias("code"))
 
 

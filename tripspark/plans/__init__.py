@@ -1,5 +1,6 @@
 """Registered queries and the SQL that they are checked against."""
 
+from tripspark.plans import more  # noqa: F401  registers further queries
 from tripspark.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
