@@ -76,6 +76,8 @@ def test_substring_dedup(spark, window, base):
 
 def test_substring_dedup_of_nothing(spark):
     assert op1_substring.substring_dedup(table(spark, [], False)).count() == 0
+    clash = table(spark).withColumns({"spans_": F.lit(1), "runs_": F.lit(2), "piece": F.lit(3)})
+    assert op1_substring.substring_dedup(clash).filter("spans_ = 1 and runs_ = 2 and piece = 3").count() == clash.count()
 
 
 def test_winnowing_guarantee_and_ties(spark):

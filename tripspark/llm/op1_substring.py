@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripspark.llm.common import map_rows, materialize, slices, with_key
+from tripspark.llm.common import free_name, map_rows, materialize, slices, with_key
 from tripspark.llm.hashing import prefix_sums, sliding_min, span_hashes, word_hashes, word_spans
 
 
@@ -156,8 +156,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     keyed, keys = with_key(docs.select(*names), id_col, text_col)
     spans = repeated_spans(keyed, keys, text_col, window, base)
-    spans = spans.groupBy(*keys).agg(F.collect_list(F.struct("start", "n", "offs")).alias("spans_"))
-    rows = keyed.join(spans, keys, "left").select(*names, "spans_")
+    own = free_name(keyed, "spans_")
+    spans = spans.groupBy(*keys).agg(F.collect_list(F.struct("start", "n", "offs")).alias(own))
+    rows = keyed.join(spans, keys, "left").select(*names, own)
     schema = docs.select(*names).schema
     for name, kind in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType())):
         schema = schema.add(name, kind, False)
@@ -168,7 +169,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 words = [t.encode().split() if t else [] for t in part.column(text_col).to_pylist()]
                 total = np.array([len(w) for w in words])
                 first = np.concatenate(([0], np.cumsum(total)))
-                lists = part.column("spans_")
+                lists = part.column(own)
                 spans, size = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 a = np.repeat(first[:-1], size) + spans.field("start").to_numpy()
                 n, offs = spans.field("n").to_numpy(), spans.field("offs")
