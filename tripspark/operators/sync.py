@@ -102,9 +102,9 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], at: str = "upd
     return both.withColumn("n_", F.row_number().over(w)).filter("n_ = 1").drop("n_", "new_")
 
 
-def visible_rows(rows: DataFrame, user_id) -> DataFrame:
-    """A user's own live rows, without cached roads."""
-    return rows.filter((F.col("user_id") == user_id) & F.col("deleted_at").isNull() & ~F.col("trip_id").cast("string").startswith("mvroad|"))
+def visible_rows(rows: DataFrame, user_id, cached: str = "cache|") -> DataFrame:
+    """A user's own live rows, without cached roads, whose ids begin with `cached`."""
+    return rows.filter((F.col("user_id") == user_id) & F.col("deleted_at").isNull() & ~F.col("trip_id").cast("string").startswith(cached))
 
 
 def pending_work(trips: DataFrame, done: DataFrame, key: str = "trip_id") -> DataFrame:

@@ -110,7 +110,7 @@ def q_road_report(t):
 @query(using("rem") + "SELECT trip_id, content FROM rem WHERE trip_id % 10 = 3 AND deleted_at IS NULL")
 def q_visible_rows(t):
     rows = fx.remote(t).withColumn("user_id", F.col("trip_id") % 10)
-    cached = rows.select(F.concat(F.lit("mvroad|"), F.col("trip_id").cast("string")).alias("trip_id"), "content", "updated_at", "deleted_at", "user_id")
+    cached = rows.select(F.concat(F.lit("cache|"), F.col("trip_id").cast("string")).alias("trip_id"), "content", "updated_at", "deleted_at", "user_id")
     both = rows.withColumn("trip_id", F.col("trip_id").cast("string")).unionByName(cached)
     return sync.visible_rows(both, 3).select(F.col("trip_id").cast("long").alias("trip_id"), "content")
 
