@@ -48,8 +48,8 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (mix(h) >> np.uint64(44)).astype(np.int64)
 
 
-def features(column: pa.Array, grams: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """document, bucket of each distinct word, and piece of a word, of each text, in that order."""
+def features(column: pa.Array, grams: bool = True, told: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """document, bucket of each distinct word, and piece of a word, of each text, in that order; of told buckets only."""
     data, start, end, first = word_spans(column)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -70,7 +70,10 @@ def features(column: pa.Array, grams: bool = True) -> tuple[np.ndarray, np.ndarr
         word = np.searchsorted(start, place, "right") - 1  # texts stand without a gap, so a piece may run on into the next
         place, word = place[place + GRAM <= end[word]], word[place + GRAM <= end[word]]
         keys.append(doc[word] * BUCKETS + _bucket(h[place]))
-    key = np.unique(np.concatenate(keys))
+    every = np.concatenate(keys)
+    if told is not None:
+        every = every[told[every % BUCKETS]]
+    key = np.unique(every)
     return key // BUCKETS, key % BUCKETS
 
 
@@ -176,9 +179,11 @@ def predict(docs: DataFrame, chain: list[Link], text_col: str = "text") -> DataF
     sent = docs.sparkSession.sparkContext.broadcast(chain)  # BUCKETS numbers for each category, whatever the corpus
 
     def make():
+        told = np.any([link.weight != 0 for link in sent.value], axis=0)  # other buckets add nothing
+
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in slices(batch, text_col, 1 << 20):
-                doc, bucket = features(part.column(text_col))
+                doc, bucket = features(part.column(text_col), told=told)
                 p = np.zeros((part.num_rows, 0))
                 for link in sent.value:
                     p = np.column_stack([p, link.predict(doc, bucket, p)])
