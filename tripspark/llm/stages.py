@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripspark.llm import op1_substring, op4_simhash, op7_decontaminate, op8_quality, op10_bpe
+from tripspark.llm import op1_substring, op7_decontaminate, op8_quality, op10_bpe, similar
 from tripspark.llm.common import free_name, materialize, small, tokenizer_path, with_key
 
 
@@ -20,10 +20,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of smallest id stays (of equal ids and texts, one row)."""
-    found = op4_simhash.near_duplicates(docs)
-    keys = found.columns[1:3]
-    first = materialize(found.groupBy("component_id").agg(F.min(F.struct(*keys)).alias("k")).select("k.*"), "first")
+    """Of each group of texts linked by fingerprints or by a likeness of 0.8 or more (Jaccard of five-word shingles) the document
+    of smallest id stays (of equal ids and texts, one row)."""
+    found = similar.similar_groups(docs)
+    keys = found.columns[:2]
+    first = materialize(found.groupBy("group").agg(F.min(F.struct(*keys)).alias("k")).select("k.*"), "first")
     keyed, own = with_key(docs, "doc_id", "text")
     first = first.toDF(*own)
     return keyed.join(first, own, "left_semi").dropDuplicates(own).select(*docs.columns)
