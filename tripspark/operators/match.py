@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripspark.functions.text import fuzzy_score, plain
@@ -47,17 +47,29 @@ def merge_results(cities: DataFrame, pois: DataFrame, most: int = 12) -> DataFra
     return c.union(p).distinct().withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= most).select("query_id", "kind", "item_id", "pos")
 
 
+def _pieces(name: str) -> Column:
+    """The empty text and all runs of one to three letters of a column."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(at, lambda k: F.array(*[F.substring(F.col(name), k, F.lit(n)) for n in (1, 2, 3)])))))
+
+
 def kb_match(cities: DataFrame, items: DataFrame, most_km: float = 120.0, keep: int = 5) -> DataFrame:
     """city_id, item_id, score: the knowledge-base item for each city: names equal 14, one inside the other 5, else -8; a town by its
     description 4, noise -14, the same group 7, the same country 3; the best that scores 5 or more and lies near, with a flag."""
     from tripspark.functions.geo import haversine
 
-    c = cities.withColumn("n_", plain(F.col("name"))).withColumn("block", F.substring(F.col("n_"), 1, 3))
-    i = items.withColumn("m_", plain(F.col("title"))).withColumn("block", F.substring(F.col("m_"), 1, 3))
+    c = cities.withColumn("n_", plain(F.col("name"))).alias("c")
+    i = items.withColumn("m_", plain(F.col("title"))).alias("i")
     name = F.when(F.col("n_") == F.col("m_"), 14).when(F.col("m_").contains(F.col("n_")) | F.col("n_").contains(F.col("m_")), 5).otherwise(-8)
-    j = c.alias("c").join(i.alias("i"), "block")
     score = name + F.when(F.col("i.is_town"), 4).otherwise(0) + F.when(F.col("i.is_noise"), -14).otherwise(0) + F.when(F.col("c.region") == F.col("i.region"), 7).otherwise(0) + F.when(F.col("c.country") == F.col("i.country"), 3).otherwise(0)
-    j = j.select("city_id", "item_id", score.alias("score"), haversine(F.col("c.lat"), F.col("c.lng"), F.col("i.lat"), F.col("i.lng")).alias("km"), "has_flag").filter("score >= 5")
+    wanted = ["city_id", "item_id", score.alias("score"), haversine(F.col("c.lat"), F.col("c.lng"), F.col("i.lat"), F.col("i.lng")).alias("km"), "has_flag"]
+    # a name inside the other: its first letters are some letters of the other in a row
+    inside = c.withColumn("key_", F.explode(_pieces("n_"))).alias("c").join(i.withColumn("key_", F.substring("m_", 1, 3)).alias("i"), "key_").select(*wanted)
+    around = c.withColumn("key_", F.substring("n_", 1, 3)).alias("c").join(i.withColumn("key_", F.explode(_pieces("m_"))).alias("i"), "key_").select(*wanted)
+    # other names need all of town, group and country; all score the same there, so the first items of each group are enough
+    towns = i.filter("is_town and not coalesce(is_noise, false)").withColumn("o_", F.row_number().over(Window.partitionBy("region", "country").orderBy("item_id"))).filter(F.col("o_") <= keep).alias("i")
+    others = c.join(towns, (F.col("c.region") == F.col("i.region")) & (F.col("c.country") == F.col("i.country"))).select(*wanted)
+    j = inside.union(around).union(others).filter("score >= 5").distinct()
     w = Window.partitionBy("city_id").orderBy(F.desc("score"), "item_id")
-    j = j.withColumn("n_", F.row_number().over(w)).filter(F.col("n_") <= keep).filter((F.col("km") <= most_km) & F.col("has_flag"))
+    j = j.withColumn("n_", F.row_number().over(w)).filter(F.col("n_") <= keep).filter((F.col("km").isNull() | (F.col("km") <= most_km)) & F.col("has_flag"))
     return j.groupBy("city_id").agg(F.min_by(F.struct("item_id", "score"), "n_").alias("b")).select("city_id", "b.item_id", "b.score")
