@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tripspark.llm.common import id_ranges, map_rows, materialize, range_of, slices, small, with_key
 from tripspark.llm.hashing import prefix_sums, span_hashes
 
-GRAM, WIDTH = 20, 100
+GRAM, WIDTH = 10, 20
 #: Boundaries of ids that the driver holds, at most; between two of them ranges are cut evenly, as many as the corpus needs.
 COARSE = 512
 #: Documents in a range, about.
