@@ -220,7 +220,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
 
         return make
 
-    first = materialize(_bucket_links(map_rows(fps.select("fp"), dealt(8, False), "key long, fp long"), radius, BUCKET), "links")
+    first = materialize(_bucket_links(map_rows(fps.select("fp"), dealt(8, False), "key long, fp long"), radius, BUCKET if radius == 4 else None), "links")
     over = first.filter("again").select(F.col("a").alias("fp"), F.col("b").alias("key")) if radius == 4 else None
     out = first.filter("not again").select("a", "b")
     if over is not None and over.take(1):
