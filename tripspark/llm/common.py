@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes at a time; a longer text is a pass of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Rows of a table that is sent to every executor, at most; its rows are a few numbers or a word each.
 BROADCAST_ROWS = 200_000
 #: Bytes of an Arrow batch between Spark and Python, about.
@@ -21,12 +22,13 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset: a temporary one if Spark is one process
+    (as in tests), which is then set, and the warehouse on a cluster, as executors share that too."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if not found and spark.sparkContext.master.split("[")[0] == "local":
         found = "file://" + tempfile.mkdtemp(prefix="tripspark-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -100,16 +102,43 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
-    """mapInArrow with state made once in each task: make() returns the function of a batch."""
+#: What a worker keeps from one task to the next: one vocabulary with its memo, by name.
+_RESIDENT: dict = {}
+
+
+def resident(key: tuple, make: Callable[[], object]) -> object:
+    """make()'s object, kept for the worker's next tasks of the same key; whatever was kept before goes first."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def give_back() -> None:
+    """Return what a task has freed to the machine: workers live on, idle or in other stages, beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str, keeps: bool = False) -> DataFrame:
+    """mapInArrow with state made once in each task: make() returns the function of a batch.
+
+    keeps: make() asks for a resident vocabulary; a task without one drops what earlier tasks of its worker kept."""
 
     bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _RESIDENT.clear()
         work = make()
         for batch in batches:
             if batch.num_rows:
                 yield from work(batch)
+        del work
+        give_back()
 
     return df.mapInArrow(run, schema)
 

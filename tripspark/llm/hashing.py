@@ -10,6 +10,8 @@ from tripspark.llm.common import text_buffer
 BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps for each base, at most; a longer text makes its own.
+KEPT = 1 << 20
 #: The ASCII white space that ends a word.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -22,7 +24,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base & (2**64 - 1), np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 1 << 23:
+        if n <= KEPT:
             _POWERS[base] = have
     return have[:n]
 

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripspark.llm.common import map_rows, new_path, slices, tokenizer_path, with_key
-from tripspark.llm.prefix_bpe import MEMO, splitter
+from tripspark.llm.common import bound_batches, give_back, map_rows, new_path, resident, slices, tokenizer_path, with_key
+from tripspark.llm.prefix_bpe import Memo, splitter, unnamed
 
 CHUNK = 8
 RANK_BITS = 512
@@ -84,11 +84,13 @@ class Block:
         return out
 
 
-class WordIds(dict):
-    """Word, as the tokenizer's own steps cut it -> its ids as bytes of uint32, by the library's model."""
+class WordIds:
+    """Texts -> their ids as bytes of uint32, by the library's model for each word that the tokenizer's own steps cut.
+
+    Texts that hold an added token, or a character that this Python's Unicode tables don't name while the library's may,
+    are handed to the library whole."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -103,27 +105,25 @@ class WordIds(dict):
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.sign = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.memo = Memo(self._learn)
+
+    def _learn(self, words: list[str]) -> Iterator[bytes]:
+        for word in words:
+            tokens = self.library.model.tokenize("".join([self.sign[b] for b in word.encode()]))
+            yield array("I", [t.id for t in tokens]).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > MEMO // 3:
-            self.clear()
-        tokens = self.library.model.tokenize("".join([self.sign[b] for b in word.encode()]))
-        got = np.array([t.id for t in tokens], np.uint32).tobytes()
-        if len(word) < 64:
-            self[word] = got
-        return got
-
-    def encode(self, text: str) -> bytes:
-        if any(a in text for a in self.added):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+    def _words(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the library lower-cases letter by letter
-        return b"".join([self[w] for w in self.split(text.lower())])
-
+        return self.split(text.lower())
 
-@lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [any(a in t for a in self.added) or unnamed(t) for t in texts]
+        rows = self.memo.joined([[] if own else self._words(t) for t, own in zip(texts, whole)])
+        for i, own in enumerate(whole):
+            if own:
+                rows[i] = array("I", self.library.encode(texts[i], add_special_tokens=False).ids).tobytes()
+        return rows
 
 
 def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -135,7 +135,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 2, id_col:
     ordered = keyed.select(*keys, text_col).repartitionByRange(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, number = word_ids(path), TaskContext.get().partitionId(), 0
+        encoder, shard, number = resident(("words", path), lambda: WordIds(path)), TaskContext.get().partitionId(), 0
         ids: list[int] = []
         firsts: list[int] = []
         parts: list[bytes] = []
@@ -150,8 +150,9 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 2, id_col:
 
         for batch in batches:
             for part in slices(batch, 2) if batch.num_rows else ():
-                for k1, k2, text in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    parts.append(encoder.encode(text or "") + last)
+                encoded = encoder.encode([t or "" for t in part.column(2).to_pylist()])
+                for k1, k2, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encoded):
+                    parts.append(own + last)
                     ids.append(k1)
                     firsts.append(k2)
                     size += len(parts[-1]) // 4
@@ -161,7 +162,9 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 2, id_col:
                         ids, firsts, parts = [], [], []
         if parts:
             yield closed()
+        give_back()
 
+    bound_batches(docs.sparkSession)
     ordered.mapInArrow(run, BLOCK).write.parquet(out)
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripspark.llm.common import map_rows, slices, tokenizer_path
-from tripspark.llm.prefix_bpe import MEMO, PrefixBPE
+from tripspark.llm.common import map_rows, resident, slices, tokenizer_path
+from tripspark.llm.prefix_bpe import Memo, PrefixBPE
 
 MARK = "▁"
 
 
-@lru_cache(maxsize=2)
 def sentencepiece_bpe(path: str) -> tuple[PrefixBPE, re.Pattern]:
     """Merge ranks by falling score, and the pattern of stretches that encode on their own.
 
@@ -49,49 +47,36 @@ def _bytes(symbol: str) -> int:
     return len(symbol.encode())
 
 
-def prefix_changes(text: str, bpe: PrefixBPE, stretch: re.Pattern, memo: dict) -> bytes:
-    """int8 for each symbol of the marked text (one mark before it, spaces as marks): how many tokens the prefix that ends
-    there has more than the one before. Running sums are the counts of all prefixes; the sum is that of the text."""
-    return b"".join([memo[s] for s in stretch.findall(MARK + text.replace(" ", MARK))]) if text else b""
-
-
-class Stretches(dict):
-    """Stretch -> its int8 changes; starts anew when full, and long stretches are not kept."""
-
-    def __init__(self, bpe: PrefixBPE):
-        super().__init__()
-        self.bpe = bpe
-
-    def __missing__(self, stretch: str) -> bytes:
-        if len(self) > MEMO // 3:
-            self.clear()
-        got = np.diff(self.bpe.counts(stretch, _bytes)).astype(np.int8).tobytes()
-        if len(stretch) < 64:
-            self[stretch] = got
-        return got
+def stretches(text: str, pattern: re.Pattern) -> list[str]:
+    """The stretches of the marked text: one mark before it, spaces as marks."""
+    return pattern.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
 def prefix_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """docs with changes (binary, see prefix_changes) and n_tokens (long), for every whole text.
+    """docs with changes (binary) and n_tokens (long), for every whole text.
 
-    path: a sentencepiece model that every executor can read. Null and empty texts have no tokens. Repeated rows each
+    changes: int8 for each symbol of the marked text, how many tokens the prefix that ends there has more than the one
+    before. Running sums are the counts of all prefixes; the sum is n_tokens. path: a sentencepiece model that every executor can read. Null and empty texts have no tokens. Repeated rows each
     come back; columns of these names are replaced, others stay."""
     names = [c for c in docs.columns if c not in ("changes", "n_tokens")]
     schema = docs.select(*names).schema.add("changes", T.BinaryType(), False).add("n_tokens", T.LongType(), False)
 
     def make():
-        bpe, stretch = sentencepiece_bpe(path)
-        memo = Stretches(bpe)
+        def made() -> tuple:
+            bpe, pattern = sentencepiece_bpe(path)
+            return pattern, Memo(lambda found: bpe.changes(found, _bytes))
+
+        pattern, memo = resident(("sentencepiece", path), made)
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in slices(batch, text_col):
-                rows = [prefix_changes(t or "", bpe, stretch, memo) for t in part.column(text_col).to_pylist()]
+                rows = memo.joined([stretches(t or "", pattern) for t in part.column(text_col).to_pylist()])
                 total = [int(np.frombuffer(r, np.int8).sum(dtype=np.int64)) for r in rows]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(rows, pa.binary()), pa.array(total, pa.int64())], [*names, "changes", "n_tokens"])
 
         return work
 
-    return map_rows(docs.select(*names), make, schema)
+    return map_rows(docs.select(*names), make, schema, keeps=True)
 
 
 def within_budget(counted: DataFrame, budget: int, out_col: str = "fits") -> DataFrame:
@@ -114,6 +99,8 @@ def within_budget(counted: DataFrame, budget: int, out_col: str = "fits") -> Dat
 
 
 def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of documents. Null and empty texts have no bytes and no tokens; repeated rows and
+    null ids each come back; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     return prefix_counts(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))

@@ -2,29 +2,29 @@
 
 The encoding of every prefix of a sequence ends in exactly one token: the one that may stand after the last
 token of the prefix before it. Keeping that token for each prefix gives the encoding of the whole, exact
-appends, and re-encoding near an edit, all in time linear in the length.
+appends, and re-encoding near an edit, all in time linear in the length. Sequences that begin alike share the
+tokens of their common prefixes, so many of them are done in ascending order.
 
-Two tokens may stand side by side if the merges of their joined symbols never cross the seam. Each token's
-merge tree has, along the seam, a chain of pieces; a piece lives from the merge that made it to the merge that
-takes it up. The seam is crossed if two pieces that live at one time join by a merge that comes before both of
-them are taken up (of equal ranks the left one comes first).
+Two tokens may stand side by side if the merges of their joined symbols never cross the seam. Going back from
+the last merge of either token to the first, the two pieces that meet at the seam are known at every time; the
+seam is crossed if two such pieces join by a merge that comes before both of them are taken up (of equal ranks
+the left one comes first).
 """
 
 from __future__ import annotations
 
 import base64
 import re
-import sys
 import unicodedata
-from collections.abc import Iterable
-from functools import lru_cache
-
-import regex
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 _NEVER = 1 << 60
-#: Entries after which a memo starts anew; bounds the memory of a task.
-MEMO = 1_000_000
-PAIRS = 400_000
+#: Words, and pairs of tokens, after which the younger generation of a memo becomes the older; bounds the memory of a task.
+MEMO = 100_000
+PAIRS = 150_000
+#: Longer words are not kept past their slice.
+LONGEST = 64
 
 
 class PrefixBPE:
@@ -36,8 +36,7 @@ class PrefixBPE:
         self.split: dict[int, tuple[int, int]] = {}
         self.ends: dict = {}
         self.pairs: dict[int, bool] = {}
-        self.left: dict[int, list] = {}
-        self.right: dict[int, list] = {}
+        self.older: dict[int, bool] = {}
         for p, r in sorted(pieces.items(), key=lambda x: x[1]):
             if len(p) > 1 and not self._grow(p, r):
                 continue  # no merges lead to it, so it is never a token of an encoding
@@ -59,38 +58,32 @@ class PrefixBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return False
 
-    def _chain(self, token: int, side: int) -> list[tuple[int, int, int]]:
-        """Pieces of token along its right (side 1) or left (side 0) edge: rank, when made, when taken up; the whole first."""
-        memo = self.right if side else self.left
-        got = memo.get(token)
-        if got is None:
-            got, until, t = [], _NEVER, token
-            while t in self.split:
-                got.append((t, t, until))
-                t, until = self.split[t][side], t
-            got.append((t, -1, until))
-            memo[token] = got
-        return got
-
     def may_follow(self, a: int, b: int) -> bool:
         key = a << 32 | b
         ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) > PAIRS:
+                self.older = dict(self.pairs)
                 self.pairs.clear()
-            ok = self.pairs[key] = self._apart(a, b)
+            ok = self.older.get(key)
+            self.pairs[key] = ok = self._apart(a, b) if ok is None else ok
         return ok
 
     def _apart(self, a: int, b: int) -> bool:
         if a < 0 or b < 0:
             return True
-        for x, made_x, gone_x in self._chain(a, 1):
-            for y, made_y, gone_y in self._chain(b, 0):
-                if max(made_x, made_y) < min(gone_x, gone_y):
-                    r = self.rank.get(self.piece[x] + self.piece[y], _NEVER)
-                    if r < gone_x and r <= gone_y and r != _NEVER:
-                        return False
-        return True
+        gone_a = gone_b = _NEVER
+        while True:
+            r = self.rank.get(self.piece[a] + self.piece[b], _NEVER)
+            if r < gone_a and r <= gone_b and r != _NEVER:
+                return False
+            made_a, made_b = (t if t in self.split else -1 for t in (a, b))
+            if made_a > made_b:
+                gone_a, a = a, self.split[a][1]
+            elif made_b >= 0:
+                gone_b, b = b, self.split[b][0]
+            else:
+                return True
 
     def extend(self, seq, last: list, size: list) -> None:
         """last[i], size[i]: last token of seq[:i] and its length; continues them from where they end to len(seq)."""
@@ -98,7 +91,7 @@ class PrefixBPE:
         for i in range(len(last), n + 1):
             j = i - 1
             while j >= 0 and (t := ends(seq[j:i])) is not None:
-                if t >= 0 and (j == 0 or (pairs(last[j] << 32 | t) or self.may_follow(last[j], t))):
+                if t >= 0 and (j == 0 or (ok := pairs(last[j] << 32 | t)) or (ok is None and self.may_follow(last[j], t))):
                     break
                 j -= 1
             else:
@@ -111,22 +104,51 @@ class PrefixBPE:
         self.extend(seq, last, size)
         return last, size
 
-    def encode(self, seq) -> list[int]:
-        last, size = self.table(seq)
-        out, i = [], len(seq)
+    def tables(self, ascending: Iterable) -> Iterator[tuple]:
+        """(sequence, last, size, shared) of each sequence, which must come in ascending order: the first `shared` symbols are
+        those of the sequence before, and their entries are kept. The lists are changed for the next sequence."""
+        last, size, before = [-2], [0], b""
+        for seq in ascending:
+            shared = 0
+            for x, y in zip(before, seq):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1 :], size[shared + 1 :]
+            self.extend(seq, last, size)
+            yield seq, last, size, shared
+            before = seq
+
+    @staticmethod
+    def tokens(last: list, size: list) -> list[int]:
+        """The encoding of the whole, read back from its last prefix."""
+        out, i = [], len(last) - 1
         while i:
             out.append(last[i])
             i -= size[i]
         return out[::-1]
 
+    def encode(self, seq) -> list[int]:
+        return self.tokens(*self.table(seq))
+
     def counts(self, seq, alone=lambda symbol: 1) -> list[int]:
         """Number of tokens of seq[:i] for i = 0 .. len(seq); a symbol without a rank counts alone(symbol)."""
         last, size = self.table(seq)
-        got = [0] * len(last)
+        got = [0]
         for i in range(1, len(last)):
-            got[i] = got[i - size[i]] + (1 if last[i] >= 0 else alone(seq[i - 1 : i]))
+            got.append(got[i - size[i]] + (1 if last[i] >= 0 else alone(seq[i - 1 : i])))
         return got
 
+    def changes(self, ascending: Iterable, alone=lambda symbol: 1) -> Iterator[bytes]:
+        """counts of each sequence, in ascending order, as one int8 a symbol: how much its prefix has more than the one before."""
+        got, change = [0], array("b")
+        for seq, last, size, shared in self.tables(ascending):
+            del got[shared + 1 :], change[shared:]
+            for i in range(shared + 1, len(last)):
+                got.append(got[i - size[i]] + (1 if last[i] >= 0 else alone(seq[i - 1 : i])))
+                change.append(got[i] - got[i - 1])
+            yield change.tobytes()
+
     def edited(self, seq, last: list, size: list, at: int, cut: int, put) -> tuple:
         """seq with cut symbols at `at` replaced by put: only prefixes past the edit are made anew, and where the
         state after the edit agrees with the old one for as many symbols as the longest piece, the old rest is kept."""
@@ -145,13 +167,48 @@ class PrefixBPE:
         return fresh, new_last, new_size
 
 
+class Memo:
+    """Words -> bytes, learnt for many words at a time and kept in two generations: a full younger one becomes the older, and
+    the one before it is dropped, so words in use stay, and no more than twice `most` (and a slice's own) are held.
+
+    learn: words in ascending order -> their bytes, in that order."""
+
+    def __init__(self, learn: Callable[[list[str]], Iterable[bytes]], most: int = MEMO):
+        self.learn, self.most = learn, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def joined(self, lists: list[list[str]]) -> list[bytes]:
+        """For each list of words their bytes, one after another."""
+        fresh, unknown = sorted(set().union(*lists).difference(self.young)), []
+        for word in fresh:
+            value = self.old.get(word)
+            if value is None:
+                unknown.append(word)
+            else:
+                self.young[word] = value
+        self.young.update(zip(unknown, self.learn(unknown)))
+        out = [b"".join(map(self.young.__getitem__, words)) for words in lists]
+        for word in unknown:
+            if len(word) > LONGEST:
+                del self.young[word]
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        return out
+
+
+def ids_of(bpe: PrefixBPE, words: list[str]) -> Iterator[bytes]:
+    """The ids, as bytes of int32, of words in ascending order of their code points (and so of their UTF-8 bytes)."""
+    for _, last, size, _ in bpe.tables(map(str.encode, words)):
+        yield array("i", bpe.tokens(last, size)).tobytes()
+
+
 def ranks_of(path: str) -> dict[bytes, int]:
     """Pieces and ranks of a tiktoken rank file."""
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-@lru_cache(maxsize=1)
 def rank_file(path: str) -> PrefixBPE:
     return PrefixBPE(ranks_of(path))
 
@@ -170,28 +227,49 @@ def _ranges(points: Iterable[int]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
 
 
-@lru_cache(maxsize=1)
-def _classes() -> dict[str, str]:
-    """Classes over U+0000..U+FFFF: letters, numbers, white space, and what this Python's Unicode tables don't name."""
-    kinds: dict[str, list[int]] = {"L": [], "N": [], "Cn": []}
-    for p in range(0x10000):
-        c = unicodedata.category(chr(p))
-        k = c if c == "Cn" else c[0]
-        if k in kinds:
-            kinds[k].append(p)
-    white = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-    return {"L": _ranges(kinds["L"]), "N": _ranges(kinds["N"]), "S": _ranges(white), "odd": _ranges(kinds["Cn"]) + _ranges(range(0x10000, sys.maxunicode + 1))}
-
-
-@lru_cache(maxsize=8)
-def splitter(pattern: str):
-    """text -> list of matches of a pattern written with \\p{L}, \\p{N} and \\s (Unicode white space).
-
-    Texts whose characters are all named ones below U+10000 go to the faster of Python's two engines, with the
-    classes written out; others go to the one that knows properties."""
-    c = _classes()
-    slow = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-    inside = re.sub(r"\[([^\]]*)\]", lambda m: "[" + m[1].replace(r"\p{L}", c["L"]).replace(r"\p{N}", c["N"]).replace(r"\s", c["S"]) + "]", pattern)
-    fast = re.compile(inside.replace(r"\p{L}", f"[{c['L']}]").replace(r"\p{N}", f"[{c['N']}]").replace(r"\s", f"[{c['S']}]").replace(r"\S", f"[^{c['S']}]"))
-    odd = re.compile(f"[{c['odd']}]")
-    return lambda text: (slow if not text.isascii() and odd.search(text) else fast).findall(text)
+def library_classes(names: Iterable[str]) -> dict[str, set[str]]:
+    """Which code points the tiktoken library itself takes for each class, such as \\p{L}: it is asked to encode all of them
+    by a pattern that matches the class alone, so its own Unicode tables decide, whatever their version."""
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    single = {bytes([b]): b for b in range(256)}
+    found = {}
+    for name in names:
+        asked = tiktoken.Encoding("class", pat_str=f"{name}+", mergeable_ranks=single, special_tokens={})
+        found[name] = set(asked.decode(asked.encode_ordinary(every)))
+    return found
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """text -> list of matches of a pattern that knows characters by \\p{L}, \\p{N}, \\s, or as themselves if ASCII.
+
+    Characters above U+FFFF are looked at as one below it of their class, which the pattern cannot tell apart."""
+    found = library_classes([r"\p{L}", r"\p{N}", r"\s"])
+    body = {name: _ranges(sorted(ord(c) for c in chars if ord(c) < 0x10000)) for name, chars in found.items()}
+    inside = pattern
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        inside = re.sub(r"\[([^\]]*)\]", lambda m: "[" + m[1].replace(name, body[name]) + "]", inside)
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        inside = inside.replace(name, f"[{body[name]}]") if name in inside else inside
+    find = re.compile(inside.replace(r"\S", f"[^{body[chr(92) + 's']}]"))
+    stand_in = {r"\p{L}": "ª", r"\p{N}": "²", r"\s": " "}
+    high = {ord(c): stand_in[name] for name, chars in found.items() for c in chars if ord(c) >= 0x10000}
+    above = re.compile("[\U00010000-\U0010ffff]")
+
+    def split(text: str) -> list[str]:
+        if text.isascii() or not above.search(text):
+            return find.findall(text)
+        low = above.sub(lambda m: high.get(ord(m[0]), "—"), text)
+        return [text[m.start() : m.end()] for m in find.finditer(low)]
+
+    return split
+
+
+#: A character that this Python's tables don't name, below U+10000, or any above.
+_ODD = re.compile("[" + _ranges(p for p in range(0x10000) if unicodedata.category(chr(p)) == "Cn") + "\U00010000-\U0010ffff]")
+
+
+def unnamed(text: str) -> bool:
+    """Whether text has a character that this Python's Unicode tables don't name; a library with newer ones may."""
+    return not text.isascii() and _ODD.search(text) is not None and any(unicodedata.category(c) == "Cn" for c in set(text))

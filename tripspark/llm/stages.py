@@ -59,8 +59,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether the ids decode to the text's bytes."""
     path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
-    tokens = op10_bpe.encode(docs.select("doc_id", "text"), path)
-    both = op10_bpe.decode(tokens, path)
+    both = op10_bpe.round_trip(docs.select("doc_id", "text"), path)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
