@@ -7,17 +7,26 @@ from pyspark.sql import functions as F
 
 from tripspark.llm.common import materialize
 
+#: Parts that the edges of one node are joined in.
+SALTS = 16
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges with m, the least of their a; a node of very many edges is joined in parts."""
+    parts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    return edges.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least.withColumn("s", parts), ["a", "s"])
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    return _with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(down, least).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b")
 
 

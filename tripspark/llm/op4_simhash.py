@@ -1,10 +1,11 @@
 """SimHash near-dedup: 64-bit fingerprints of word shingles, linked at few differing bits.
 
 Pairs come from fingerprints that agree on enough of eight blocks of bits (with r differing bits, 8 - r blocks
-agree). Inside such a bucket a pivot table holds each member's Hamming distances to reference fingerprints; by the
-triangle inequality two members within r bits differ by at most r in every coordinate. Members are ordered by the
-first coordinate, so only a band around each is looked at; pairs whose largest coordinate difference is over r
-are discarded, and the rest are verified bit by bit. A bucket gives one row for each linked member, not its pairs.
+agree). A pivot table holds each distinct fingerprint's Hamming distances to reference fingerprints; it is made once and its
+rows go with the fingerprints into their buckets. By the triangle inequality two fingerprints within r bits differ by at most
+r in every coordinate. In a bucket, members are ordered by the first coordinate, so only a band around each is looked at;
+pairs whose largest coordinate difference is over r are discarded, and the rest are verified bit by bit. A bucket gives one
+row for each linked member, not its pairs.
 """
 
 from __future__ import annotations
@@ -18,16 +19,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripspark.llm.common import map_rows, materialize, slices, with_key
+from tripspark.llm.common import give_back, map_rows, materialize, slices, with_key
 from tripspark.llm.components import components
+from tripspark.llm.hashing import mix
 
 BLOCKS = 8
-#: A bucket of more fingerprints is dealt out again by 16 bits more; what agrees on those 48 bits has 2**16 values at most.
+#: A bucket of more fingerprints is dealt out again by the bits that are left; what then agrees has 2**16 values at most.
 BUCKET = 1 << 16
 #: Buckets of so many or fewer are compared all together, at each distance in the order of the rows.
 SMALL = 8
-#: Reference fingerprints of the pivot tables.
-PIVOTS = np.random.default_rng(42).integers(0, 2**64, 12, dtype=np.uint64)
+#: Reference fingerprints of the pivot table; eight coordinates of a byte each make one number.
+PIVOTS = np.random.default_rng(42).integers(0, 2**64, 8, dtype=np.uint64)
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -84,19 +86,26 @@ def _rest(fps: np.ndarray, keys: np.ndarray, agree: int) -> np.ndarray:
     return out
 
 
-def _near(fps: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def pivot_table(fps: np.ndarray) -> np.ndarray:
+    """Distances of each fingerprint to the pivots: a row of int8 each."""
+    return np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+
+
+def may_link(table: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
+    """Whether no coordinate of the rows i and j of the pivot table differs by more than radius."""
+    return (np.abs(table[i] - table[j]) <= radius).all(axis=-1)
+
+
+def _near(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs (i, j), those within radius: first by the pivots' coordinates, then by all bits."""
-    for p in PIVOTS:
-        d = np.bitwise_count(fps ^ p).astype(np.int8)
-        ok = np.abs(d[i] - d[j]) <= radius
-        i, j = i[ok], j[ok]
+    ok = may_link(table, i, j, radius)
+    i, j = i[ok], j[ok]
     ok = np.bitwise_count(fps[i] ^ fps[j]) <= radius
     return i[ok], j[ok]
 
 
-def _large(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _large(fps: np.ndarray, table: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked pairs of one bucket, in blocks: rows of the pivot table in the order of its first coordinate."""
-    table = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
     order = np.argsort(table[:, 0], kind="stable")
     table, first = table[order], table[order, 0].astype(np.int64)
     step = max(1, (1 << 20) // len(fps))
@@ -123,8 +132,9 @@ def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             root = shorter
 
 
-def _linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _linked(keys: np.ndarray, fps: np.ndarray, packed: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows in order of key: each linked fingerprint and the one of its bucket that it is reached from."""
+    table = packed.view(np.int8).reshape(-1, len(PIVOTS))
     cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     size = np.diff(cut)
     place = np.repeat(size, size)
@@ -132,14 +142,14 @@ def _linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
     few = place <= SMALL
     for d in range(1, SMALL):
         i = np.flatnonzero(few[:-d] & (keys[:-d] == keys[d:])) if len(keys) > d else np.zeros(0, np.int64)
-        i, j = _near(fps, i, i + d, radius) if len(i) else (i, i)
+        i, j = _near(fps, table, i, i + d, radius) if len(i) else (i, i)
         pairs_i.append(i)
         pairs_j.append(j)
     root = _joined(np.arange(len(fps)), np.concatenate(pairs_i), np.concatenate(pairs_j))
     for b in np.flatnonzero(size > SMALL):
         own = fps[cut[b] : cut[b + 1]]
         sub = np.arange(len(own))
-        for i, j in _large(own, radius):
+        for i, j in _large(own, table[cut[b] : cut[b + 1]], radius):
             sub = _joined(sub, i, j)
         root[cut[b] : cut[b + 1]] = cut[b] + sub
     at = np.flatnonzero(root != np.arange(len(root)))
@@ -147,47 +157,46 @@ def _linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
 
 
 def _bucket_links(rows: DataFrame, radius: int, bound: int | None) -> DataFrame:
-    """rows: key, fp. Returns a, b, again: links; or, of buckets over bound, the fingerprint and key to deal out again."""
+    """rows: key, fp, coords. Returns a, b, again: links; or, of buckets over bound, the fingerprint and key to deal out again."""
 
     def make():
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        state = {"n": 0, "over": None}
+        held: list[list[np.ndarray]] = []
+        state = {"over": None}
 
-        def flush(keys: np.ndarray, fps: np.ndarray, again: bool) -> pa.RecordBatch:
-            a, b = (fps, keys) if again else _linked(keys, fps, radius)
+        def flush(keys: np.ndarray, fps: np.ndarray, packed: np.ndarray, again: bool) -> pa.RecordBatch:
+            a, b = (fps, keys) if again else _linked(keys, fps, packed, radius)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), again))], ["a", "b", "again"])
 
         def work(batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
             if batch is not None:
-                keys, fps = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+                own = [batch.column(i).to_numpy().view(np.uint64) for i in range(3)]
                 if held:
-                    keys, fps = np.concatenate((held[0][0], keys)), np.concatenate((held[0][1], fps))
-                    held.clear()
-                tail = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
+                    own = [np.concatenate(x) for x in zip(held.pop(), own)]
+                tail = int(np.searchsorted(own[0], own[0][-1]))  # the last bucket may go on in the next batch
                 if state["over"] is not None:
-                    n = int(np.searchsorted(keys, np.uint64(state["over"]), "right"))
+                    n = int(np.searchsorted(own[0], np.uint64(state["over"]), "right"))
                     if n:
-                        yield flush(keys[:n], fps[:n], True)
-                    if n < len(keys):
+                        yield flush(*(x[:n] for x in own), True)
+                    if n < len(own[0]):
                         state["over"] = None
-                    keys, fps, tail = keys[n:], fps[n:], max(0, tail - n)
+                    own, tail = [x[n:] for x in own], max(0, tail - n)
                 if tail:
-                    yield from parts(keys[:tail], fps[:tail])
-                if len(keys) > tail:
-                    if bound and len(keys) - tail > bound:
-                        state["over"] = int(keys[-1])
-                        yield flush(keys[tail:], fps[tail:], True)
+                    yield from parts(*(x[:tail] for x in own))
+                if len(own[0]) > tail:
+                    if bound and len(own[0]) - tail > bound:
+                        state["over"] = int(own[0][-1])
+                        yield flush(*(x[tail:] for x in own), True)
                     else:
-                        held.append((keys[tail:].copy(), fps[tail:].copy()))
+                        held.append([x[tail:].copy() for x in own])
             elif held:
                 yield from parts(*held.pop())
 
-        def parts(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def parts(keys: np.ndarray, fps: np.ndarray, packed: np.ndarray) -> Iterator[pa.RecordBatch]:
             size = np.diff(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))))
             over = np.repeat(size > bound, size) if bound else np.zeros(len(keys), bool)
             if over.any():
-                yield flush(keys[over], fps[over], True)
-            yield flush(keys[~over], fps[~over], False)
+                yield flush(keys[over], fps[over], packed[over], True)
+            yield flush(keys[~over], fps[~over], packed[~over], False)
 
         return work
 
@@ -197,12 +206,16 @@ def _bucket_links(rows: DataFrame, radius: int, bound: int | None) -> DataFrame:
             if batch.num_rows:
                 yield from work(batch)
         yield from work(None)
+        give_back()
 
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, again boolean")
 
 
 def links(fps: DataFrame, radius: int) -> DataFrame:
-    """fps: fp, each once. Returns a, b: links that connect whatever pairs within radius bits connect."""
+    """fps: fp, each once. Returns a, b: links that connect whatever pairs within radius bits (0 to 4) connect.
+
+    A bucket of more than BUCKET fingerprints is dealt out again, at any radius, by as many of eight narrow blocks of the
+    8 * radius bits that its key leaves out; nothing is left out."""
     agree = BLOCKS - radius
 
     def dealt(wide: int, before: bool):
@@ -211,20 +224,22 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
                 for at in range(0, batch.num_rows, 1 << 12):
                     part = batch.slice(at, 1 << 12)
                     own = part.column(0).to_numpy().view(np.uint64)
+                    coords = pa.array(pivot_table(own).view(np.int64).reshape(-1))
                     keys = part.column(1).to_numpy().view(np.uint64) if before else None
                     for key in _keys(own if keys is None else _rest(own, keys, agree), wide, agree):
-                        key = key if keys is None else keys << np.uint64(23) | key
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0)], ["key", "fp"])
+                        key = key if keys is None else mix(keys) + key  # buckets that fall together are only compared in vain
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0), coords], ["key", "fp", "coords"])
 
             return work
 
         return make
 
-    first = materialize(_bucket_links(map_rows(fps.select("fp"), dealt(8, False), "key long, fp long"), radius, BUCKET if radius == 4 else None), "links")
-    over = first.filter("again").select(F.col("a").alias("fp"), F.col("b").alias("key")) if radius == 4 else None
+    form = "key long, fp long, coords long"
+    first = materialize(_bucket_links(map_rows(fps.select("fp"), dealt(8, False), form), radius, BUCKET), "links")
+    over = first.filter("again").select(F.col("a").alias("fp"), F.col("b").alias("key"))
     out = first.filter("not again").select("a", "b")
-    if over is not None and over.take(1):
-        more = _bucket_links(map_rows(over, dealt(4, True), "key long, fp long").distinct(), radius, None)
+    if over.take(1):
+        more = _bucket_links(map_rows(over, dealt(radius, True), form).distinct(), radius, None)
         out = out.union(more.select("a", "b"))
     return out
 
@@ -247,5 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row of documents. Null and empty texts have fingerprint zero; repeated rows
+    each come back; component_id is null where all ids of a component are; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
