@@ -229,7 +229,10 @@ def test_toxicity_on_held_out_rows(spark):
     got = op5_toxicity.predict(docs, chain).join(labels, "doc_id").collect()
     held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     assert np.mean([(r["p_toxic"] >= 0.5) == (r["toxic"] == 1) for r in held]) > 0.95
-    assert np.mean([r["p_insult"] for r in held if "idiot" in r["text"] or "moron" in r["text"]]) > 0.5
+    kinds = [max(r[f"p_kind_{k}"] for k in (1, 2, 3)) for r in held if "idiot" in r["text"] or "moron" in r["text"]]
+    assert np.mean(kinds) > 0.5
+    named = op5_toxicity.predict(docs, op5_toxicity.train(docs, labels.withColumn("insult", F.col("toxic")), categories=["insult"]))
+    assert named.columns == ["doc_id", "text", "p_insult", "p_toxic"]
     assert op5_toxicity.predict(table(spark), op5_toxicity.train(docs, labels.limit(0))).filter("p_toxic > 0.01").count() == 0
 
 

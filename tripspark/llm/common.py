@@ -10,8 +10,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one numpy pass takes at a time; a longer text is a pass of its own.
 SLICE_BYTES = 1 << 19
@@ -32,8 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/tripspark-{uuid.uuid4().hex}/{name}"
+    """A path in the shared folder that no other call uses, under one folder for the application (see clean)."""
+    return f"{shared_dir(spark)}/tripspark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application's operators have written to the shared folder. Results that still read them
+    must be written elsewhere first: operators are lazy, so they cannot tell when their last reader is done."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tripspark-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -63,10 +71,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def whole_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether the ids are whole numbers."""
+    return isinstance(docs.schema[id_col].dataType, T.IntegralType)
+
+
 def with_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
-    """docs and two key columns that stand for (id, text); rows with equal id and text share a key."""
+    """docs and two key columns that stand for (id, text); rows with equal id and text share a key.
+
+    The first key is the id if that is a whole number, else a hash of it; a null id has the least long, and an id of just that
+    number counts as null."""
     k1, k2 = free_name(docs, "k_id"), free_name(docs, "k_text")
-    keyed = docs.withColumn(k1, F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")))
+    own = F.col(id_col).cast("long") if whole_ids(docs, id_col) else F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string")))
+    keyed = docs.withColumn(k1, F.coalesce(own, F.lit(-(2**63)).cast("long")))
     return keyed.withColumn(k2, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())), [k1, k2]
 
 
@@ -161,3 +178,29 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], id_col: str, text_col: str, rows: int, most_bytes: int) -> DataFrame:
+    """id_col, the label columns (int) and text_col of at most `rows` rows and most_bytes bytes of text in all, half of them for
+    either value of the last label: those of least hash, written to the shared folder.
+
+    Only ids whose crc32 (as text) mod 5 is not 0, with a text and with 0 or 1 for each label, are taken. An id counts once:
+    of its texts the least is taken, and ids whose rows of labels differ are left out. Texts that would go over the bytes
+    and all after them are passed over."""
+    y = label_cols[-1]
+    whole = [F.col(c).isin(0, 1) for c in label_cols]
+    known = labels.filter(F.crc32(F.col(id_col).cast("string")) % 5 != 0)
+    for one in whole:
+        known = known.filter(one)
+    known = known.select(id_col, *[F.col(c).cast("int").alias(c) for c in label_cols]).groupBy(id_col)
+    known = known.agg(*[F.min(c).alias(c) for c in label_cols], *[(F.min(c) == F.max(c)).alias(f"{c}_same") for c in label_cols])
+    for c in label_cols:
+        known = known.filter(F.col(f"{c}_same")).drop(f"{c}_same")
+    order = [F.xxhash64(id_col), F.col(id_col)]
+    picked = [known.filter(F.col(y) == v).orderBy(*order).limit(rows // 2) for v in (0, 1)]
+    texts = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull()).join(F.broadcast(picked[0].union(picked[1])), id_col)
+    texts = materialize(texts.groupBy(id_col, *label_cols).agg(F.min(text_col).alias(text_col)), "labelled")
+    before = Window.partitionBy(y).orderBy(*order)  # `rows` rows at most, without their texts
+    total = F.sum(text_col).over(before)  # lengths, by then
+    fit = texts.select(id_col, *label_cols, F.octet_length(text_col).alias(text_col)).withColumn("total_", total).filter(F.col("total_") <= most_bytes // 2)
+    return texts.join(F.broadcast(fit.select(id_col)), id_col, "left_semi")

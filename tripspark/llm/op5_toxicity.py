@@ -1,6 +1,8 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after another, each by a linear (logistic) model of the words of a text and of the
+Categories are the 0/1 columns of the labels that the caller names; where labels tell only whether a text is toxic, kinds of
+toxic texts are learned first: the features that tell toxic texts from others are clustered by the texts they share, and a
+toxic text is of each kind that it has a feature of. Categories are predicted one after another, each by a linear (logistic) model of the words of a text and of the
 probabilities of the categories before it. While training, those probabilities are out-of-fold: each comes from a model
 that has not seen the row, as at prediction; the models that are kept are then fitted on all training rows.
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripspark.llm.common import map_rows, slices
+from tripspark.llm.common import labelled_sample, map_rows, slices
 from tripspark.llm.hashing import SPACE, mix, prefix_sums, span_hashes, word_spans
 
 BUCKETS = 1 << 20
@@ -27,15 +29,14 @@ GRAM = 4
 FOLDS = 5
 #: Log-likelihood ratio over which a word counts as telling a category.
 SURE = 12.0
-#: Labelled rows that the chain is fitted on, at most; half of them toxic.
-TRAIN_ROWS = 8000
-#: Words that tell the kind of a text that is labelled toxic; the last category is the label itself.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "loser", "clown", "fool", "imbecile"),
-    "contempt": ("worthless", "pathetic", "stupid", "useless", "dumb"),
-    "disgust": ("disgusting", "scum", "trash", "filth", "garbage"),
-}
-CHAIN = (*CATEGORIES, "toxic")
+#: Labelled rows that the chain is fitted on, at most, half of them toxic, and bytes of their texts, at most.
+TRAIN_ROWS, TRAIN_BYTES = 8000, 32 << 20
+#: Rows of the sample that a feature must stand in to be looked at.
+SEEN = 3
+#: Features of a link, at most: those that tell most.
+USED = 2048
+#: Kinds of toxic texts that are learned where labels have no categories, and the telling features they are made of, at most.
+KINDS, TELLING = 3, 512
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CODE = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,11 +78,6 @@ def features(column: pa.Array, grams: bool = True, told: np.ndarray | None = Non
     return key // BUCKETS, key % BUCKETS
 
 
-def bucket_of(word: str) -> int:
-    """The bucket of one word."""
-    return int(features(pa.array([word]), False)[1][0])
-
-
 @dataclass
 class Link:
     """One category's model: weight of each bucket, of the earlier categories' probabilities, and the bias."""
@@ -95,20 +91,73 @@ class Link:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit_link(doc: np.ndarray, bucket: np.ndarray, before: np.ndarray, label: np.ndarray, epochs: int = 60, rate: float = 1.0) -> Link:
-    """Logistic regression by full gradient steps over scaled presence of words; without both labels, a constant."""
+@dataclass
+class Chain:
+    """The categories in order, the last of which is toxicity itself, and a link for each."""
+
+    names: list[str]
+    links: list[Link]
+
+
+def telling(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket the log of how much more often it stands in rows with the label, and its log-likelihood ratio."""
     n, pos = len(label), label.sum()
-    if pos in (0, n):
-        return Link(np.zeros(BUCKETS, np.float32), np.zeros(before.shape[1]), 30.0 if pos and n else -30.0)
-    ones, zeros = np.bincount(bucket, label[doc], BUCKETS), np.bincount(bucket, 1 - label[doc], BUCKETS)
+    ones, all_ = np.bincount(bucket, label[doc], size), np.bincount(bucket, minlength=size)
+    zeros, share = all_ - ones, pos / n
     scale = np.log((ones + 0.5) / (pos + 1)) - np.log((zeros + 0.5) / (n - pos + 1))
-    share = pos / n
     with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(ones > 0, ones * np.log(ones / ((ones + zeros) * share)), 0) + np.where(zeros > 0, zeros * np.log(zeros / ((ones + zeros) * (1 - share))), 0))
-    scale[~(g > SURE)] = 0  # what may well be chance tells nothing
+        g = 2 * (np.where(ones > 0, ones * np.log(ones / (all_ * share)), 0) + np.where(zeros > 0, zeros * np.log(zeros / (all_ * (1 - share))), 0))
+    return scale, g
+
+
+def learned_kinds(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, size: int, kinds: int = KINDS) -> np.ndarray:
+    """A 0/1 column for each kind: clusters (by cosine, begun at buckets far from one another) of the buckets that tell
+    labelled rows, as columns over those rows. Fewer telling buckets than kinds leave kinds that no row has."""
+    out = np.zeros((len(label), kinds))
+    if label.sum() in (0, len(label)):
+        return out
+    scale, g = telling(doc, bucket, label, size)
+    best = np.flatnonzero((scale > 0) & (g > SURE))
+    best = best[np.lexsort((best, -g[best]))[:TELLING]]
+    place = np.full(size, -1)
+    place[best] = np.arange(len(best))
+    there = (place[bucket] >= 0) & (label[doc] == 1)
+    rows = np.cumsum(label == 1) - 1
+    table = np.zeros((len(best), int(label.sum())), np.float32)
+    table[place[bucket[there]], rows[doc[there]]] = 1
+    unit = table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1)
+    if not len(best):
+        return out
+    centres = [unit[0]]
+    for _ in range(min(kinds, len(best)) - 1):
+        centres.append(unit[np.argmin(np.max(unit @ np.stack(centres).T, axis=1))])
+    centre = np.stack(centres)
+    for _ in range(10):
+        of = np.argmax(unit @ centre.T, axis=1)
+        sums = np.stack([unit[of == k].sum(axis=0) for k in range(len(centre))])
+        centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    for k in range(len(centre)):
+        out[label == 1, k] = table[of == k].any(axis=0)
+    return out
+
+
+def fit_link(doc: np.ndarray, bucket: np.ndarray, before: np.ndarray, label: np.ndarray, size: int, epochs: int = 60, rate: float = 1.0) -> Link:
+    """Logistic regression by full gradient steps over scaled presence of `size` buckets; without both labels, a constant."""
+    n, pos = len(label), label.sum()
+    if pos in (0, n):
+        return Link(np.zeros(size, np.float32), np.zeros(before.shape[1]), 30.0 if pos and n else -30.0)
+    scale, g = telling(doc, bucket, label, size)
+    told = np.flatnonzero(g > SURE)  # what may well be chance tells nothing
+    told = told[np.lexsort((told, -g[told]))[:USED]]
+    rest = np.ones(size, bool)
+    rest[told] = False
+    scale[rest] = 0
     used = np.flatnonzero(scale[bucket])
     doc, value = doc[used], scale[bucket[used]]
-    there, at = np.unique(bucket[used], return_inverse=True)
+    there = np.flatnonzero(scale)
+    place = np.zeros(size, np.int64)
+    place[there] = np.arange(len(there))
+    at = place[bucket[used]]
     often = np.maximum(np.bincount(at, minlength=len(there)), 1)
     gain, chain, bias = np.full(len(there), 0.5), np.zeros(before.shape[1]), float(np.log(pos / (n - pos)))
     for _ in range(epochs):
@@ -117,12 +166,12 @@ def fit_link(doc: np.ndarray, bucket: np.ndarray, before: np.ndarray, label: np.
         gain -= rate * np.bincount(at, error[doc] * value, len(there)) / often
         chain -= rate * before.T @ error / n
         bias -= rate * error.mean()
-    weight = np.zeros(BUCKETS, np.float32)
+    weight = np.zeros(size, np.float32)
     weight[there] = gain * scale[there]
     return Link(weight, chain, bias)
 
 
-def fit_chain(doc: np.ndarray, bucket: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> list[Link]:
+def fit_chain(doc: np.ndarray, bucket: np.ndarray, labels: np.ndarray, fold: np.ndarray, size: int) -> list[Link]:
     """labels: a column for each category, in order. Later links learn from out-of-fold probabilities of the earlier ones."""
     before, links = np.zeros((len(labels), 0)), []
     for k in range(labels.shape[1]):
@@ -131,20 +180,22 @@ def fit_chain(doc: np.ndarray, bucket: np.ndarray, labels: np.ndarray, fold: np.
             rest = fold != f
             index = np.cumsum(rest) - 1
             own = rest[doc]
-            link = fit_link(index[doc[own]], bucket[own], before[rest], labels[rest, k])
+            link = fit_link(index[doc[own]], bucket[own], before[rest], labels[rest, k], size)
             apart[~rest] = link.predict(doc, bucket, before)[~rest]
-        links.append(fit_link(doc, bucket, before, labels[:, k]))
+        links.append(fit_link(doc, bucket, before, labels[:, k], size))
         before = np.column_stack([before, apart])
     return links
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> list[Link]:
-    """A chain from labelled rows whose crc32(id as text) mod 5 is not 0: half of `rows` of either label at most, those of
-    least hash. Null labels, ids and texts are left out; without rows of both labels every text has probability 0."""
-    known = labels.filter(F.col(label_col).isin(0, 1) & (F.crc32(F.col(id_col).cast("string")) % 5 != 0)).select(id_col, F.col(label_col).cast("int").alias("y_"))
-    picked = [known.filter(F.col("y_") == y).orderBy(F.xxhash64(id_col), id_col).limit(rows // 2) for y in (0, 1)]
-    sample = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull()).join(F.broadcast(picked[0].union(picked[1])), id_col)
-    sample = sample.select("y_", F.pmod(F.xxhash64(id_col, text_col), F.lit(FOLDS)).cast("int").alias("fold_"), text_col)
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", categories: list[str] | None = None, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Chain:
+    """A chain from labelled rows whose crc32(id as text) mod 5 is not 0: half of `rows` of either label at most, and
+    most_bytes of text (see labelled_sample). categories: 0/1 columns of labels that come before label_col in the chain;
+    without them KINDS kinds are learned. Null labels, ids and texts are left out, repeated ids count once; without rows of
+    both labels every text has probability 0."""
+    columns = [*(categories or []), label_col]
+    names = [*(categories or [f"kind_{k + 1}" for k in range(KINDS)]), "toxic"]
+    sample = labelled_sample(docs, labels, columns, id_col, text_col, rows, most_bytes)
+    sample = sample.select(F.array(*columns).alias("y_"), F.pmod(F.xxhash64(id_col, text_col), F.lit(FOLDS)).cast("int").alias("fold_"), text_col)
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -156,33 +207,43 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
         return work
 
-    found = map_rows(sample, make, "y int, fold int, bucket binary").toArrow()
+    found = map_rows(sample, make, "y array<int>, fold int, bucket binary").toArrow()
     given = sorted(zip(found["bucket"].to_pylist(), found["y"].to_pylist(), found["fold"].to_pylist()))
-    if len({y for _, y, _ in given}) < 2:
-        return [Link(np.zeros(BUCKETS, np.float32), np.zeros(k), -30.0) for k in range(len(CHAIN))]
-    sets = [np.frombuffer(b, np.int32).astype(np.int64) for b, _, _ in given]
-    doc, bucket = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
-    y, fold = np.array([y for _, y, _ in given], np.float64), np.array([f for _, _, f in given])
-    kinds = []
-    for seeds in CATEGORIES.values():
-        has = np.bincount(doc, np.isin(bucket, [bucket_of(w) for w in seeds]), len(sets)) > 0
-        kinds.append(y * has)
-    return fit_chain(doc, bucket, np.column_stack([*kinds, y]), fold)
-
-
-def predict(docs: DataFrame, chain: list[Link], text_col: str = "text") -> DataFrame:
+    y = np.array([y for _, y, _ in given], np.float64).reshape(len(given), len(columns))
+    if len(set(y[:, -1])) < 2:
+        return Chain(names, [Link(np.zeros(BUCKETS, np.float32), np.zeros(k), -30.0) for k in range(len(names))])
+    sets = [np.frombuffer(b, np.int32) for b, _, _ in given]
+    doc, bucket, fold = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets), np.array([f for _, _, f in given])
+    there = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS) >= SEEN)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[there] = np.arange(len(there))
+    at = place[bucket]
+    doc, at = doc[at >= 0], at[at >= 0].astype(np.int64)
+    before = y[:, :-1] if categories else learned_kinds(doc, at, y[:, -1], len(there))
+    links = fit_chain(doc, at, np.column_stack([before, y[:, -1]]), fold, len(there))
+    own, known = y[:, -1].mean(), labels.filter(F.col(label_col).isin(0, 1)).agg(F.avg(F.col(label_col).cast("double"))).first()[0]
+    known = min(max(known, 1e-6), 1 - 1e-6)
+    links[-1].bias += float(np.log(known / (1 - known)) - np.log(own / (1 - own)))  # the sample has more toxic rows than the labels
+    for link in links:
+        weight = np.zeros(BUCKETS, np.float32)
+        weight[there] = link.weight
+        link.weight = weight
+    return Chain(names, links)
+
+
+def predict(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """docs with a column p_<category> (double) for each category, for every row. Null and empty texts have the
     probabilities of a text without words. Columns of these names are replaced; others stay."""
-    added = [f"p_{c}" for c in CHAIN]
+    added = [f"p_{c}" for c in chain.names]
     names = [c for c in docs.columns if c not in added]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema] + [f"{c} double" for c in added])
-    sent = docs.sparkSession.sparkContext.broadcast(chain)  # BUCKETS numbers for each category, whatever the corpus
+    sent = docs.sparkSession.sparkContext.broadcast(chain.links)  # BUCKETS numbers for each category, whatever the corpus
 
     def make():
         told = np.any([link.weight != 0 for link in sent.value], axis=0)  # other buckets add nothing
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part in slices(batch, text_col, 1 << 20):
+            for part in slices(batch, text_col):
                 doc, bucket = features(part.column(text_col), told=told)
                 p = np.zeros((part.num_rows, 0))
                 for link in sent.value:
@@ -195,7 +256,11 @@ def predict(docs: DataFrame, chain: list[Link], text_col: str = "text") -> DataF
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, a probability for each learned kind and for toxicity, predicted (1 if p_toxic is 0.5 or more) of every
+    row of documents. Null and empty texts have the probabilities of a text without words; a null id is not held out;
+    repeated rows each come back; an empty table gives no rows."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scored = predict(docs.select("doc_id", "text"), train(docs, labels))
+    chain = train(docs, labels)
+    scored = predict(docs.select("doc_id", "text"), chain)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), *[f"p_{c}" for c in CHAIN], (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), *[f"p_{c}" for c in chain.names], (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"))

@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripspark.llm.common import map_rows, slices, text_buffer
+from tripspark.llm.common import labelled_sample, map_rows, slices, text_buffer
 from tripspark.llm.hashing import SPACE, mix, prefix_sums, span_hashes, word_spans
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4)
 #: Labelled rows that a model is fitted on, at most; half of either class.
 TRAIN_ROWS = 3000
+#: Bytes of their texts, at most.
+TRAIN_BYTES = 32 << 20
 #: Steps of training, at least; small samples are gone through more often.
 STEPS = 400
 THRESHOLD = 0.3
@@ -105,7 +107,6 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: fl
     top, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     epochs = max(epochs, -(-STEPS // -(-len(rows) // batch)))
     steps, done = epochs * -(-len(rows) // batch), 0
-    place = np.arange(dim)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
@@ -123,9 +124,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: fl
             back = error @ top.T
             top -= step * hidden.T @ error / len(pick)
             bias -= step * error.mean(0)
-            often = np.maximum(np.bincount(bucket, weight, BUCKETS), 1)[bucket]  # a bucket of many documents moves by their mean
-            change = step * lift * (weight / often)[:, None] * back[doc]
-            np.subtract.at(table.reshape(-1), (bucket[:, None] * dim + place).reshape(-1), change.reshape(-1))
+            there, at_bucket = np.unique(bucket, return_inverse=True)
+            often = np.maximum(np.bincount(at_bucket, weight), 1)  # a bucket of many documents moves by their mean
+            for d in range(dim):
+                table[there, d] -= step * lift * np.bincount(at_bucket, weight * back[doc, d]) / often
             done += 1
     shift = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)) if 0 < prior < 1 else 0.0
     toward = top[:, 1] - top[:, 0]
@@ -150,16 +152,15 @@ def _gathered(batch_column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]
         yield key[a:b] % BUCKETS, total[a:b]
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
-    """A model from labelled rows whose crc32(id as text) mod 5 is not 0: half of `rows` of either class at most, those
-    of least hash. Null labels, ids and texts are left out. Without rows of both classes the model gives every text the
-    share of label 1 (a half without any rows)."""
-    known = labels.filter(F.col(label_col).isin(0, 1) & (F.crc32(F.col(id_col).cast("string")) % 5 != 0)).select(id_col, F.col(label_col).cast("int").alias("y_"))
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """A model from labelled rows whose crc32(id as text) mod 5 is not 0: half of `rows` of either class at most, and
+    most_bytes of text (see labelled_sample). Null labels, ids and texts are left out, repeated ids count once. Without rows
+    of both classes the model gives every text the share of label 1 (a half without any rows)."""
+    known = labels.filter(F.col(label_col).isin(0, 1) & (F.crc32(F.col(id_col).cast("string")) % 5 != 0)).select(F.col(label_col).cast("int").alias("y_"))
     counts = {r["y_"]: r["n"] for r in known.groupBy("y_").agg(F.count("*").alias("n")).collect()}
     ones, zeros = counts.get(1, 0), counts.get(0, 0)
     prior = (ones + 1) / (ones + zeros + 2)
-    picked = [known.filter(F.col("y_") == y).orderBy(F.xxhash64(id_col), id_col).limit(rows // 2) for y in (0, 1)]
-    sample = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull()).join(F.broadcast(picked[0].union(picked[1])), id_col).select("y_", text_col)
+    sample = labelled_sample(docs, labels, [label_col], id_col, text_col, rows, most_bytes).select(label_col, text_col)
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -186,7 +187,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part in slices(batch, text_col, 1 << 20):
+            for part in slices(batch, text_col):
                 p = 1 / (1 + np.exp(-np.clip(sent.value.log_odds(part.column(text_col)), -500, 500)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p)], [*names, score_col])
 
@@ -196,6 +197,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of documents. Null and empty texts get the score of a text without
+    features; a null id is not held out; repeated rows each come back; an empty table gives no rows."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = train(docs, labels)
     scored = score(docs.select("doc_id", "text"), model)
