@@ -9,6 +9,9 @@ window whose smallest piece is found once in the corpus is alone, and is not car
 neighbouring windows mostly share their smallest piece, a level moves one row for a run of windows, not one for
 each. Runs whose whole word sequence is found twice settle all their windows at once; only one of each such runs
 goes on, as a witness, and only where a run that is not settled shares its piece.
+
+Pieces, runs and windows are told apart by 64-bit hashes of their words, a piece and a window together at the last level;
+words are not compared again.
 """
 
 from __future__ import annotations
@@ -133,7 +136,7 @@ def repeated_spans(keyed: DataFrame, keys: list[str], text_col: str, window: int
 
     kinds = live.groupBy("piece", "whole").agg(F.count("*").alias("times"), F.min(F.struct(*keys, "start", "n")).alias("at"))
     kinds = materialize(kinds, "kinds")
-    open_pieces = kinds.groupBy("piece").agg(F.min("times").alias("least")).filter("least = 1").select("piece")
+    open_pieces = materialize(kinds.groupBy("piece").agg(F.min("times").alias("least")).filter("least = 1").select("piece"), "open")
     asked = kinds.join(open_pieces, "piece", "left_semi").select("piece", "whole", "times", F.lit(0).alias("off"), "at.*")
     for length in steps[1:-1] or steps[-1:]:
         found = materialize(_extend(_with_text(keyed, keys, text_col, asked), keys, length, window), "level")
@@ -191,6 +194,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row of documents. Null and empty texts have no words and the digest of
+    nothing; repeated rows count as so many places, and each comes back; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

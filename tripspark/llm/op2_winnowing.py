@@ -109,7 +109,9 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str, coarse: int = COARSE,
     above = above.select(*keys, F.coalesce("above_", "after_").alias("above_"))
     more = keyed.join(small(above), keys).select(id_col, *keys, text_col, F.col("above_").alias("range_"), F.lit(True).alias("next_"))
     placed = keyed.select(id_col, *keys, text_col, "range_", F.lit(False).alias("next_")).union(more)
-    return placed.repartition("range_").sortWithinPartitions("range_", "next_", F.desc(keys[0]), F.desc(keys[1]))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.floor(F.col("range_") * parts / ((len(bounds) + 1) * cuts)).cast("int")  # ranges that follow one another, about as many in each
+    return placed.repartitionById(parts, own).sortWithinPartitions("range_", "next_", F.desc(keys[0]), F.desc(keys[1]))
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, width: int = WIDTH, coarse: int = COARSE, rows: int = RANGE_ROWS) -> DataFrame:
@@ -149,4 +151,6 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edit_report of documents. Null and empty texts have empty fingerprints; repeated rows each come back; a null id comes
+    after all others; an empty table gives no rows."""
     return edit_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -199,7 +199,32 @@ def read_documents(spark: SparkSession, out: str) -> DataFrame:
     return map_rows(rows, make, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def token_at(spark: SparkSession, out: str, places: DataFrame) -> DataFrame:
+    """places (place: long, counted over all documents) with token (long): the token that stands there in the files under out.
+
+    Only the block that holds a place is looked into, by the rank directories and without decoding the rest of it. Places that
+    come twice come back twice; a null place, or one past the end or below 0, has no row."""
+    blocks = read_blocks(spark, out).select("start", (F.col("start") + F.col("n_tokens")).alias("end"), "chunks", "flags", "ranks")
+    cell = F.lit(BLOCK_TOKENS)
+    held = blocks.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("end") - 1) / cell))))
+    asked = places.select("place").filter("place >= 0").withColumn("cell", F.floor(F.col("place") / cell))
+    met = asked.groupBy("cell").agg(F.collect_list("place").alias("places")).join(held, "cell")
+
+    def make():
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for row in batch.to_pylist():
+                block = Block(row["chunks"], row["flags"], row["ranks"])
+                own = [p for p in row["places"] if row["start"] <= p < row["end"]]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([block.token(p - row["start"]) for p in own], pa.int64())], ["place", "token"])
+
+        return work
+
+    return map_rows(met.select("places", "start", "end", "chunks", "flags", "ranks"), make, "place long, token long")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every row of documents, read back from the files. Null and empty texts have the end
+    id alone; null ids come first; repeated rows are written and come back as often; an empty table gives no rows."""
     docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), new_path(spark, "tokens")
     write_tokens(docs, tokenizer_path("word_bpe_49k.json"), out)
     return read_documents(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

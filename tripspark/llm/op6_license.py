@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from tripspark.llm.common import with_key
 
+#: The parts that the BSD licences share.
+_BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 #: Names and texts of licences and of notices that grant them.
 KNOWN = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -28,8 +31,21 @@ KNOWN = [
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("all-rights-reserved", "All rights reserved."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"),
+    ("BSD-2-Clause", _BSD_START + _BSD_END),
+    ("BSD-3-Clause", _BSD_START + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_END),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-only"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 ]
+#: Titles that may stand over a whole licence text.
+TITLES = {"MIT": "MIT License", "ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License"}
+KNOWN += [(name, f"{TITLES[name]} {text}") for name, text in KNOWN if name in TITLES and len(text) > 400]
 #: Spellings that count as one, after case and punctuation are folded; longer forms first.
 SPELLINGS = [
     ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
@@ -79,7 +95,7 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "d
     table = F.broadcast(known_digests(spark, known).select(F.col("digest").alias("known"), "license"))
     words = needles(known)
     lines = keyed.select(*keys, F.explode(F.split(text_col, r"\r\n|\r|\n")).alias("line"))
-    lines = lines.filter(F.col("line").rlike("(?i)" + "|".join(words)))
+    lines = lines.filter(F.col("line").rlike("(?iu)" + "|".join(words)))
     met = lines.join(table, digest(F.col("line")) == F.col("known"))
     met = met.groupBy(*keys).agg(F.array_sort(F.collect_set("license")).alias("notices"), F.count("*").alias("n_notices"))
     # a repeated row's lines were counted once for each of its copies
@@ -91,6 +107,8 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "d
 
 
 def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, digest, license, notices (comma-joined), n_notices of every row of documents. A null text has a null digest; empty
+    texts match nothing; repeated rows each come back; an empty table gives no rows."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "digest", "license", F.concat_ws(",", "notices").alias("notices"), "n_notices")
 

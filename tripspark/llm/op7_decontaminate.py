@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripspark.llm.common import ascii_lower, materialize, small, with_key
+from tripspark.llm.common import ascii_lower, materialize, small, whole_ids, with_key
 
 #: What ends a word, once A-Z is lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -107,6 +107,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     id_of = F.when(F.col(keys[0]) != -(2**63), F.col(keys[0]))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     out = end.select(*keys, F.col("pos").cast("long").alias("n_words")).join(found, keys, "left")
+    if not whole_ids(docs, id_col):  # the keys are hashes of the ids
+        keyed, own = with_key(docs.select(id_col, text_col), id_col, text_col)
+        id_of = F.col("id_")
+        out = out.join(keyed.select(F.col(id_col).alias("id_"), *[F.col(c).alias(k) for c, k in zip(own, keys)]).distinct(), keys)
     return out.select(
         id_of.alias(id_col), *keys, "n_words", n_hit.alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -116,6 +120,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of documents. Null and empty texts have no words
+    and no hits; repeated rows each come back; without items nothing is hit; an empty table gives no rows."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found, _ = contamination(docs, items)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
