@@ -1,33 +1,38 @@
 """Groups of texts that are linked by fingerprints (see op4_simhash) or whose sets of word shingles have a Jaccard likeness of 0.8 or more.
 
-Two such sets share one of the first n - ceil(0.8 n) + 1 shingles of each, in any order that is the same for all texts; here
-common shingles of a sample come last, so that shared places are few. Sets at one place are compared by size, then by parity
-bitmaps (which differ in no more bits than the sets differ in shingles), then in full: no pair is lost to a sketch. So that a
-large group costs no pairs of all its members, sets are first compared with one set of each place, and then only across groups.
+Of each set the least shingle in each of 120 random orders is taken; five of them together are a place, 24 places in all. Sets
+of likeness j share a place with probability 1 - (1 - j**5)**24: 0.99993 at 0.8, so of a hundred thousand pairs at the very
+limit about seven are not looked at, and 0.06 at 0.3. Sets at one place are compared by size, then by parity bitmaps (which
+differ in no more bits than the sets differ in shingles), then in full, so nothing less alike is linked. So that a large group
+costs no pairs of all its members, sets are first compared with one set of each place, and then only across groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripspark.llm import op4_simhash
 from tripspark.llm.common import map_rows, materialize, slices, small, with_key
 from tripspark.llm.components import components
-from tripspark.llm.hashing import prefix_sums, span_hashes, word_hashes, word_spans
+from tripspark.llm.hashing import mix, prefix_sums, span_hashes, word_hashes, word_spans
 
 SHINGLE = 5
 #: Likeness of a pair, as a fraction.
 ABOVE, BELOW = 4, 5
-#: Bits of a parity bitmap.
+#: Bits of a parity bitmap, and the columns that hold them.
 BITS = 1024
-#: Texts from which the order of shingles is taken, about; shingles in so many of them count as common, at most so many.
-SAMPLE, COMMON, MOST_COMMON = 20_000, 4, 100_000
+MAP = [f"b{i}" for i in range(BITS // 64)]
+#: Places of a set, and least shingles that make one.
+PLACES, LEAST = 24, 5
+_TURN, _SPREAD = np.random.default_rng(24).integers(0, 2**63, (2, PLACES * LEAST), dtype=np.uint64)
+_SPREAD = _SPREAD * np.uint64(2) + np.uint64(1)
 #: Rounds in which sets are compared with one set of each place.
 ROUNDS = 2
 
@@ -49,21 +54,24 @@ def name_of(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64))
 
 
-def bitmap(own: np.ndarray) -> bytes:
-    """For each place of BITS, whether an odd number of the set's shingles fall on it."""
-    return np.packbits(np.bincount((own >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1).tobytes()
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """For each place of BITS, whether an odd number of the set's shingles fall on it, as numbers of 64 bits."""
+    return np.packbits(np.bincount((own >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1).view(np.int64)
 
 
-def leading(own: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The shingles, common ones last, of which similar sets share one."""
-    n = len(own)
-    if not n:
-        return own
-    rank = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        rank = np.where(common[at] == own, count[at], 0)
-    return own[np.lexsort((own, rank))[: n - -(-ABOVE * n // BELOW) + 1]]
+def places(sets: list[np.ndarray]) -> np.ndarray:
+    """PLACES numbers for each set, a row each; an empty set has zeros."""
+    size = np.array([len(x) for x in sets])
+    out = np.zeros((len(sets), PLACES), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        every, begin = np.concatenate(sets), (np.cumsum(size) - size)[full]
+        for p in range(PLACES):
+            key = np.full(len(full), p + 1, np.uint64)
+            for h in range(p * LEAST, (p + 1) * LEAST):
+                key = mix(key * _SPREAD[0] + np.minimum.reduceat((every ^ _TURN[h]) * _SPREAD[h], begin))
+            out[full, p] = key
+    return out
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -93,17 +101,6 @@ def _named(sets: list[np.ndarray]) -> pa.Array:
     return pa.array([name_of(s) for s in sets], pa.int64())
 
 
-def _common(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are common in a sample, sorted, and how often. They only order shingles; no text is left out by them."""
-    part = texts.filter(F.pmod(F.xxhash64("k_text"), F.lit(1 << 20)) < max(1, min(1 << 20, (SAMPLE << 20) // max(n, 1))))
-    seen = _mapped(part, "text", "token long", lambda _, sets: [_signed(sets)]).groupBy("token").agg(F.count("*").alias("n"))
-    rows = seen.filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
-    common, count = (rows.column(i).to_numpy() for i in (0, 1))
-    common = common.astype(np.int64).view(np.uint64)
-    order = np.argsort(common)
-    return common[order], count[order]
-
-
 def _filtered(pairs: DataFrame, columns: tuple[str, str], keep) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -123,16 +120,18 @@ def _both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def _sized(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of the pairs a, b those that may be alike by their sizes and bitmaps."""
+def _may(x: str, y: str) -> Column:
+    """Whether sets may be alike by their sizes and bitmaps, columns of the frames x and y."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in MAP])
+    return (F.least(n, m) * BELOW >= F.greatest(n, m) * ABOVE) & ((ABOVE + BELOW) * differ <= (BELOW - ABOVE) * (n + m))
 
-    def may(p: dict, q: dict) -> bool:
-        differ = np.bitwise_count(np.frombuffer(p["bits"], np.uint8) ^ np.frombuffer(q["bits"], np.uint8)).sum()
-        return 9 * int(differ) <= p["n"] + q["n"]
 
-    sized = _both(pairs, nodes, "n", "bits").filter(F.least("n_a", "n_b") * BELOW >= F.greatest("n_a", "n_b") * ABOVE)
-    x, y = (F.struct(F.col(f"n_{c}").alias("n"), F.col(f"bits_{c}").alias("bits")).alias(name) for c, name in zip("ab", "xy"))
-    return _filtered(sized.select("a", "b", x, y), ("x", "y"), may)
+def _sized(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of the pairs a, b those that may be alike."""
+    for c in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(c), F.struct("n", *MAP).alias(f"of_{c}")), c)
+    return pairs.filter(_may("of_a", "of_b")).select("a", "b")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -160,38 +159,33 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def shingled(part, sets):
         fps = np.array([op4_simhash.fingerprint((t or "").encode()) for t in part.column("text").to_pylist()], np.uint64)
-        return [part.column("k_id"), part.column("k_text"), _signed([fps]), _named(sets), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())]
-
-    rows = materialize(_mapped(keyed, "text", "k_id long, k_text long, fp long, node long, n long, bits binary", shingled), "shingled")
-    nodes = materialize(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
-    common, count = _common(keyed, rows.count())
-
-    def places(part, sets):
-        first = [leading(s, common, count) for s in sets]
-        name = np.repeat(np.array([name_of(s) for s in sets], np.int64), [len(f) for f in first])
-        return [_signed(first), pa.array(name)]
+        at = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PLACES), _signed([places(sets).reshape(-1)]))
+        return [part.column("k_id"), part.column("k_text"), _signed([fps]), _named(sets), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(column) for column in np.stack([bitmap(s) for s in sets]).T.copy()), at]
 
-    at = materialize(_mapped(keyed, "text", "token long, node long", places).distinct(), "places")
-    held = at.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
+    rows = materialize(_mapped(keyed, "text", "k_id long, k_text long, fp long, node long, n long, " + "".join(f"{c} long, " for c in MAP) + "at array<long>", shingled), "shingled")
+    nodes = materialize(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *MAP, "at")]), "nodes")
+    at = nodes.select("node", F.explode("at").alias("token"))
+    held = materialize(at.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "held")
     at = materialize(at.join(held, "token"), "shared")
     own = _mapped(keyed, "text", "node long, own binary", lambda _, sets: [_named(sets), pa.array([s.tobytes() for s in sets], pa.binary())])
     links = materialize(_near_fingerprints(rows.select("fp", "node").distinct()), "links")
     roots, done = components(links), None
     for r in range(ROUNDS + 1):
         placed = at.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root_")), "node", "left").select("token", "node", F.coalesce("root_", "node").alias("root"))
-        placed = materialize(placed, "placed")
         if r < ROUNDS:
+            placed = materialize(placed, "placed")
             centre = placed.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(r), F.col("token") % 4), "node", "root")).alias("c"))
             pairs = placed.join(centre, "token").filter("root <> c.root").select("node", F.col("c.node").alias("other"))
-        else:
-            own_roots = placed.select("token", "root").distinct()
-            cross = own_roots.join(own_roots.withColumnRenamed("root", "root_b"), "token").filter("root < root_b")
-            other = placed.select("token", F.col("node").alias("other"), F.col("root").alias("root_b"))
-            pairs = cross.join(placed, ["token", "root"]).join(other, ["token", "root_b"]).select("node", "other")
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        done = pairs if done is None else done.union(pairs)
-        near = materialize(_sized(pairs, nodes), "near")
+            pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+            done = pairs if done is None else done.union(pairs)
+            near = materialize(_sized(pairs, nodes), "near")
+        else:  # whatever is left: only pairs that pass the bounds leave the join
+            placed = materialize(placed.join(nodes.drop("at"), "node"), "placed")
+            x, y = placed.alias("x"), placed.alias("y")
+            met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may("x", "y"))
+            pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+            near = materialize(pairs.join(done, ["a", "b"], "left_anti"), "near")
         wanted = materialize(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
         found = materialize(_alike(near, own.join(small(wanted), "node", "left_semi").groupBy("node").agg(F.first("own").alias("own"))), "alike")
         if found.take(1):
