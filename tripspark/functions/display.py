@@ -135,3 +135,10 @@ def poi_score(name: Column, query: Column) -> Column:
     """Whether a point of interest's name holds all words of the query: 0 equal, 1 all words, null else."""
     n, q = plain(name), plain(query)
     return F.when(n == q, F.lit(0.0)).when(F.forall(F.split(q, " "), lambda w: F.concat(F.lit(" "), n).contains(F.concat(F.lit(" "), w))) & (q != ""), F.lit(1.0))
+
+
+def reclassify_label(label: Column, country: Column) -> Column:
+    """A stored reference of Argentina or Uruguay, renamed by the country that its badge stands in; others as they are, trimmed."""
+    own = F.trim(F.coalesce(label, F.lit("")))
+    number = F.regexp_extract(F.upper(own), r"^INT:(?:AR:|UY:)(?:RN:|RU:)([0-9A-Z]+)$", 1)
+    return F.when((number != "") & (country == "UY"), F.concat(F.lit("INT:UY:RU:"), number)).when((number != "") & (country == "AR"), F.concat(F.lit("INT:AR:RN:"), number)).otherwise(own)

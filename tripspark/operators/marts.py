@@ -117,3 +117,20 @@ def check_min_length(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """segments (km, min_km) that are long enough, and those that are not."""
     ok = F.coalesce(F.col("km") >= F.col("min_km"), F.lit(False))
     return segments.filter(ok), segments.filter(~ok)
+
+
+def family_priority(name: Column, family: Column, category: Column) -> Column:
+    """Order of route families: 0 royal roads, 1 park roads, 2 paths, pilgrimages, historic and cultural routes, 3 the rest."""
+    name, family, category = plain(name), plain(family), plain(category)
+    path = F.startswith(name, F.lit("caminho ")) | F.startswith(name, F.lit("caminhos ")) | category.rlike("peregrin|historica|cultural")
+    return (
+        F.when((family == "estrada real") | F.startswith(name, F.lit("estrada real ")), 0)
+        .when(F.contains(category, F.lit("estrada parque")) | F.contains(name, F.lit("estrada parque")), 1).when(path, 2).otherwise(3)
+    )
+
+
+def family_priority_sort(routes: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """routes (name, family, category) with priority and pos (1, 2, ...): by priority, then name without accents, then name, in each group."""
+    ranked = routes.withColumn("priority", family_priority(F.col("name"), F.col("family"), F.col("category")))
+    order = Window.partitionBy(*(group or ["priority"])).orderBy("priority", plain(F.col("name")), "name")
+    return ranked.withColumn("pos", F.row_number().over(order))

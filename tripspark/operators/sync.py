@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Fields that stay on the device.
+LOCAL_FIELDS = frozenset("roadSegments matchingRoadSegments highwayCache highwayProgress overpassCache media photos videos photoBytes videoBytes visible".split())
 
 
 def trip_time(*candidates: Column) -> Column:
@@ -20,6 +24,32 @@ def byte_size(columns: list[str]) -> Column:
     return F.octet_length(F.to_json(F.struct(*columns)))
 
 
+def _stripped(c: Column, kind: T.DataType, left_out: frozenset[str]) -> Column:
+    """c without the fields left_out at any depth; a struct that loses all its fields becomes null."""
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _stripped(x, kind.elementType, left_out))
+    if not isinstance(kind, T.StructType):
+        return c
+    kept = [_stripped(c[f.name], f.dataType, left_out).alias(f.name) for f in kind.fields if f.name not in left_out]
+    return F.when(c.isNotNull(), F.struct(*kept)) if kept else F.lit(None)
+
+
+def strip_for_cloud(trips: DataFrame, id_col: str = "id", trip_id_col: str = "trip_id", left_out: frozenset[str] = LOCAL_FIELDS) -> DataFrame:
+    """trips without the fields left_out, at any depth of structs and arrays; a missing or empty id is taken from trip_id_col."""
+    columns = [_stripped(F.col(f.name), f.dataType, left_out).alias(f.name) for f in trips.schema if f.name not in left_out and f.name not in (id_col, trip_id_col)]
+    own = F.col(id_col).cast("string") if id_col in trips.columns else F.lit(None).cast("string")
+    return trips.select(F.coalesce(F.nullif(own, F.lit("")), F.col(trip_id_col).cast("string")).alias(id_col), *columns)
+
+
+def route_signature(schema: str, polyline: Column, coordinates: Column, updated: list[Column]) -> Column:
+    """schema, geometry and time of the last update, joined by bars: equal signatures mean that a trip need not be scanned again.
+
+    The geometry is told by its encoded line, else by its coordinates, else as none; a time is the first that is not empty."""
+    shape = F.when(polyline.isNotNull(), F.concat(F.lit("poly:"), F.length(polyline).cast("string"), F.lit(":"), F.sha2(polyline, 256)))
+    shape = F.coalesce(shape, F.concat(F.lit("geo:"), F.size(coordinates).cast("string"), F.lit(":"), F.sha2(F.to_json(coordinates), 256)), F.lit("none"))
+    return F.concat_ws("|", F.lit(schema), shape, F.coalesce(*[F.nullif(c.cast("string"), F.lit("")) for c in updated], F.lit("")))
+
+
 def _joined(local: DataFrame, remote: DataFrame, tombstones: DataFrame, keys: list[str]) -> DataFrame:
     l = local.select(*keys, F.col("content").alias("l_content"), F.col("updated_at").alias("l_at"), F.lit(True).alias("l"))
     r = remote.select(*keys, F.col("content").alias("r_content"), F.col("updated_at").alias("r_at"), F.col("deleted_at").alias("r_deleted"), F.lit(True).alias("r"))

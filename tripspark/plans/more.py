@@ -163,3 +163,42 @@ def q_unique_cities(t):
     """Greedy, order-dependent dedupe of places by trip; tests hold it."""
     p = fx.places(t).select((F.col("place_id") % 300).alias("trip_id"), F.col("place_id").cast("int").alias("ord"), F.concat(F.lit("c"), (F.col("place_id") % 3).cast("string")).alias("city"), F.lit(None).cast("string").alias("region"), F.lit("BR").alias("country_code"), F.lit(None).cast("string").alias("osm_type"), F.lit(None).cast("long").alias("osm_id"), "lat", "lng")
     return places.unique_cities(p).select("trip_id", "ord", "city")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, '{"price":' || o_custkey || CASE WHEN o_custkey % 2 = 0 THEN ',"note":"' || o_orderstatus || '"' ELSE '' END || '}' AS start, '[{"stop":' || o_custkey || '}]' AS legs FROM orders""")
+def q_strip_for_cloud(t):
+    nested = t.orders.select(
+        F.col("o_orderkey").alias("trip_id"), F.when(F.col("o_orderkey") % 3 == 0, "").when(F.col("o_orderkey") % 3 == 1, F.col("o_orderkey").cast("string")).alias("id"), F.lit(True).alias("visible"),
+        F.struct(F.col("o_custkey").alias("price"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderstatus")).alias("note"), F.col("o_orderpriority").alias("media")).alias("start"),
+        F.array(F.struct(F.col("o_custkey").alias("stop"), F.array("o_orderpriority").alias("photos"))).alias("legs"),
+    )
+    return sync.strip_for_cloud(nested).select("id", F.to_json("start").alias("start"), F.to_json("legs").alias("legs"))
+
+
+@query("""SELECT CAST(o_orderkey AS BIGINT) AS trip_id, 'v2|' || CASE o_orderkey % 3 WHEN 0 THEN 'poly:' || length(o_orderpriority) || ':' || sha256(o_orderpriority)
+WHEN 1 THEN 'geo:2:' || sha256('[' || o_custkey || ',' || (o_custkey + 1) || ']') ELSE 'none' END || '|' || CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus ELSE o_orderpriority END AS signature FROM orders""")
+def q_route_signature(t):
+    k = F.col("o_orderkey") % 3
+    coordinates = F.when(k == 1, F.array(F.col("o_custkey"), F.col("o_custkey") + 1))
+    updated = [F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderstatus")).otherwise(""), F.col("o_orderpriority")]
+    return t.orders.select(F.col("o_orderkey").cast("long").alias("trip_id"), sync.route_signature("v2", F.when(k == 0, F.col("o_orderpriority")), coordinates, updated).alias("signature"))
+
+
+@query("""SELECT CAST(o_orderkey AS BIGINT) AS trip_id, CASE WHEN o_orderkey % 4 = 3 THEN 'BR-' || o_custkey WHEN o_orderkey % 3 = 0 THEN 'INT:UY:RU:' || o_custkey
+WHEN o_orderkey % 3 = 1 THEN 'INT:AR:RN:' || o_custkey ELSE 'int:ar:rn:' || o_custkey END AS label FROM orders""")
+def q_reclassify_label(t):
+    k, n = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    label = F.when(k % 4 == 3, F.concat(F.lit(" BR-"), n)).otherwise(F.concat(F.lit("int:ar:rn:"), n))
+    return t.orders.select(k.cast("long").alias("trip_id"), D.reclassify_label(label, F.when(k % 3 == 0, "UY").when(k % 3 == 1, "AR")).alias("label"))
+
+
+ROUTES = "CASE p_partkey % 5 WHEN 0 THEN 'Estrada Real ' WHEN 1 THEN 'Caminho ' WHEN 2 THEN 'Estrada-Parque ' ELSE '' END || p_name"
+
+
+@query(f"""SELECT route_id, priority, row_number() OVER (PARTITION BY brand, priority ORDER BY lower(name)) AS pos FROM (SELECT CAST(p_partkey AS BIGINT) AS route_id, p_brand AS brand, {ROUTES} || ' ' || p_partkey AS name,
+CASE p_partkey % 5 WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 2 ELSE 3 END AS priority FROM part)""")
+def q_family_priority(t):
+    k = F.col("p_partkey") % 5
+    start = F.when(k == 0, "Estrada Real ").when(k == 1, "Caminho ").when(k == 2, "Estrada-Parque ").otherwise("")
+    routes = t.part.select(F.col("p_partkey").cast("long").alias("route_id"), F.col("p_brand").alias("brand"), F.concat(start, "p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"), F.lit(None).cast("string").alias("family"), F.when(k == 3, "Rota histórica").alias("category"))
+    return marts.family_priority_sort(routes.withColumn("p", marts.family_priority(F.col("name"), F.col("family"), F.col("category"))), ["brand", "p"]).select("route_id", "priority", "pos")
