@@ -6,7 +6,7 @@ import public_tokenizers as P
 import tiktoken
 from test_llm import brute_hits, brute_kept
 
-from tripspark.llm import op8_quality, stages
+from tripspark.llm import common, op8_quality, stages
 from tripspark.llm.prefix_bpe import ranks_of
 
 
@@ -40,3 +40,19 @@ def test_stages_against_brute_force(spark, tmp_path):
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks_of(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
     for r in stages.encode(spark, docs, "").collect():
         assert r["ids"] == library.encode_ordinary(texts[r["doc_id"]] or "") and r["round_trip"] and r["n_tokens"] == len(r["ids"])
+
+
+def test_stages_leave_only_what_they_read(spark, tmp_path):
+    import glob
+
+    rows = [(i, f"w{i % 7} " + " ".join(f"x{j}" for j in range(40)), 0) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    spark.createDataFrame([(1, "x1 x2 x3")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(rows, docs.schema).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    folder = common.shared_dir(spark).removeprefix("file://") + f"/tripspark-{spark.sparkContext.applicationId}/*/*"
+    for stage, stay in ((stages.near_duplicates, "first"), (stages.substrings, "spans"), (stages.decontaminate, "bad")):
+        before = set(glob.glob(folder))
+        out = stage(spark, docs, str(tmp_path))
+        assert [p.rsplit("/", 1)[1] for p in set(glob.glob(folder)) - before] == [stay]
+        out.collect()

@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,38 @@ def new_path(spark: SparkSession, name: str) -> str:
 def clean(spark: SparkSession) -> None:
     """Delete all tables that this application's operators have written to the shared folder. Results that still read them
     must be written elsewhere first: operators are lazy, so they cannot tell when their last reader is done."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tripspark-{spark.sparkContext.applicationId}")
+    _delete(spark, f"{shared_dir(spark)}/tripspark-{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and survives lost executors."""
+#: Paths of the tables written in each open scratch block, innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialize writes inside the block are deleted at its end, but those that stay. What is used after the
+    block must read nothing else."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _delete(spark, path)
+
+
+def materialize(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, and survives lost executors.
+
+    stays: the innermost scratch block leaves it, for the block around that, if any, to delete."""
     spark, path, schema = df.sparkSession, new_path(df.sparkSession, name), df.schema
+    blocks = _SCRATCH[:-1] if stays else _SCRATCH
+    if blocks:
+        blocks[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     release(spark)
     return spark.read.schema(schema).parquet(path)

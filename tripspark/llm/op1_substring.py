@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripspark.llm.common import free_name, map_rows, materialize, slices, with_key
+from tripspark.llm.common import free_name, map_rows, materialize, scratch, slices, with_key
 from tripspark.llm.hashing import prefix_sums, sliding_min, span_hashes, word_hashes, word_spans
 
 
@@ -158,7 +158,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     these names are replaced; all other columns stay."""
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     keyed, keys = with_key(docs.select(*names), id_col, text_col)
-    spans = repeated_spans(keyed, keys, text_col, window, base)
+    with scratch(docs.sparkSession):
+        spans = materialize(repeated_spans(keyed, keys, text_col, window, base), "spans", stays=True)
     own = free_name(keyed, "spans_")
     spans = spans.groupBy(*keys).agg(F.collect_list(F.struct("start", "n", "offs")).alias(own))
     rows = keyed.join(spans, keys, "left").select(*names, own)

@@ -163,11 +163,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return [part.column("k_id"), part.column("k_text"), _signed([fps]), _named(sets), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(column) for column in np.stack([bitmap(s) for s in sets]).T.copy()), at]
 
     rows = materialize(_mapped(keyed, "text", "k_id long, k_text long, fp long, node long, n long, " + "".join(f"{c} long, " for c in MAP) + "at array<long>", shingled), "shingled")
-    nodes = materialize(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *MAP, "at")]), "nodes")
+    nodes = materialize(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *MAP, "at")], F.min(F.struct(*keys)).alias("text")), "nodes")
     at = nodes.select("node", F.explode("at").alias("token"))
     held = materialize(at.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "held")
     at = materialize(at.join(held, "token"), "shared")
-    own = _mapped(keyed, "text", "node long, own binary", lambda _, sets: [_named(sets), pa.array([s.tobytes() for s in sets], pa.binary())])
+    own = lambda texts: _mapped(texts, "text", "node long, own binary", lambda _, sets: [_named(sets), pa.array([s.tobytes() for s in sets], pa.binary())])
     links = materialize(_near_fingerprints(rows.select("fp", "node").distinct()), "links")
     roots, done = components(links), None
     for r in range(ROUNDS + 1):
@@ -181,15 +181,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             done = pairs if done is None else done.union(pairs)
             near = materialize(_sized(pairs, nodes), "near")
         else:  # whatever is left: only pairs that pass the bounds leave the join
-            placed = materialize(placed.join(nodes.drop("at"), "node"), "placed")
+            placed = materialize(placed.join(nodes.drop("at", "text"), "node"), "placed")
             x, y = placed.alias("x"), placed.alias("y")
             met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may("x", "y"))
             pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
             near = materialize(pairs.join(done, ["a", "b"], "left_anti"), "near")
-        wanted = materialize(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-        found = materialize(_alike(near, own.join(small(wanted), "node", "left_semi").groupBy("node").agg(F.first("own").alias("own"))), "alike")
+        wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text.*"), "node")
+        wanted = materialize(wanted.select(*keys), "wanted")  # one text for each set: only those are cut into shingles again
+        sets = own(keyed.join(small(wanted), keys, "left_semi")).groupBy("node").agg(F.first("own").alias("own"))
+        found = materialize(_alike(near, sets), "alike")
         if found.take(1):
-            links = links.union(found)
-            roots = components(links)
+            roots = components(roots.union(found))
     out = rows.select(*keys, "node").distinct()
     return out.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select(*keys, F.coalesce("root", "node").alias("group"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripspark.llm import op1_substring, op7_decontaminate, op8_quality, op10_bpe, similar
-from tripspark.llm.common import free_name, materialize, small, tokenizer_path, with_key
+from tripspark.llm.common import free_name, materialize, scratch, small, tokenizer_path, with_key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts linked by fingerprints or by a likeness of 0.8 or more (Jaccard of five-word shingles) the document
     of smallest id stays (of equal ids and texts, one row)."""
-    found = similar.similar_groups(docs)
-    keys = found.columns[:2]
-    first = materialize(found.groupBy("group").agg(F.min(F.struct(*keys)).alias("k")).select("k.*"), "first")
+    with scratch(spark):
+        found = similar.similar_groups(docs)
+        keys = found.columns[:2]
+        first = materialize(found.groupBy("group").agg(F.min(F.struct(*keys)).alias("k")).select("k.*"), "first", stays=True)
     keyed, own = with_key(docs, "doc_id", "text")
     first = first.toDF(*own)
     return keyed.join(first, own, "left_semi").dropDuplicates(own).select(*docs.columns)
@@ -50,8 +51,9 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark's items."""
-    found, keys = op7_decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = small(materialize(found.filter("contaminated").select(*keys).distinct(), "bad"))
+    with scratch(spark):
+        found, keys = op7_decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+        bad = small(materialize(found.filter("contaminated").select(*keys).distinct(), "bad", stays=True))
     keyed, own = with_key(docs, "doc_id", "text")
     return keyed.join(bad.toDF(*own), own, "left_anti").select(*docs.columns)
 
