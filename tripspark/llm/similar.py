@@ -4,7 +4,9 @@ Of each set the least shingle in each of 120 random orders is taken; five of the
 of likeness j share a place with probability 1 - (1 - j**5)**24: 0.99993 at 0.8, so of a hundred thousand pairs at the very
 limit about seven are not looked at, and 0.06 at 0.3. Sets at one place are compared by size, then by parity bitmaps (which
 differ in no more bits than the sets differ in shingles), then in full, so nothing less alike is linked. So that a large group
-costs no pairs of all its members, sets are first compared with one set of each place, and then only across groups.
+costs no pairs of all its members, sets are first compared with one set of each place, and then only across groups. A place
+that still holds many groups (texts around one common passage, say) is left for the rarest shingles of its sets, of which
+alike sets share one for certain, so what is common to all of them brings no pairs.
 """
 
 from __future__ import annotations
@@ -35,6 +37,11 @@ _TURN, _SPREAD = np.random.default_rng(24).integers(0, 2**63, (2, PLACES * LEAST
 _SPREAD = _SPREAD * np.uint64(2) + np.uint64(1)
 #: Rounds in which sets are compared with one set of each place.
 ROUNDS = 2
+#: Groups at a place beyond which its sets meet at their rarest shingles instead. No pair is lost by it, at any number; up to
+#: it, a place's pairs are fewer than what looking for the rarest shingles costs.
+CROWD = 1000
+#: Counters of shingles, by 18 bits of their hashes, and so the bound of what the driver is sent.
+COUNTERS = 1 << 18
 
 
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -79,6 +86,17 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both * BELOW >= ABOVE * (len(a) + len(b) - both)
 
 
+def counter_of(own: np.ndarray) -> np.ndarray:
+    return (own >> np.uint64(20)).astype(np.int64) % COUNTERS
+
+
+def rarest(own: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The first shingles of a set by level of their counters, then by hash: as many as leave fewer than an alike set must share.
+    In any one order of all shingles, alike sets have one of these in common."""
+    most = len(own) + (-len(own) * ABOVE) // BELOW + 1
+    return own[np.lexsort((own, level[counter_of(own)]))[:most]]
+
+
 def _mapped(docs: DataFrame, text_col: str, schema: str, row) -> DataFrame:
     """row(part, sets): the columns of schema for a part of docs and its shingle sets."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -140,6 +158,54 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _filtered(_both(pairs, sets, "own").select("a", "b", "own_a", "own_b"), ("own_a", "own_b"), own)
 
 
+def _levels(sets: DataFrame) -> np.ndarray:
+    """How common the shingles of each counter are in the sets, as one byte (eight times the logarithm)."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            every = np.concatenate([np.frombuffer(x, np.uint64) for x in batch.column("own").to_pylist()])
+            at, n = np.unique(counter_of(every), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["counter", "n"])
+
+        return work
+
+    out = np.zeros(COUNTERS, np.uint8)
+    got = map_rows(sets.select("own"), make, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    out[got["counter"]] = np.minimum(8 * np.log2(1 + got["n"].to_numpy(float)), 255)
+    return out
+
+
+def _rare(sets: DataFrame) -> DataFrame:
+    """token, node: the rarest shingles of each set."""
+    level = _levels(sets)
+
+    def make():
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            found = [rarest(np.frombuffer(x, np.uint64), level) for x in batch.column("own").to_pylist()]
+            node = np.repeat(batch.column("node").to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([_signed(found), pa.array(node)], ["token", "node"])
+
+        return work
+
+    return map_rows(sets.select("node", "own"), make, "token long, node long")
+
+
+def _uncrowded(placed: DataFrame, sets_of, crowd: int) -> DataFrame:
+    """token, node, root: placed without the places of more than `crowd` groups, but with the rarest shingles of their sets,
+    and only where different groups meet. sets_of(nodes): the sets (node, own)."""
+    groups = placed.select("token", "root").distinct().groupBy("token").agg(F.count("*").alias("n"))
+    groups = materialize(groups.filter("n > 1"), "places")
+    few = placed.join(groups.filter(F.col("n") <= crowd), "token", "left_semi").select("token", "node", "root")
+    full = groups.filter(F.col("n") > crowd).select("token")
+    if not full.take(1):
+        return few
+    members = materialize(placed.join(full, "token", "left_semi").select("node", "root").distinct(), "members")
+    rare = materialize(_rare(materialize(sets_of(members.select("node")), "crowded")), "rare").distinct().join(members, "node")
+    rare = materialize(rare.select("token", "node", "root"), "rare_placed")
+    met = rare.groupBy("token").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select("token")
+    return few.union(rare.join(met, "token", "left_semi"))
+
+
 def _near_fingerprints(rows: DataFrame) -> DataFrame:
     """Links of nodes whose texts have fingerprints that op4_simhash links."""
     of = materialize(rows.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
@@ -150,10 +216,10 @@ def _near_fingerprints(rows: DataFrame) -> DataFrame:
     return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).union(equal).filter("a <> b").distinct()
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """k_id, k_text, group (long) for each different pair of id and text (see with_key): texts of a group are reached over links.
 
-    Texts without words are a group. Each round's tables are written to the shared folder."""
+    crowd: see CROWD; it changes the cost, not the groups. Texts without words are a group. Each round's tables are written to the shared folder."""
     keyed, keys = with_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
     keyed = keyed.select(*keys, "text")
 
@@ -168,6 +234,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = materialize(at.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "held")
     at = materialize(at.join(held, "token"), "shared")
     own = lambda texts: _mapped(texts, "text", "node long, own binary", lambda _, sets: [_named(sets), pa.array([s.tobytes() for s in sets], pa.binary())])
+
+    def sets_of(wanted: DataFrame) -> DataFrame:  # one text for each set is cut into shingles again
+        texts = materialize(wanted.join(nodes.select("node", "text.*"), "node").select(*keys), "wanted")
+        return own(keyed.join(small(texts), keys, "left_semi")).groupBy("node").agg(F.first("own").alias("own"))
+
     links = materialize(_near_fingerprints(rows.select("fp", "node").distinct()), "links")
     roots, done = components(links), None
     for r in range(ROUNDS + 1):
@@ -181,14 +252,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             done = pairs if done is None else done.union(pairs)
             near = materialize(_sized(pairs, nodes), "near")
         else:  # whatever is left: only pairs that pass the bounds leave the join
-            placed = materialize(placed.join(nodes.drop("at", "text"), "node"), "placed")
+            placed = _uncrowded(materialize(placed, "placed"), sets_of, crowd)
+            placed = materialize(placed.join(nodes.drop("at", "text"), "node"), "bounded")
             x, y = placed.alias("x"), placed.alias("y")
             met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may("x", "y"))
             pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
             near = materialize(pairs.join(done, ["a", "b"], "left_anti"), "near")
-        wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text.*"), "node")
-        wanted = materialize(wanted.select(*keys), "wanted")  # one text for each set: only those are cut into shingles again
-        sets = own(keyed.join(small(wanted), keys, "left_semi")).groupBy("node").agg(F.first("own").alias("own"))
+        sets = sets_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         found = materialize(_alike(near, sets), "alike")
         if found.take(1):
             roots = components(roots.union(found))
