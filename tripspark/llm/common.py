@@ -211,8 +211,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], i
     either value of the last label: those of least hash, written to the shared folder.
 
     Only ids whose crc32 (as text) mod 5 is not 0, with a text and with 0 or 1 for each label, are taken. An id counts once:
-    of its texts the least is taken, and ids whose rows of labels differ are left out. Texts that would go over the bytes
-    and all after them are passed over."""
+    of its texts the least is taken, and ids whose rows of labels differ are left out. Each value has half of the bytes; a text
+    that does not fit into what is left of them is passed over, and those after it still come. A value none of whose texts fit
+    is an error, so no model is fitted without it."""
     y = label_cols[-1]
     whole = [F.col(c).isin(0, 1) for c in label_cols]
     known = labels.filter(F.crc32(F.col(id_col).cast("string")) % 5 != 0)
@@ -226,7 +227,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], i
     picked = [known.filter(F.col(y) == v).orderBy(*order).limit(rows // 2) for v in (0, 1)]
     texts = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull()).join(F.broadcast(picked[0].union(picked[1])), id_col)
     texts = materialize(texts.groupBy(id_col, *label_cols).agg(F.min(text_col).alias(text_col)), "labelled")
-    before = Window.partitionBy(y).orderBy(*order)  # `rows` rows at most, without their texts
-    total = F.sum(text_col).over(before)  # lengths, by then
-    fit = texts.select(id_col, *label_cols, F.octet_length(text_col).alias(text_col)).withColumn("total_", total).filter(F.col("total_") <= most_bytes // 2)
-    return texts.join(F.broadcast(fit.select(id_col)), id_col, "left_semi")
+    # at most `rows` ids and lengths; which texts fit depends on those before
+    sizes = texts.select(F.col(y).alias("y_"), F.col(id_col).alias("id_"), F.octet_length(text_col).alias("n_")).orderBy("y_", F.xxhash64("id_"), "id_").collect()
+    left, fit, seen = {0: most_bytes // 2, 1: most_bytes // 2}, [], set()
+    for r in sizes:
+        seen.add(r["y_"])
+        if r["n_"] <= left[r["y_"]]:
+            left[r["y_"]] -= r["n_"]
+            fit.append((r["id_"], r["y_"]))
+    for v in seen - {v for _, v in fit}:
+        raise ValueError(f"no text of {y} = {v} has {most_bytes // 2} bytes or less: raise most_bytes")
+    if len(fit) == len(sizes):
+        return texts
+    ids = texts.sparkSession.createDataFrame([(i,) for i, _ in fit], T.StructType([T.StructField(id_col, texts.schema[id_col].dataType)]))
+    return texts.join(F.broadcast(ids), id_col, "left_semi")
+
+
+def positions(ids: DataFrame, col: str, out: str) -> DataFrame:
+    """ids (one column) with its place in ascending order (long, from 0), nulls first; written to the shared folder.
+
+    Ranges of ids are sorted apart; a range's places begin after the rows of the ranges before it."""
+    ranged = ids.select(col).repartitionByRange(F.col(col).asc_nulls_first()).sortWithinPartitions(F.col(col).asc_nulls_first())
+    ranged = materialize(ranged.withColumn("at_", F.monotonically_increasing_id()), "ranged").withColumn("range_", F.shiftright("at_", 33))
+    sizes = ranged.groupBy("range_").agg(F.count("*").alias("n_"))  # a row for each range
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("range_", before.alias("start_")))
+    place = F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("start_")
+    return materialize(ranged.join(starts, "range_").select(col, place.alias(out)), "places")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripspark.llm.common import id_ranges, map_rows, materialize, range_of, slices, small, with_key
+from tripspark.llm.common import id_ranges, map_rows, materialize, positions, range_of, slices, small, whole_ids, with_key
 from tripspark.llm.hashing import prefix_sums, span_hashes
 
 GRAM, WIDTH = 10, 20
@@ -118,7 +118,14 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Each document against its edited text, whose last half is replaced by the beginning of the next document's, in
     descending order of id: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Null texts count as empty. Repeated rows follow one another; the only document is its own next."""
+    Null texts count as empty. Repeated rows follow one another; the only document is its own next. Ids that are not whole numbers
+    are ordered as text, come back as text, and stand for their places in that order meanwhile."""
+    if not whole_ids(docs, id_col):
+        own = docs.select(F.col(id_col).cast("string").alias("own_"), F.col(text_col).alias("text_"))
+        places = positions(own.select("own_").filter("own_ is not null").distinct(), "own_", "id_")
+        found = edit_report(own.join(places, "own_", "left").select("id_", "text_"), "id_", "text_", gram, width, coarse, rows)
+        found = found.join(places, "id_", "left").drop("id_").withColumnRenamed("own_", id_col)
+        return found.select(id_col, *[c for c in found.columns if c != id_col])
     placed = in_ranges(docs, id_col, text_col, coarse, rows)
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

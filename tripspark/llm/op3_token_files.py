@@ -19,14 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripspark.llm.common import bound_batches, give_back, map_rows, new_path, resident, slices, tokenizer_path, with_key
+from tripspark.llm.common import bound_batches, give_back, map_rows, new_path, resident, slices, tokenizer_path, whole_ids, with_key
 from tripspark.llm.prefix_bpe import Memo, splitter, unnamed
 
 CHUNK = 8
 RANK_BITS = 512
 #: Tokens after which a block is closed; a document is never cut, so a longer one is a block of its own.
 BLOCK_TOKENS = 1 << 18
-BLOCK = "shard int, block int, first_id long, first_key long, n_tokens long, ids array<long>, ends array<long>, chunks array<binary>, flags array<binary>, ranks array<binary>"
+#: Columns of the files; ids are whole numbers, or text where they are of another type.
+BLOCK = "shard int, block int, first_id {id}, first_key long, n_tokens long, ids array<{id}>, ends array<long>, chunks array<binary>, flags array<binary>, ranks array<binary>"
 
 
 def pack(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
@@ -129,10 +130,14 @@ class WordIds:
 def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the token ids of every whole text, each document's followed by end_id, as blocks under out.
 
-    path: a tokenizers file that every executor can read. Null and empty texts have the end id alone; a null id is
-    written as the smallest long. Repeated rows are written as often as they come."""
+    path: a tokenizers file that every executor can read. Null and empty texts have the end id alone. Ids of whole numbers are
+    written as long (a null one as the smallest long), others as text and in its order; null ids come first. Repeated rows are
+    written as often as they come."""
     keyed, keys = with_key(docs.select(id_col, text_col), id_col, text_col)
-    ordered = keyed.select(*keys, text_col).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    kind, id_type = ("long", pa.int64()) if whole_ids(docs, id_col) else ("string", pa.string())
+    own_id = F.col(keys[0]) if kind == "long" else F.col(id_col).cast("string")
+    ordered = keyed.select(own_id.alias("id_"), F.col(keys[1]).alias("key_"), F.col(text_col).alias("text_"))
+    ordered = ordered.repartitionByRange("id_", "key_").sortWithinPartitions("id_", "key_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, number = resident(("words", path), lambda: WordIds(path)), TaskContext.get().partitionId(), 0
@@ -145,7 +150,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 2, id_col:
             ends = np.cumsum([len(p) // 4 for p in parts])
             chunks, flags, ranks = pack(np.frombuffer(b"".join(parts), np.uint32))
             row = (shard, number, ids[0], firsts[0], int(ends[-1]), ids, ends.tolist(), chunks, flags, ranks)
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.binary()))
+            kinds = (pa.int32(), pa.int32(), id_type, pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.binary()))
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [x.split()[0] for x in BLOCK.split(", ")])
 
         for batch in batches:
@@ -165,12 +170,12 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 2, id_col:
         give_back()
 
     bound_batches(docs.sparkSession)
-    ordered.mapInArrow(run, BLOCK).write.parquet(out)
+    ordered.mapInArrow(run, BLOCK.format(id=kind)).write.parquet(out)
 
 
 def read_blocks(spark: SparkSession, out: str) -> DataFrame:
     """The blocks under out with start (long): ids of all blocks before. Sums go by shard, then by block in a shard."""
-    blocks = spark.read.schema(BLOCK).parquet(out)
+    blocks = spark.read.parquet(out)
     shards = blocks.groupBy("shard").agg(F.min(F.struct("first_id", "first_key")).alias("at"), F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = shards.select("shard", before.alias("shard_start"))  # a row for each file
@@ -181,7 +186,11 @@ def read_blocks(spark: SparkSession, out: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, out: str) -> DataFrame:
-    """doc_id, start, n_tokens (long), ids (binary: little-endian unsigned 32-bit integers) of every document under out."""
+    """doc_id (long or string, as written), start, n_tokens (long), ids (binary: little-endian unsigned 32-bit integers) of every
+    document under out."""
+    rows = read_blocks(spark, out).select("ids", "ends", "chunks", "flags", "ranks", "start")
+    kind = rows.schema["ids"].dataType.elementType.simpleString()
+    id_type = pa.string() if kind == "string" else pa.int64()
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -190,13 +199,12 @@ def read_documents(spark: SparkSession, out: str) -> DataFrame:
                 ends = np.array(row["ends"], np.int64)
                 starts = np.concatenate(([0], ends[:-1]))
                 ids = [block.tokens(a, b).astype("<u4").tobytes() for a, b in zip(starts, ends)]
-                own = pa.array([None if i == -(2**63) else i for i in row["ids"]], pa.int64())
+                own = pa.array([None if i == -(2**63) else i for i in row["ids"]], id_type)
                 yield pa.RecordBatch.from_arrays([own, pa.array(starts + row["start"]), pa.array(ends - starts), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
         return work
 
-    rows = read_blocks(spark, out).select("ids", "ends", "chunks", "flags", "ranks", "start")
-    return map_rows(rows, make, "doc_id long, start long, n_tokens long, ids binary")
+    return map_rows(rows, make, f"doc_id {'string' if kind == 'string' else 'long'}, start long, n_tokens long, ids binary")
 
 
 def token_at(spark: SparkSession, out: str, places: DataFrame) -> DataFrame:
