@@ -68,11 +68,11 @@ def test_streams_equal_batches(spark, tmp_path):
         spark.createDataFrame(r, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     changes = streaming.read_changes(spark, str(tmp_path / "in"), schema, 1)
     streaming.stream_upserts(changes, str(tmp_path / "table"), str(tmp_path / "cp"), ["id"]).trigger(availableNow=True).start().awaitTermination()
-    got = {r["id"]: (r["content"], r["updated_at"]) for r in spark.read.parquet(streaming.live_version(spark, str(tmp_path / "table"))).collect()}
+    got = {r["id"]: (r["content"], r["updated_at"]) for r in streaming.read_table(spark, str(tmp_path / "table")).collect()}
     want = {r["id"]: (r["content"], r["updated_at"]) for r in upsert(spark.createDataFrame([], schema), spark.createDataFrame([x for r in rows for x in r if x[2:] != (5,) or x[1] != "a"], schema), ["id"]).collect()}
     assert got.keys() == want.keys() and got[2] == ("d", 9) and got[3] == ("f", 2) and got[1][1] == 5
     spark.createDataFrame([(1, "x", 10, 1), (1, "x", 11, 2), (2, "x", 12, 3)], "user_id long, item_key string, trip_id long, trip_date long").write.parquet(str(tmp_path / "won"))
-    first = streaming.stream_first_conquests(spark.readStream.schema("user_id long, item_key string, trip_id long, trip_date long").parquet(str(tmp_path / "won")))
+    first = streaming.stream_first_arrivals(spark.readStream.schema("user_id long, item_key string, trip_id long, trip_date long").parquet(str(tmp_path / "won")))
     first.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp2")).option("path", str(tmp_path / "first")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "first")).count() == 2
     table = spark.read.parquet(str(tmp_path / "won"))

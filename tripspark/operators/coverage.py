@@ -9,6 +9,8 @@ from tripspark.functions.geo import bearing, bearing_difference, edges_meet, end
 from tripspark.operators.sizes import is_small, small
 
 CELL_DEG = 0.012
+#: Tolerance in km, degrees, and places along an edge of the strict match.
+STRICT = (0.08, 38.0, (0.0, 0.5, 1.0))
 ENDS = ("alat", "alng", "blat", "blng")
 
 
@@ -70,10 +72,27 @@ def corridor_coverage(roads: DataFrame, trips: DataFrame, tolerance_km: float =
     return out.select("user_id", "road_id", "line_id", "seq", *ENDS, haversine(*map(F.col, ENDS)).alias("km"), F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
+def covered_edges(roads: DataFrame, trips: DataFrame, by: list[str], tolerance_km: float = 0.20, bearing_deg: float = 55.0, points: tuple[float, ...] = (0.5,), cell: float = CELL_DEG) -> DataFrame:
+    """by, road_id, line_id, seq, pos, ends, km, covered (true): the covered edges alone, by the columns `by` of trips.
+
+    Each side is dealt to cells once, whatever the number of users or trips that share a road; see corridor_coverage for the
+    rule. pos is an edge's place among its line's edges of some length."""
+    w = Window.partitionBy("road_id", "line_id").orderBy("seq")
+    e = roads.filter(haversine(*map(F.col, ENDS)) > 1e-6).select("road_id", "line_id", "seq", *ENDS, F.row_number().over(w).alias("pos"))
+    t = trips.filter(haversine(*map(F.col, ENDS)) > 1e-6).select(*by, *ENDS)
+    met = grid_candidates(e, t, [], tolerance_km, near_and_parallel(tolerance_km, bearing_deg, points), "inner", cell)
+    met = met.select(*by, "road_id", "line_id", "seq", "pos", *[F.col(f"l_{c}").alias(c) for c in ENDS]).distinct()
+    return met.withColumn("km", haversine(*map(F.col, ENDS))).withColumn("covered", F.lit(True))
+
+
 def covered_runs(coverage: DataFrame, by: list[str]) -> DataFrame:
-    """by, run_no, first_seq, last_seq, n_edges, km: consecutive covered edges that touch, by line."""
+    """by, run_no, first_seq, last_seq, n_edges, km: consecutive covered edges that touch, by line.
+
+    Where coverage has the covered edges alone, pos (see covered_edges) tells which are consecutive."""
     w = Window.partitionBy(*by).orderBy("seq")
     touch = (F.lag("covered").over(w)) & (F.lag("blat").over(w) == F.col("alat")) & (F.lag("blng").over(w) == F.col("alng"))
+    if "pos" in coverage.columns:
+        touch = touch & (F.lag("pos").over(w) + 1 == F.col("pos"))
     c = coverage.withColumn("start_", F.when(F.col("covered") & ~F.coalesce(touch, F.lit(False)), 1).otherwise(0))
     c = c.withColumn("run_no", F.sum("start_").over(w)).filter("covered")
     return c.groupBy(*by, "run_no").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n_edges"), F.sum("km").alias("km"))
@@ -98,7 +117,7 @@ def road_progress(coverage: DataFrame, complete_ratio: float = 0.985) -> DataFra
 def conquest_match(roads: DataFrame, trips: DataFrame, min_run_km: float = 2.0) -> DataFrame:
     """user_id, road_id, run_km, n_runs: roads of which a run of min_run_km or more is matched strictly: start, middle and end
     of an edge within 0.08 km of one trip edge, directions within 38 degrees."""
-    c = corridor_coverage(roads, trips, 0.08, 38.0, (0.0, 0.5, 1.0))
+    c = covered_edges(roads, trips, ["user_id"], *STRICT)
     runs = covered_runs(c, ["user_id", "road_id", "line_id"]).filter(F.col("km") >= min_run_km)
     return runs.groupBy("user_id", "road_id").agg(F.max("km").alias("run_km"), F.count("*").alias("n_runs"))
 

@@ -4,52 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tripspark.operators.sync import upsert
+from tripspark.streaming.first import first_conquests
+from tripspark.streaming.table import BUCKETS, KEEP, merge_batch, read_table, remove_old, stream_of
 
+__all__ = ["first_by_time", "read_changes", "read_table", "stream_first_arrivals", "stream_first_conquests", "stream_pending_scan", "stream_upserts"]
 
-def read_changes(spark: SparkSession, path: str, schema: str, most_files: int = 100) -> DataFrame:
+
+def read_changes(spark: SparkSession, path: str, schema: str | T.StructType, most_files: int = 100) -> DataFrame:
     """A stream of Parquet files of changes."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(path)
 
 
-def stream_upserts(changes: DataFrame, table_path: str, checkpoint: str, keys: list[str], at: str = "updated_at"):
-    """Keep the table under table_path up to date: in each batch the last change of a key by time wins over an older row; a late,
-    older change loses, so no watermark is needed. Versions are written beside one another and a pointer file names the live
-    one, so a batch that is run again after a failure gives the same table."""
+def stream_upserts(changes: DataFrame, table_path: str, checkpoint: str, keys: list[str], at: str = "updated_at", buckets: int = BUCKETS, gone: Column | None = None, keep: int = KEEP):
+    """Keep the table under table_path (see table.merge_batch) up to date: in each batch the last change of a key by time wins over
+    an older row; a late, older change loses, so no watermark is needed. A batch of k keys rewrites k buckets at most; one that
+    is run again after a failure changes nothing. Read it with read_table; the newest `keep` versions stay."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        live = live_version(spark, table_path, before=number)
-        now = batch if live is None else upsert(spark.read.parquet(live), batch, keys, at)
-        if live is None:
-            now = upsert(batch.limit(0), batch, keys, at)
-        now.write.mode("overwrite").parquet(f"{table_path}/version={number}")
+        merge_batch(batch, table_path, keys, at, stream_of(batch.sparkSession, checkpoint), number, buckets, gone)
+        remove_old(batch.sparkSession, table_path, keep)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
-def live_version(spark: SparkSession, table_path: str, before: int | None = None) -> str | None:
-    """The newest complete version's folder (of a batch before `before`), or none."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    found = []
-    for s in fs.listStatus(hadoop):
-        name = s.getPath().getName()
-        if name.startswith("version=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-            n = int(name.split("=")[1])
-            if before is None or n < before:
-                found.append(n)
-    return f"{table_path}/version={max(found)}" if found else None
-
-
-def stream_first_conquests(conquests: DataFrame, keys: tuple[str, ...] = ("user_id", "item_key")) -> DataFrame:
-    """The first row that arrives for each key, once; state is one entry for each key. Where the first by trip time is
-    wanted and rows come out of order, merge batches with first_by_time instead."""
+def stream_first_conquests(changes: DataFrame, table_path: str, checkpoint: str, keys: list[str], trip: str = "trip_id", at: str = "trip_date", updated: str = "updated_at", deleted: str = "deleted", buckets: int = BUCKETS, remembered: object = None):
+    """Keep a table of each key's first conquest by time under table_path, from changes in any order (see first_conquests); keys
+    whose trips are all withdrawn leave it. Read it with read_table; its column revision is the batch that told the row."""
+    first = first_conquests(changes, keys, trip, at, updated, deleted, remembered)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        told = batch.withColumn("revision", F.lit(number).cast("long")).persist()  # the state is gone through once
+        try:
+            merge_batch(told, table_path, keys, "revision", stream_of(batch.sparkSession, checkpoint), number, buckets, F.col(trip).isNull())
+        finally:
+            told.unpersist()
+        remove_old(batch.sparkSession, table_path)
+
+    return first.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
+def stream_first_arrivals(conquests: DataFrame, keys: tuple[str, ...] = ("user_id", "item_key")) -> DataFrame:
+    """The first row that arrives for each key, once; state is one entry for each key. For the first by trip time see
+    stream_first_conquests."""
     return conquests.dropDuplicates(list(keys))
 
 
