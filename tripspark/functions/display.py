@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tripspark.functions.text import plain, state_of
+from tripspark.functions.text import international_parts, plain, state_of
 
 #: Names of travel modes, and of the kinds of points of interest, by value and else by key.
 MODES = {"carro": "Carro", "moto": "Moto", "bicicleta": "Bicicleta", "a-pe": "A pé", "aviao": "Avião", "outro": "Outro"}
@@ -95,10 +95,13 @@ def trip_country_context(codes: Column) -> Column:
     return F.when(F.size(known) == 0, F.lit("")).when(F.size(known) == 1, known[0]).otherwise(F.concat(F.lit("AUTO:"), F.array_join(known, ",")))
 
 
-#: The national network of each country; prefixes that one country alone uses; countries where a network
-#: "CA" runs; countries where a bare number is a national road.
+#: The national network of each country.
 NATIONAL = {"UY": "RU", "AR": "RN", "PY": "PY", "CL": "CH", "BO": "F", "PE": "PE", "CO": "RN", "VE": "T", "EC": "E", "GY": "N", "SR": "N", "GF": "N", "PA": "N", "CR": "N", "NI": "NIC", "HN": "RN", "SV": "RN", "GT": "RN", "BZ": "N"}
-OWN_PREFIX = [("PE", "PE", "PE"), ("PY", "PY", "PY"), ("CL", "CH", "CH"), ("EC", "E", "E"), ("VE", "T", "(?:T|TRONCAL)"), ("BO", "F", "F"), ("NI", "NIC", "NIC")]
+#: Names of roads that one country alone uses, and its network; numbers have three digits at most.
+OWN_NAME = {"PE": ("PE", "PE"), "PY": ("PY", "PY"), "CH": ("CL", "CH"), "E": ("EC", "E"), "T": ("VE", "T"), "TRONCAL": ("VE", "T"), "F": ("BO", "F"), "NIC": ("NI", "NIC")}
+#: Names of a country's national roads, where the country is known; four digits at most.
+ROAD_NAMES = ["RN", "RUTA", "RUTA NACIONAL", "ROUTE", "CARRETERA"]
+#: Countries where a network "CA" runs (three digits at most), and where a bare number is a national road (four).
 CENTRAL = ["GT", "SV", "HN", "NI", "CR", "PA"]
 BARE = ["CO", "CR", "PA", "PE", "PY"]
 
@@ -106,29 +109,28 @@ BARE = ["CO", "CR", "PA", "PE", "PY"]
 def international_ref(raw: Column, hint: Column) -> Column:
     """INT:country:network:number of a reference; empty if it cannot be told.
 
-    Prefixes that one country alone has tell themselves (PE only when set off from its number, unless some country is
-    hinted); RN, RUTA, ROUTE and CARRETERA, bare numbers and CA need the hinted country. References that are Brazilian,
-    or hinted so, are none unless their prefix tells. Leading zeros go."""
+    A reference is cut at its first digit into a name (a dash at its end goes) and a number (digits, a letter at will, leading
+    zeros go), and the name is looked up: names that one country alone has tell themselves (PE only when set off from its
+    number, unless some country is hinted); other names, bare numbers and CA need the hinted country. Brazilian names are in no
+    list. A finished label is taken as it is."""
     c = F.trim(F.regexp_replace(F.upper(F.regexp_replace(F.coalesce(raw, F.lit("")), "[–—]", "-")), r"\s+", " "))
     own = F.upper(F.coalesce(hint, F.lit("")))
     abroad = (own != "") & (own != "BR")
-    network = F.coalesce(_named(NATIONAL, own), F.lit("N"))
-
-    def made(country: Column, net: Column, number: Column) -> Column:
-        return F.concat_ws(":", F.lit("INT"), country, net, F.regexp_replace(number, r"^0+(?=\d)", ""))
-
-    whole = r"^INT:([A-Z]{2}):([A-Z]{1,3}):([0-9A-Z]{1,6})$"
-    out = F.when(c.rlike(whole), made(F.regexp_extract(c, whole, 1), F.regexp_extract(c, whole, 2), F.regexp_extract(c, whole, 3))).when(c.rlike(r"^BR\s*-?\s*\d"), F.lit(""))
-    for country, net, prefix in OWN_PREFIX:
-        number = F.regexp_extract(c, rf"^{prefix}\s*-?\s*([0-9]{{1,}}[A-Z]?)$", 1)
-        short = F.length(F.regexp_replace(number, "^0+|[A-Z]$", "")) <= 3
-        told = (number != "") & short
-        if country == "PE":
-            told = told & (abroad | c.rlike(r"^PE(?:\s*-| +\d)"))
-        out = out.when(told, made(F.lit(country), F.lit(net), number))
-    ca, road, bare = (F.regexp_extract(c, p, 1) for p in (r"^CA\s*-?\s*0*([0-9]{1,3}[A-Z]?)$", r"^(?:RN|RUTA(?: NACIONAL)?|ROUTE|CARRETERA)\s*-?\s*0*([0-9]{1,4}[A-Z]?)$", r"^0*([0-9]{1,4}[A-Z]?)$"))
-    out = out.when((ca != "") & own.isin(*CENTRAL), made(own, F.lit("CA"), ca)).when((road != "") & abroad, made(own, network, road))
-    return out.when((bare != "") & own.isin(*BARE), made(own, network, bare)).otherwise(F.lit(""))
+    before = F.regexp_extract(c, "^[^0-9]*", 0)
+    name = F.trim(F.regexp_replace(F.trim(before), "-$", ""))
+    number = F.regexp_extract(c, "^[^0-9]*([0-9]+[A-Z]?)$", 1)
+    bare = lambda n: F.regexp_replace(n, "^0+(?=[0-9])", "")
+    digits = F.length(F.regexp_replace(bare(number), "[A-Z]$", ""))
+    label = lambda country, network, n: F.concat_ws(":", F.lit("INT"), country, network, bare(n))
+    done, told = international_parts(c, "[0-9A-Z]{1,6}"), _named({k: ":".join(v) for k, v in OWN_NAME.items()}, name)
+    told_by_name = told.isNotNull() & (digits <= 3) & ((name != "PE") | abroad | (F.length(before) > 2))
+    national = F.coalesce(_named(NATIONAL, own), F.lit("N"))
+    hinted = F.when((name == "CA") & own.isin(*CENTRAL) & (digits <= 3), F.lit("CA"))
+    hinted = hinted.when((digits <= 4) & (name.isin(*ROAD_NAMES) & abroad | (before == "") & own.isin(*BARE)), national)
+    return (
+        F.when(done.isNotNull(), label(done["country"], done["network"], done["number"])).when(number == "", F.lit(""))
+        .when(told_by_name, F.concat_ws(":", F.lit("INT"), told, bare(number))).when(hinted.isNotNull(), label(own, hinted, number)).otherwise(F.lit(""))
+    )
 
 
 def poi_score(name: Column, query: Column) -> Column:
@@ -137,8 +139,15 @@ def poi_score(name: Column, query: Column) -> Column:
     return F.when(n == q, F.lit(0.0)).when(F.forall(F.split(q, " "), lambda w: F.concat(F.lit(" "), n).contains(F.concat(F.lit(" "), w))) & (q != ""), F.lit(1.0))
 
 
+#: Countries whose national roads are told apart only by where they run.
+NEIGHBOURS = ["AR", "UY"]
+
+
 def reclassify_label(label: Column, country: Column) -> Column:
-    """A stored reference of Argentina or Uruguay, renamed by the country that its badge stands in; others as they are, trimmed."""
+    """A national road of one of NEIGHBOURS under the country that its badge stands in, if that is one of them too; other labels
+    as they are, trimmed."""
     own = F.trim(F.coalesce(label, F.lit("")))
-    number = F.regexp_extract(F.upper(own), r"^INT:(?:AR:|UY:)(?:RN:|RU:)([0-9A-Z]+)$", 1)
-    return F.when((number != "") & (country == "UY"), F.concat(F.lit("INT:UY:RU:"), number)).when((number != "") & (country == "AR"), F.concat(F.lit("INT:AR:RN:"), number)).otherwise(own)
+    p = international_parts(F.upper(own), "[0-9A-Z]+")
+    known = p["country"].isin(*NEIGHBOURS) & p["network"].isin(*[NATIONAL[c] for c in NEIGHBOURS])
+    moved = F.concat_ws(":", F.lit("INT"), country, _named({c: NATIONAL[c] for c in NEIGHBOURS}, country), p["number"])
+    return F.when(known & country.isin(*NEIGHBOURS), moved).otherwise(own)

@@ -22,9 +22,8 @@ STATES = {
 ISO3 = {"BRA": "BR", "ARG": "AR", "URY": "UY", "PRY": "PY", "BOL": "BO", "CHL": "CL", "PER": "PE", "COL": "CO", "ECU": "EC", "VEN": "VE"}
 COUNTRIES = {"brasil": "BR", "brazil": "BR", "argentina": "AR", "uruguai": "UY", "uruguay": "UY", "paraguai": "PY", "paraguay": "PY", "bolivia": "BO", "chile": "CL", "peru": "PE", "colombia": "CO", "equador": "EC", "ecuador": "EC", "venezuela": "VE"}
 
-_PREFIX = "|".join(sorted([*PARENT_STATE, *STANDARD_PREFIXES], key=lambda p: (-len(p), p)))
-ROAD = rf"(?i)\b({_PREFIX})\s*[- ]?\s*(\d{{1,4}}(?:/\d{{1,4}})?)\b"
-INTERNATIONAL = r"^INT:([A-Z]{2}):([A-Z]{1,3}):(\d{1,4}[A-Z]?)$"
+#: A run of two or three letters and a number: what a road code looks like. Whether the letters are a prefix, the lists above say.
+_CODE = r"\b[A-Za-z]{2,3}\s*-?\s*[0-9]{1,4}(?:/[0-9]{1,4})?\b"
 
 
 @lru_cache(maxsize=1)
@@ -53,49 +52,84 @@ def _dashes(c: Column) -> Column:
     return F.trim(F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), "[–—]", "-")))
 
 
+def road_codes(c: Column) -> Column:
+    """prefix (upper case), number and text of each road code in c, in order.
+
+    code = prefix, white space and one dash at will, number; number = up to four digits, or two of those with a slash between."""
+    cut = lambda m: F.struct(F.upper(F.regexp_extract(m, "^[A-Za-z]+", 0)).alias("prefix"), F.regexp_extract(m, "[0-9/]+$", 0).alias("number"), m.alias("text"))
+    found = F.transform(F.regexp_extract_all(c, F.lit(_CODE), F.lit(0)), cut)
+    return F.filter(found, lambda x: x["prefix"].isin(*STANDARD_PREFIXES, *PARENT_STATE))
+
+
+def international_parts(c: Column, number: str = "[0-9]{1,4}[A-Z]?") -> Column:
+    """country, network, number of a label INT:country:network:number in upper case; null if c is none."""
+    parts = F.split(c, ":")
+    mark, country, network, own = (F.get(parts, F.lit(i)) for i in range(4))
+    ok = (F.size(parts) == 4) & (mark == "INT") & country.rlike("^[A-Z]{2}$") & network.rlike("^[A-Z]{1,3}$") & own.rlike(f"^(?:{number})$")
+    return F.when(ok, F.struct(country.alias("country"), network.alias("network"), own.alias("number")))
+
+
 def parse_road_code(label: Column) -> Column:
     """country, network, number, federal, secondary, parent_state, international; null if the label has no road code."""
     c = _dashes(label)
-    network, number = F.upper(F.regexp_extract(c, ROAD, 1)), F.regexp_extract(c, ROAD, 2)
+    first, abroad = F.get(road_codes(c), F.lit(0)), international_parts(c)
     parents = F.create_map(*[F.lit(x) for p in PARENT_STATE.items() for x in p])
+    network = first["prefix"]
     parent = F.coalesce(F.element_at(parents, network), F.when(network == "BR", F.lit("")).otherwise(network))
-    foreign = c.rlike(INTERNATIONAL)
     kind = "struct<country:string,network:string,number:string,federal:boolean,secondary:boolean,parent_state:string,international:boolean>"
-    abroad = F.struct(F.regexp_extract(c, INTERNATIONAL, 1), F.regexp_extract(c, INTERNATIONAL, 2), F.regexp_extract(c, INTERNATIONAL, 3), F.lit(False), F.lit(False), F.lit(""), F.lit(True)).cast(kind)
-    home = F.struct(F.lit("BR"), network, number, network == "BR", network.isin(*PARENT_STATE), parent, F.lit(False)).cast(kind)
-    return F.when(foreign, abroad).when(network != "", home)
+    foreign = F.struct(abroad["country"], abroad["network"], abroad["number"], F.lit(False), F.lit(False), F.lit(""), F.lit(True)).cast(kind)
+    home = F.struct(F.lit("BR"), network, first["number"], network == "BR", network.isin(*PARENT_STATE), parent, F.lit(False)).cast(kind)
+    return F.when(abroad.isNotNull(), foreign).when(first.isNotNull(), home)
 
 
 def clean_road_ref(raw: Column) -> Column:
-    """Single spaces, and every PREFIX number in it as PREFIX-number, prefix in upper case."""
+    """Single spaces, and every road code in it as PREFIX-number, prefix in upper case."""
     c = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\s+", " "))
-    found = F.regexp_extract_all(c, F.lit(ROAD), F.lit(0))
-    return F.aggregate(found, c, lambda s, m: F.replace(s, m, F.concat(F.upper(F.regexp_extract(m, ROAD, 1)), F.lit("-"), F.regexp_extract(m, ROAD, 2))))
+    return F.aggregate(road_codes(c), c, lambda s, x: F.replace(s, x["text"], F.concat(x["prefix"], F.lit("-"), x["number"])))
 
 
 def is_highway_ref(value: Column) -> Column:
     c = clean_road_ref(value)
     p = parse_road_code(c)
     exact = ~p["international"] & (F.upper(c) == F.concat_ws("-", p["network"], p["number"]))
-    return c.rlike("(?i)" + INTERNATIONAL) | F.coalesce(exact, F.lit(False)) | c.rlike(r"(?i)\b(ruta|route|rodovia|estrada)\s*[\w-]*\d+")
+    return international_parts(F.upper(c)).isNotNull() | F.coalesce(exact, F.lit(False)) | c.rlike(r"(?i)\b(ruta|route|rodovia|estrada)\s*[\w-]*\d+")
 
 
 def road_refs(raw: Column) -> Column:
-    """Distinct clean references of a step's reference text, split at ; , and road-like /, in order."""
-    parts = F.split(F.coalesce(raw, F.lit("")), r"(?i)[;,]|\s*/\s*(?=[A-Z]{2,3}\s*-?\s*\d)")
-    return F.array_distinct(F.transform(F.filter(parts, lambda x: F.trim(x) != ""), lambda x: clean_road_ref(F.trim(x))))
+    """Distinct clean references of a step's reference text, in order: cut at ; and , and at a slash if a road code begins after
+    it (other slashes belong to a number)."""
+    starts = lambda x: x.rlike(r"^\s*[A-Za-z]{2,3}\s*-?\s*[0-9]")
+
+    def joined(done: Column, piece: Column) -> Column:
+        whole = F.concat(F.element_at(done, -1), F.lit("/"), piece)
+        return F.when((F.size(done) == 0) | starts(piece), F.concat(done, F.array(piece))).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(whole)))
+
+    lists = F.transform(F.split(F.coalesce(raw, F.lit("")), "[;,]"), lambda part: F.aggregate(F.split(part, "/"), F.array().cast("array<string>"), joined))
+    return F.array_distinct(F.transform(F.filter(F.flatten(lists), lambda x: _stripped(x) != ""), lambda x: clean_road_ref(_stripped(x))))
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def _bare_number(c: Column) -> Column:
+    """c without spaces around it if it is a number, or two with a slash between, of up to four digits; else null."""
+    t = _stripped(c)
+    parts = F.split(t, "/")
+    return F.when((F.size(parts) <= 2) & F.forall(parts, lambda x: x.rlike("^[0-9]{1,4}$")), t)
 
 
 def canonical_keys(refs: list[Column], network: Column) -> Column:
-    """Distinct BR|PREFIX|number keys of reference texts; bare numbers take the network's last state token, else BR."""
-    c = F.array(*[_dashes(r) for r in refs])
-    found = F.flatten(F.transform(c, lambda r: F.transform(F.regexp_extract_all(r, F.lit(ROAD), F.lit(0)), lambda m: F.concat(F.lit("BR|"), F.upper(F.regexp_extract(m, ROAD, 1)), F.lit("|"), F.regexp_extract(m, ROAD, 2)))))
-    tokens = F.filter(F.regexp_extract_all(F.upper(F.coalesce(network, F.lit(""))), F.lit("([A-Z]{2,3})"), F.lit(1)), lambda t: t.isin(*PARENT_STATE, *STANDARD_PREFIXES))
-    states = F.filter(tokens, lambda t: t != "BR")
-    prefix = F.when(F.size(states) > 0, F.element_at(states, -1)).when(F.array_contains(tokens, "BR"), F.lit("BR"))
-    bare = F.filter(F.transform(c, lambda r: F.regexp_extract(r, r"^\s*(\d{1,4}(?:/\d{1,4})?)\s*$", 1)), lambda n: n != "")
-    guessed = F.when(prefix.isNotNull(), F.transform(bare, lambda n: F.concat(F.lit("BR|"), prefix, F.lit("|"), n))).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(F.when(F.size(found) > 0, found).otherwise(guessed)))
+    """Distinct BR|PREFIX|number keys of reference texts; where no text has a road code, bare numbers take the network's prefix:
+    its last state's (runs of two or three letters are looked at), else BR."""
+    texts = F.array(*[_dashes(r) for r in refs])
+    made = lambda prefix, number: F.concat(F.lit("BR|"), prefix, F.lit("|"), number)
+    coded = F.flatten(F.transform(texts, lambda t: F.transform(road_codes(t), lambda x: made(x["prefix"], x["number"]))))
+    runs = F.regexp_extract_all(F.upper(F.coalesce(network, F.lit(""))), F.lit("[A-Z]{2,3}"), F.lit(0))
+    state = F.try_element_at(F.filter(runs, lambda x: x.isin(*PARENT_STATE, *STANDARD_PREFIXES[1:])), F.lit(-1))
+    prefix = F.coalesce(state, F.when(F.array_contains(runs, "BR"), F.lit("BR")))
+    bare = F.array_compact(F.transform(texts, lambda t: made(prefix, _bare_number(t))))
+    return F.array_sort(F.array_distinct(F.when(F.size(coded) > 0, coded).otherwise(bare)))
 
 
 def road_key(label: Column) -> Column:
