@@ -30,16 +30,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b")
 
 
+def _done(edges: DataFrame) -> bool:
+    """Whether all edges go down to the least node of a star: no node has two, or one of its own and another's."""
+    own = edges.select(F.col("a").alias("node"), F.when(F.col("a") > F.col("b"), 1).otherwise(2).alias("out"), F.lit(0).alias("met"))
+    ends = own.union(edges.select("b", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("out").alias("out"), F.max("met").alias("met"))
+    return not ends.agg(F.count_if(F.expr("out > 1 or out + met > 1")).alias("n")).first()["n"]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). Returns a, b: every node but the least of each component, and that least node.
 
-    Loops over rounds, of which there are few even for long chains; each round's edges are written to the shared folder."""
+    Loops over rounds, of which there are few even for long chains; each round's edges are written to the shared folder.
+    Whether a round is the last is asked of its edges, so that none is spent on finding that nothing changes."""
     edges = materialize(edges.filter("a <> b").select("a", "b").distinct(), "edges")
-    mark = F.struct(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
-    before = None
-    while True:
-        now = edges.agg(mark.alias("m")).first()["m"]
-        if now == before or now[0] == 0:
-            return edges
-        before = now
+    while not _done(edges):
         edges = materialize(_small_star(_large_star(edges)).distinct(), "edges")
+    return edges
