@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripspark.functions.geo import haversine
 from tripspark.operators.coverage import edges
-from tripspark.sources.shared import Files, new_path
+from tripspark.operators.rounds import Rounds
 
 #: Ways that no trip is routed on, and how much a track counts over its length.
 BLOCKED = ("footway", "path", "steps", "pedestrian", "cycleway", "construction", "proposed")
@@ -27,26 +27,6 @@ def edge_cost(km: Column, highway: Column) -> Column:
     return F.when(F.coalesce(highway, F.lit("")) == "", None).when(highway.isin(*BLOCKED), None).when(highway == "track", km * TRACK_FACTOR).otherwise(km)
 
 
-class Rounds:
-    """Tables that rounds of joins write to the shared folder to cut lineage. A table replaces the one of its name."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.latest, self.n = spark, new_path(spark, name), {}, 0
-
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        old, schema, self.n = self.latest.get(name), df.schema, self.n + 1
-        self.latest[name] = f"{name}-{self.n}"
-        path = f"{self.root}/{self.latest[name]}"
-        df.write.parquet(path)
-        if old:
-            Files(self.spark, self.root).remove(old)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            Files(self.spark, self.root).remove(self.latest.pop(name))
-
-
 def contract(graph: DataFrame, terminals: DataFrame, rounds: Rounds | None = None) -> DataFrame:
     """src, dst, km, last_src, last_dst, chain_km, n_left: each edge of graph (src, dst, km) and the chain that it is in.
 

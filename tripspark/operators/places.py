@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripspark.functions.geo import edges_meet, haversine, point_edge_km
 from tripspark.functions.text import city_identity, plain
 from tripspark.operators.coverage import ENDS, grid_candidates
+from tripspark.operators.rounds import Rounds
 from tripspark.operators.sizes import is_small
 
 PLACE_CELL_DEG = 0.04
@@ -113,37 +113,60 @@ def linear_reference(points: DataFrame, trips: DataFrame) -> DataFrame:
     return best.select("point_id", "trip_id", F.col("b.seq").alias("edge_seq"), F.col("b.p").alias("progress"))
 
 
-def unique_cities(cities: DataFrame) -> DataFrame:
+def _near_in_turn(rows: DataFrame, most_km: float, cell: float = 0.25) -> DataFrame:
+    """early, late: rows of a group of which one at least has no region, within most_km, that neither ids nor countries tell apart."""
+    cells = ["cx", "cy"]
+    r = rows.filter("lat is not null and lng is not null").select("g_", "row_", "pos_", "lat", "lng", "o_", "r_", "c_")
+    all_, bare = r.withColumn("cx", F.floor(F.col("lng") / cell)).withColumn("cy", F.floor(F.col("lat") / cell)), _around(r.filter("r_ = ''"), F.lit(most_km), cell)
+    b = bare.select("g_", *cells, *[F.col(c).alias(f"b_{c}") for c in ("row_", "pos_", "lat", "lng", "o_", "r_", "c_")])
+    j = all_.join(b, ["g_", *cells]).filter("(o_ is null or b_o_ is null) and (c_ = '' or b_c_ = '' or c_ = b_c_)")
+    j = j.filter((F.col("r_") != "") & (F.col("row_") != F.col("b_row_")) | (F.col("pos_") < F.col("b_pos_"))).filter(haversine(F.col("lat"), F.col("lng"), F.col("b_lat"), F.col("b_lng")) <= most_km)
+    first = F.col("pos_") < F.col("b_pos_")
+    return j.select(F.when(first, F.col("row_")).otherwise(F.col("b_row_")).alias("early"), F.when(first, F.col("b_row_")).otherwise(F.col("row_")).alias("late"))
+
+
+def unique_cities(cities: DataFrame, most_km: float = 25.0) -> DataFrame:
     """cities (trip_id, ord, city, region, country_code, osm_type, osm_id, lat, lng) without those that are the same as one kept
-    before them, in order. Sameness is not transitive, so each trip's equal names are gone through in turn."""
-    import math
-
-    names = cities.columns
-
-    def same(a: dict, b: dict) -> bool:
-        if a["osm_id"] is not None and b["osm_id"] is not None:
-            return (a["osm_type"] or "", a["osm_id"]) == (b["osm_type"] or "", b["osm_id"])
-        if a["r_"] and b["r_"] and a["r_"] != b["r_"]:
-            return False
-        if a["country_code"] and b["country_code"] and a["country_code"].upper() != b["country_code"].upper():
-            return False
-        if a["r_"] and b["r_"]:
-            return True
-        if None in (a["lat"], a["lng"], b["lat"], b["lng"]):
-            return False
-        p, q = math.radians(a["lat"]), math.radians(b["lat"])
-        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b["lng"] - a["lng"]) / 2) ** 2
-        return 2 * 6371.0088 * math.asin(math.sqrt(h)) <= 25
-
-    def run(key, table):
-        kept: list[dict] = []
-        for row in sorted(table.to_pylist(), key=lambda r: r["ord"]):
-            if not row["n_"] or not any(same(k, row) for k in kept):
-                kept.append(row)
-        return pa.Table.from_pylist(kept, table.schema).select(names)
-
-    keyed = cities.withColumn("n_", plain(F.col("city"))).withColumn("r_", plain(F.col("region")))
-    return keyed.groupBy("trip_id", "n_").applyInArrow(run, cities.schema)
+    before them in their trip, by ord. Same are equal names whose ids are equal, or, where one has no id, whose regions are equal and
+    countries do not differ, or, where one has no region either, that lie within most_km. Empty names are all kept.
+
+    Sameness is not transitive, so what is kept is found in rounds: a city stays once no city before it that is the same is undecided or
+    kept, and goes once one is kept. Equal ids and equal regions are heard of by the least member of each, not pair by pair; pairs are made only
+    of cities at different places of which one has no region. Of rows alike in all of this only the first is looked at."""
+    rounds, names = Rounds(cities.sparkSession, "cities"), cities.columns
+    group = F.struct("trip_id", plain(F.col("city")).alias("name"))
+    osm = F.when(F.col("osm_id").isNotNull(), F.struct(F.coalesce("osm_type", F.lit("")).alias("kind"), F.col("osm_id").alias("id")))
+    # written at once, as row_ need not come out the same twice
+    source = rounds.write("source", cities.withColumns({"row_": F.monotonically_increasing_id()}))
+    keyed = source.select(*names, "row_", group.alias("g_"), osm.alias("o_"), plain(F.col("region")).alias("r_"), F.upper(F.coalesce("country_code", F.lit(""))).alias("c_"), F.struct("ord", "row_").alias("pos_"))
+    alone = F.expr("g_.name = '' or (o_ is null and r_ = '' and (lat is null or lng is null))")
+    sign = ["g_", "o_", "r_", "c_", "lat", "lng"]
+    first = keyed.filter(~alone).groupBy(*sign).agg(F.min("pos_").alias("pos_")).select(*sign, "pos_", F.col("pos_.row_").alias("row_"))
+    first = rounds.write("first", first)
+    pairs = rounds.write("pairs", _near_in_turn(first, most_km).distinct())
+    # a hub is an id, or a region with a country (or any: *) of cities with an id or without
+    hub = lambda country, has_id: F.struct("g_", F.lit(None).cast(first.schema["o_"].dataType).alias("o_"), F.col("r_").alias("r_"), country.alias("c_"), F.lit(has_id).alias("i_"))
+    own = F.struct("g_", "o_", F.lit("").alias("r_"), F.lit("").alias("c_"), F.lit(True).alias("i_"))
+    some, no_id, blank = F.col("r_") != "", F.col("o_").isNull(), F.col("c_") == ""
+    told = lambda has_id: F.array(hub(F.col("c_"), has_id), hub(F.lit("*"), has_id))
+    asked = lambda has_id: F.when(blank, F.array(hub(F.lit("*"), has_id))).otherwise(F.array(hub(F.col("c_"), has_id), hub(F.lit(""), has_id)))
+    none = F.array().cast(first.select(F.array(own).alias("hubs")).schema["hubs"].dataType)
+    with_id = F.when(no_id, none).otherwise(F.array(own))
+    tells = F.concat(with_id, F.when(some, F.when(no_id, told(False)).otherwise(told(True))).otherwise(none))
+    hears = F.concat(with_id, F.when(some, F.when(no_id, F.concat(asked(False), asked(True))).otherwise(asked(False))).otherwise(none))
+    live = rounds.write("live", first.select("row_", "pos_", tells.alias("tells"), hears.alias("hears"), F.lit(False).alias("kept")))
+    while live.filter("not kept").take(1):
+        hubs = live.select(F.explode("tells").alias("hub"), "pos_", "kept").groupBy("hub").agg(F.min("pos_").alias("least"), F.min(F.when(F.col("kept"), F.col("pos_"))).alias("least_kept"))
+        open_ = live.filter("not kept")
+        heard = open_.select("row_", "pos_", F.explode("hears").alias("hub")).join(hubs, "hub").select("row_", (F.col("least") < F.col("pos_")).alias("wait"), F.coalesce(F.col("least_kept") < F.col("pos_"), F.lit(False)).alias("go"))
+        near = pairs.join(live.select(F.col("row_").alias("early"), F.col("kept").alias("go")), "early").select(F.col("late").alias("row_"), F.lit(True).alias("wait"), "go")
+        said = heard.union(near).groupBy("row_").agg(F.max("wait").alias("wait"), F.max("go").alias("go"))
+        then = open_.join(said, "row_", "left").filter("go is null or not go").withColumn("kept", ~F.coalesce("wait", F.lit(False))).select(*live.columns)
+        live = rounds.write("live", live.filter("kept").union(then))
+    kept = keyed.filter(alone).select("row_").union(live.select("row_"))
+    out = rounds.write("out", source.join(kept, "row_", "left_semi").select(*names))
+    rounds.drop("source", "first", "pairs", "live")
+    return out
 
 
 def destinations(visits: DataFrame) -> DataFrame:

@@ -158,13 +158,6 @@ def q_simplify_lines(t):
     return lines.simplify_lines(ordered, 1000.0).select("line_id", F.size("coords").alias("n_points"))
 
 
-@query()
-def q_unique_cities(t):
-    """Greedy, order-dependent dedupe of places by trip; tests hold it."""
-    p = fx.places(t).select((F.col("place_id") % 300).alias("trip_id"), F.col("place_id").cast("int").alias("ord"), F.concat(F.lit("c"), (F.col("place_id") % 3).cast("string")).alias("city"), F.lit(None).cast("string").alias("region"), F.lit("BR").alias("country_code"), F.lit(None).cast("string").alias("osm_type"), F.lit(None).cast("long").alias("osm_id"), "lat", "lng")
-    return places.unique_cities(p).select("trip_id", "ord", "city")
-
-
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, '{"price":' || o_custkey || CASE WHEN o_custkey % 2 = 0 THEN ',"note":"' || o_orderstatus || '"' ELSE '' END || '}' AS start, '[{"stop":' || o_custkey || '}]' AS legs FROM orders""")
 def q_strip_for_cloud(t):
     nested = t.orders.select(

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripspark.operators import graph
-from tripspark.plans.fixtures import Tables
+from tripspark.operators import graph, places
+from tripspark.plans import fixtures as fx
+from tripspark.plans.fixtures import Tables, using
 from tripspark.plans.queries import big, query
 
 NETWORK = """road AS (SELECT CAST(s_suppkey AS BIGINT) AS r FROM supplier),
@@ -46,3 +47,25 @@ def q_path_edges(t: Tables) -> DataFrame:
     e = graph.shortest_path_edges(network(t), asked(t))
     ends = [F.min_by("src", "seq").alias("first_node"), F.max_by("dst", "seq").alias("last_node")]
     return e.groupBy("pair_id").agg(F.sum("km").alias("km"), F.max("seq").alias("n_edges"), *ends).select("pair_id", "km", *big("n_edges"), "first_node", "last_node")
+
+
+CITIES = """city AS (SELECT place_id // 40 AS trip_id, CAST(place_id AS INTEGER) AS ord, 'c' || (place_id % 3) AS city, CASE place_id % 4 WHEN 0 THEN 'SP' WHEN 1 THEN 'MG' ELSE '' END AS region,
+  CASE WHEN place_id % 5 = 0 THEN '' ELSE 'BR' END AS country, CASE WHEN place_id % 7 = 0 THEN place_id % 6 END AS osm_id, lat, lng FROM places),
+turn AS (SELECT *, row_number() OVER (PARTITION BY trip_id, city ORDER BY ord) AS n FROM city),
+fold AS (SELECT trip_id, city, 1 AS n, [struct_pack(ord := ord, region := region, country := country, osm_id := osm_id, lat := lat, lng := lng)] AS kept FROM turn WHERE n = 1
+  UNION ALL SELECT f.trip_id, f.city, f.n + 1, CASE WHEN len(list_filter(f.kept, lambda k: CASE WHEN k.osm_id IS NOT NULL AND t.osm_id IS NOT NULL THEN k.osm_id = t.osm_id
+      WHEN k.region <> '' AND t.region <> '' AND k.region <> t.region THEN false WHEN k.country <> '' AND t.country <> '' AND k.country <> t.country THEN false WHEN k.region <> '' AND t.region <> '' THEN true
+      ELSE 2 * 6371.0088 * asin(sqrt(power(sin(radians(t.lat - k.lat) / 2), 2) + cos(radians(k.lat)) * cos(radians(t.lat)) * power(sin(radians(t.lng - k.lng) / 2), 2))) <= 25 END)) = 0
+    THEN list_append(f.kept, struct_pack(ord := t.ord, region := t.region, country := t.country, osm_id := t.osm_id, lat := t.lat, lng := t.lng)) ELSE f.kept END
+  FROM fold f JOIN turn t ON t.trip_id = f.trip_id AND t.city = f.city AND t.n = f.n + 1),
+whole AS (SELECT trip_id, city, arg_max(kept, n) AS kept FROM fold GROUP BY ALL)"""
+
+
+@query("WITH RECURSIVE " + using("places", more=CITIES).removeprefix("WITH ") + "SELECT trip_id, city, unnest(kept).ord AS ord FROM whole")
+def q_unique_cities(t: Tables) -> DataFrame:
+    """Places by trip, some with regions or ids, without those that are the same as one kept before."""
+    k = F.col("place_id")
+    p = fx.places(t).select(
+        F.floor(k / 40).alias("trip_id"), k.cast("int").alias("ord"), F.concat(F.lit("c"), (k % 3).cast("string")).alias("city"), F.when(k % 4 == 0, "SP").when(k % 4 == 1, "MG").alias("region"),
+        F.when(k % 5 > 0, "BR").alias("country_code"), F.lit("node").alias("osm_type"), F.when(k % 7 == 0, k % 6).alias("osm_id"), "lat", "lng")
+    return places.unique_cities(p).select("trip_id", "ord", "city")
