@@ -182,10 +182,10 @@ def test_shortest_paths(spark):
 
 
 def test_nearest_airport_prefers_the_own_town(spark):
-    p = spark.createDataFrame([(1, "Campinas", "BR", -22.9, -47.06), (2, "Nowhere", "BR", -10.0, -40.0), (3, "Near", "BR", -22.95, -47.0)], "place_id long, city string, country string, lat double, lng double")
+    p = spark.createDataFrame([(1, "Campinas", "BR", -22.9, -47.06), (2, "Nowhere", "BR", -10.0, -40.0), (3, "Near", "BR", -22.95, -47.0), (4, "Near", " ", -22.95, -47.0), (5, "Near", "AR", -22.95, -47.0), (6, "Sao Paulo", None, 10.0, 10.0), (7, None, "br", -22.95, -47.0)], "place_id long, city string, country string, lat double, lng double")
     a = spark.createDataFrame([("VCP", 1, "Campinas", "BR", -23.0, -47.13), ("CPQ", 3, "Campinas", "BR", -22.86, -47.1), ("GRU", 1, "São Paulo", "BR", -23.43, -46.47)], "iata string, kind_rank int, town string, country string, alat double, alng double")
     got = {r["place_id"]: r["iata"] for r in places.nearest_airport(p, a).collect()}
-    assert got == {1: "VCP", 3: "CPQ"}
+    assert got == {1: "VCP", 3: "CPQ", 4: "CPQ", 6: "GRU", 7: "CPQ"}
 
 
 def test_long_lists_of_boxes_give_what_short_ones_give(spark, monkeypatch):
@@ -198,3 +198,36 @@ def test_long_lists_of_boxes_give_what_short_ones_give(spark, monkeypatch):
     monkeypatch.setattr(cov, "is_small", lambda df: False)
     monkeypatch.setattr(places, "is_small", lambda df: False)
     assert short == [sorted(map(tuple, cov.bbox_prefilter(t, r).collect())), sorted(map(tuple, places.point_country(p, boxes).collect()))]
+
+
+def test_numbers_in_names_sort_by_value(spark):
+    names = ["Rota 10", "Rota 2", "Rota", "Rota b", "Rota 002 a", "Rota 123456789012345678901234567890"]
+    got = marts.family_priority_sort(spark.createDataFrame([(n, None, None) for n in names], "name string, family string, category string")).orderBy("pos")
+    assert [r["name"] for r in got.collect()] == ["Rota", "Rota 2", "Rota 002 a", "Rota 10", "Rota 123456789012345678901234567890", "Rota b"]
+
+
+def test_route_medals(spark):
+    specs = [(1, False, None, None, 10.0, 8.0, True), (2, True, None, None, 10.0, 10.0, True), (3, False, None, 3.0, 10.0, None, True), (4, True, 50.0, 1.0, 10.0, 10.0, False), (5, False, None, None, 10.0, 9.0, True)]
+    s = spark.createDataFrame(specs, "route_id long, is_long boolean, complete_percent double, min_km double, total_km double, alternative_km double, both boolean")
+    runs = [(1, "official", 1.0), (1, "alternative", 2.0), (2, "official", 8.0), (2, "official", 5.0), (2, "alternative", 9.0), (3, "alternative", 9.0), (3, "official", 2.0), (4, "official", 4.0), (4, "alternative", 9.0)]
+    r = spark.createDataFrame([(7, *x) for x in runs], "user_id long, route_id long, variant string, km double")
+    got = {x["route_id"]: x for x in cov.route_medals(r, s).collect()}
+    assert {k: (v["medal"], v["discovered"], v["complete"]) for k, v in got.items()} == {1: ("silver", True, True), 2: ("gold", True, True), 3: (None, False, False), 4: (None, True, False)}
+    assert got[2]["traveled_km"] == 10.0 and got[2]["percent"] == 100.0 and got[2]["longest_km"] == 8.0 and got[2]["alternative_percent"] == 90.0
+    whole = {x["route_id"]: x for x in cov.route_medals(r, s, untouched=True).collect()}
+    assert {k: v for k, v in whole.items() if k != 5} == got and (whole[5]["percent"], whole[5]["medal"], whole[5]["discovered"]) == (0.0, None, False)
+
+
+def test_sources_of_a_road_in_any_order(spark):
+    from tripspark.sources.roads import union_road_sources
+
+    line = lambda road, source, n, points: [(road, source, n, i, *p) for i, p in enumerate(points)]
+    a, b = [(0.0, 0.0), (0.0, 1.0)], [(2.0, 2.0), (2.0, 3.0)]
+    v = spark.createDataFrame(line(1, "ways", 1, a[::-1]) + line(1, "relations", 9, a) + line(1, "ways", 2, b) + line(1, "ways", 3, b) + line(1, "ways", 4, a[:1]) + line(2, "ways", 1, a) + line(3, "ways", 1, a) + line(3, "relations", 1, b), "road_id long, source string, line_id long, seq int, lat double, lng double")
+    answers = [(1, "relations", True), (1, "ways", False), (1, "ways", True), (2, "ways", True), (2, "relations", None), (3, "relations", True), (4, "ways", False)]
+    told = spark.createDataFrame(answers, "road_id long, source string, ok boolean")
+    lines, state = union_road_sources(v, told)
+    assert sorted(map(tuple, lines.collect())) == [(1, "relations", 9), (1, "ways", 2), (2, "ways", 1), (3, "relations", 1)]
+    assert sorted(map(tuple, state.collect())) == [(1, ["relations", "ways"], 2, False), (2, ["ways"], 1, True), (3, ["relations"], 1, True), (4, [], 0, True)]
+    again, later = union_road_sources(v, told.union(told).union(spark.createDataFrame([(3, "ways", True)], told.schema)))
+    assert sorted(map(tuple, later.filter("road_id = 3").collect())) == [(3, ["relations", "ways"], 2, False)] and again.filter("road_id = 1").count() == 2

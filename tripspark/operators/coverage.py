@@ -142,6 +142,34 @@ def route_achievement(runs: DataFrame, specs: DataFrame) -> DataFrame:
     return out.select("user_id", "route_id", "longest_km", "traveled_km", percent.alias("percent"), found.alias("discovered"), F.when(F.col("is_long"), percent >= 85).otherwise(found).alias("complete"))
 
 
+def route_medals(runs: DataFrame, specs: DataFrame, untouched: bool = False) -> DataFrame:
+    """user_id, route_id, and for the official and the alternative lines of a route (prefix alternative_) traveled_km, percent and
+    longest_km; discovered, complete, medal: gold for the official lines, silver if only the alternative ones are complete and the
+    route gives medals for both, else null.
+
+    runs: user_id, route_id, variant (official, alternative), km of continuous runs; specs: route_id, is_long, complete_percent (null: 85),
+    min_km (null: 2), total_km, alternative_km (null or 0: no alternative lines), both. Long routes are complete by percent, others once
+    discovered. Routes without a run are left out; with `untouched` every user gets every route, which makes users x routes rows."""
+    official = F.col("variant") == "official"
+    sums = [f(F.when(v, F.col("km"))).alias(n) for v, s in ((official, ""), (F.col("variant") == "alternative", "alternative_")) for f, n in ((F.sum, s + "traveled_km"), (F.max, s + "longest_km"))]
+    done = runs.groupBy("user_id", "route_id").agg(*sums)
+    if untouched:
+        every = runs.select("user_id").distinct().crossJoin(small(specs.select("route_id")))  # each of these pairs is a result
+        done = every.join(done, ["user_id", "route_id"], "left")
+    j = done.join(specs.select("route_id", "is_long", "complete_percent", "min_km", "total_km", "alternative_km", "both"), "route_id")
+    names = ["traveled_km", "longest_km", "alternative_traveled_km", "alternative_longest_km"]
+    j = j.fillna(0.0, names).withColumn("there_", F.coalesce(F.col("alternative_km") > 0, F.lit(False)))
+    for s, total in (("", F.coalesce("total_km", F.lit(0.0))), ("alternative_", F.coalesce("alternative_km", F.lit(0.0)))):
+        j = j.withColumn(s + "traveled_km", F.least(F.col(s + "traveled_km"), total)).withColumn(s + "percent", F.when(total > 0, F.col(s + "traveled_km") / total * 100).otherwise(F.lit(0.0)))
+        found = F.col(s + "longest_km") >= F.when(F.col("min_km") > 0, F.col("min_km")).otherwise(2.0)
+        won = F.when(F.col("is_long"), F.col(s + "percent") >= F.when(F.col("complete_percent") > 0, F.col("complete_percent")).otherwise(85.0)).otherwise(found)
+        there = F.col("there_") if s else F.lit(True)
+        j = j.withColumn(s + "found_", there & found).withColumn(s + "won_", there & won)
+    silver = F.coalesce("both", F.lit(False)) & F.col("alternative_won_")
+    medal = F.when(F.col("won_"), "gold").when(silver, "silver")
+    return j.select("user_id", "route_id", "traveled_km", "percent", "longest_km", *[f"alternative_{c}" for c in ("traveled_km", "percent", "longest_km")], (F.col("found_") | F.col("alternative_found_")).alias("discovered"), medal.isNotNull().alias("complete"), medal.alias("medal"))
+
+
 def line_crossing(routes: DataFrame, trips: DataFrame, tolerance_km: float = 0.04, min_angle: float = 25.0) -> DataFrame:
     """trip_id, route_id: a trip's edge meets a route's, or comes within tolerance at an angle of min_angle or more."""
     angle = bearing_difference(F.col("l_dir"), F.col("r_dir"))

@@ -129,8 +129,16 @@ def family_priority(name: Column, family: Column, category: Column) -> Column:
     )
 
 
+def numbers_in_order(name: Column) -> Column:
+    """plain(name) as a text that sorts with the numbers in it by their value, and before letters."""
+    cut = F.regexp_extract_all(plain(name), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    bare = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    return F.array_join(F.transform(cut, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare(x)).cast("string"), 6, "0"), bare(x))).otherwise(x)), "")
+
+
 def family_priority_sort(routes: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """routes (name, family, category) with priority and pos (1, 2, ...): by priority, then name without accents, then name, in each group."""
+    """routes (name, family, category) with priority and pos (1, 2, ...): by priority, then name without accents
+    and with its numbers by value, then name, in each group."""
     ranked = routes.withColumn("priority", family_priority(F.col("name"), F.col("family"), F.col("category")))
-    order = Window.partitionBy(*(group or ["priority"])).orderBy("priority", plain(F.col("name")), "name")
+    order = Window.partitionBy(*(group or ["priority"])).orderBy("priority", numbers_in_order(F.col("name")), "name")
     return ranked.withColumn("pos", F.row_number().over(order))

@@ -60,15 +60,20 @@ def nearest(points: DataFrame, places: DataFrame, most_km: float, cell: float =
     return points.select("point_id").join(best, "point_id", "left")
 
 
-def nearest_airport(places: DataFrame, airports: DataFrame, most_km: float = 55.0) -> DataFrame:
-    """place_id, iata, km: of the country's airports those of the place's own town (by kind, then distance), else the nearest
-    within most_km. places: place_id, city, country, lat, lng; airports: iata, kind_rank, town, country, alat, alng."""
-    a = airports.withColumn("town_", plain(F.col("town")))
-    j = places.withColumn("city_", plain(F.col("city"))).join(a, "country").withColumn("km", haversine(F.col("lat"), F.col("lng"), F.col("alat"), F.col("alng")))
-    own = (F.col("city_") == F.col("town_")) & (F.col("city_") != "")
-    j = j.withColumn("own_", own).filter("own_ or km <= {}".format(most_km))
-    best = F.min(F.struct((~F.col("own_")).alias("a"), F.when(F.col("own_"), F.col("kind_rank")).otherwise(0).alias("b"), "km", "iata")).alias("x")
-    return j.groupBy("place_id").agg(best).select("place_id", F.col("x.iata").alias("iata"), F.col("x.km").alias("km"))
+def nearest_airport(places: DataFrame, airports: DataFrame, most_km: float = 55.0, cell: float = 0.5) -> DataFrame:
+    """place_id, iata, km: of the country's airports (of all, where a place's country is blank) those of the place's own town (by
+    kind, then distance), else the nearest within most_km. places: place_id, city, country, lat, lng; airports: iata, kind_rank, town,
+    country, alat, alng. Towns meet by name, others by cells, so no country is a key."""
+    upper = lambda c: F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    a = airports.select("iata", "kind_rank", plain(F.col("town")).alias("town_"), upper("country").alias("has_"), "alat", "alng")
+    p = places.select("place_id", plain(F.col("city")).alias("town_"), upper("country").alias("in_"), "lat", "lng")
+    km, home = haversine(F.col("lat"), F.col("lng"), F.col("alat"), F.col("alng")).alias("km"), "in_ = '' or in_ = has_"
+    own = p.filter("town_ <> ''").join(a, "town_").filter(home).select("place_id", F.lit(False).alias("far"), F.col("kind_rank").cast("int").alias("kind"), km, "iata")
+    cells = _around(p.drop("town_"), F.lit(most_km), cell)
+    near = cells.join(a.withColumns({"cx": F.floor(F.col("alng") / cell), "cy": F.floor(F.col("alat") / cell)}), ["cx", "cy"]).filter(home)
+    near = near.select("place_id", F.lit(True).alias("far"), F.lit(0).alias("kind"), km, "iata").filter(F.col("km") <= most_km)
+    best = own.union(near).groupBy("place_id").agg(F.min(F.struct("far", "kind", "km", "iata")).alias("x"))
+    return best.select("place_id", F.col("x.iata").alias("iata"), F.col("x.km").alias("km"))
 
 
 def point_country(points: DataFrame, regions: DataFrame) -> DataFrame:

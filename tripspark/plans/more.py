@@ -188,7 +188,7 @@ def q_reclassify_label(t):
 ROUTES = "CASE p_partkey % 5 WHEN 0 THEN 'Estrada Real ' WHEN 1 THEN 'Caminho ' WHEN 2 THEN 'Estrada-Parque ' ELSE '' END || p_name"
 
 
-@query(f"""SELECT route_id, priority, row_number() OVER (PARTITION BY brand, priority ORDER BY lower(name)) AS pos FROM (SELECT CAST(p_partkey AS BIGINT) AS route_id, p_brand AS brand, {ROUTES} || ' ' || p_partkey AS name,
+@query(f"""SELECT route_id, priority, row_number() OVER (PARTITION BY brand, priority ORDER BY lower(replace(name, '-', ' ')), route_id) AS pos FROM (SELECT CAST(p_partkey AS BIGINT) AS route_id, p_brand AS brand, {ROUTES} || ' ' AS name,
 CASE p_partkey % 5 WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 2 ELSE 3 END AS priority FROM part)""")
 def q_family_priority(t):
     k = F.col("p_partkey") % 5

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripspark.operators import graph, places
+from tripspark.functions.geo import haversine
+from tripspark.operators import coverage, graph, places
 from tripspark.plans import fixtures as fx
 from tripspark.plans.fixtures import Tables, using
-from tripspark.plans.queries import big, query
+from tripspark.plans.queries import MERIDIAN, big, km6, query
+from tripspark.sources.roads import union_road_sources
 
 NETWORK = """road AS (SELECT CAST(s_suppkey AS BIGINT) AS r FROM supplier),
 way AS (SELECT r * 100 + i AS a, r * 100 + i + 1 AS b, CAST(1 + (r * 31 + i * 17) % 9 AS DOUBLE) AS km FROM road, unnest(range(0, 20)) AS t(i)
@@ -69,3 +71,49 @@ def q_unique_cities(t: Tables) -> DataFrame:
         F.floor(k / 40).alias("trip_id"), k.cast("int").alias("ord"), F.concat(F.lit("c"), (k % 3).cast("string")).alias("city"), F.when(k % 4 == 0, "SP").when(k % 4 == 1, "MG").alias("region"),
         F.when(k % 5 > 0, "BR").alias("country_code"), F.lit("node").alias("osm_type"), F.when(k % 7 == 0, k % 6).alias("osm_id"), "lat", "lng")
     return places.unique_cities(p).select("trip_id", "ord", "city")
+
+
+def road_answers(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Lines of roads from relations, and from ways, which have most of them the other way round and some a little beside; and what arrived."""
+    v, r = fx.road_vertices(t), F.col("road_id")
+    relations = v.filter("road_id % 5 <> 0").select("road_id", F.lit("relations").alias("source"), F.lit(1).alias("line_id"), "seq", "lat", "lng")
+    way = v.filter("road_id % 3 <> 0").select("road_id", F.lit("ways").alias("source"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("line_id"), "seq", "lat", "lng")
+    way = way.filter("line_id < 3 or seq = 0").withColumn("seq", -F.col("seq")).withColumn("lng", F.when((F.col("line_id") == 2) & (r % 7 == 0), F.col("lng") + 0.001).otherwise(F.col("lng")))
+    road = t.supplier.select(F.col("s_suppkey").cast("long").alias("road_id"))
+    answers = [road.select("road_id", F.lit("relations").alias("source"), (r % 11 != 0).alias("ok")), road.select("road_id", F.lit("ways").alias("source"), F.lit(False).alias("ok")), road.select("road_id", F.lit("ways").alias("source"), (r % 13 != 0).alias("ok"))]
+    return relations.unionByName(way), answers[0].union(answers[1]).union(answers[2])
+
+
+SOURCES = """r AS (SELECT CAST(s_suppkey AS BIGINT) AS road_id FROM supplier), s AS (SELECT *, road_id % 11 <> 0 AS rel, road_id % 13 <> 0 AS way FROM r),
+line AS (SELECT *, rel AND road_id % 5 <> 0 AS whole, way AND road_id % 3 <> 0 AS ways FROM s)"""
+
+
+@query(f"""WITH {SOURCES} SELECT road_id, CASE WHEN rel AND way THEN 'relations,ways' WHEN rel THEN 'relations' WHEN way THEN 'ways' ELSE '' END AS arrived,
+CAST(CASE WHEN whole OR ways THEN 1 ELSE 0 END + CASE WHEN ways AND road_id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_lines, NOT (rel AND way) AS partial FROM line""")
+def q_road_source_state(t: Tables) -> DataFrame:
+    _, state = union_road_sources(*road_answers(t))
+    return state.withColumn("arrived", F.array_join("arrived", ",")).select("road_id", "arrived", *big("n_lines"), "partial")
+
+
+@query(f"""WITH {SOURCES} SELECT road_id, 'relations' AS source, CAST(1 AS BIGINT) AS line_id FROM line WHERE whole UNION ALL SELECT road_id, 'ways', 1 FROM line WHERE ways AND NOT whole
+UNION ALL SELECT road_id, 'ways', 2 FROM line WHERE ways AND road_id % 7 = 0""")
+def q_union_road_sources(t: Tables) -> DataFrame:
+    lines, _ = union_road_sources(*road_answers(t))
+    return lines.select("road_id", "source", *big("line_id"))
+
+
+@query(using("trip_edges") + f""", run AS (SELECT user_id, road_id, trip_id, {MERIDIAN.format('max(blat) - min(alat)')} AS km FROM trip_edges GROUP BY ALL),
+d AS (SELECT user_id, road_id AS route_id, coalesce(sum(CASE WHEN trip_id % 3 < 2 THEN km END), 0) AS t, coalesce(max(CASE WHEN trip_id % 3 < 2 THEN km END), 0) AS l, coalesce(sum(CASE WHEN trip_id % 3 = 2 THEN km END), 0) AS bt, coalesce(max(CASE WHEN trip_id % 3 = 2 THEN km END), 0) AS al FROM run GROUP BY ALL),
+p AS (SELECT *, least(t, 8) / 8 * 100 AS percent, CASE WHEN route_id % 4 = 0 THEN 0 ELSE least(bt, 9) / 9 * 100 END AS apercent FROM d),
+w AS (SELECT *, CASE WHEN route_id % 3 = 0 THEN percent >= 85 ELSE l >= 4 END AS won, route_id % 4 > 0 AND CASE WHEN route_id % 3 = 0 THEN apercent >= 85 ELSE al >= 4 END AS awon FROM p)
+SELECT user_id, route_id, round(percent, 4) AS percent, round(apercent, 4) AS alternative_percent, round(l, 6) AS longest_km, l >= 4 OR route_id % 4 > 0 AND al >= 4 AS discovered,
+CASE WHEN won THEN 'gold' WHEN awon AND route_id % 5 > 0 THEN 'silver' END AS medal FROM w""")
+def q_route_medals(t: Tables) -> DataFrame:
+    """Medals for routes with official and alternative lines, for all users and routes that a trip has touched."""
+    e = fx.trip_edges(t)
+    runs = e.groupBy("user_id", "trip_id", F.col("road_id").alias("route_id")).agg(F.sum(haversine(*[F.col(c) for c in coverage.ENDS])).alias("km")).withColumn("variant", F.when(F.col("trip_id") % 3 < 2, "official").otherwise("alternative"))
+    k = F.col("road_id")
+    routes = fx.road_edges(t).select("road_id").distinct().unionByName(e.select("road_id").distinct()).distinct()
+    specs = routes.select(k.alias("route_id"), (k % 3 == 0).alias("is_long"), F.lit(None).cast("double").alias("complete_percent"), F.lit(4.0).alias("min_km"), F.lit(8.0).alias("total_km"), F.when(k % 4 > 0, 9.0).alias("alternative_km"), (k % 5 > 0).alias("both"))
+    m = coverage.route_medals(runs, specs)
+    return m.select("user_id", "route_id", F.round("percent", 4).alias("percent"), F.round("alternative_percent", 4).alias("alternative_percent"), km6("longest_km"), "discovered", "medal")

@@ -42,3 +42,23 @@ def build_road_catalog(way_keys: DataFrame, lines: DataFrame) -> DataFrame:
         F.count("*").alias("n_lines"), F.sum("n_points").alias("n_points"), F.sum("km").alias("km"), F.min("s").alias("s"), F.min("w").alias("w"), F.max("n").alias("n"), F.max("e").alias("e"),
         F.array_sort(F.collect_list("encoded")).alias("encoded_lines"),
     ).withColumns({"country": parts[0], "network": parts[1], "number": parts[2]})
+
+
+def union_road_sources(vertices: DataFrame, arrivals: DataFrame, expected: tuple[str, ...] = ("relations", "ways")) -> tuple[DataFrame, DataFrame]:
+    """The lines of each road (road_id, source, line_id) from all sources that arrived, equal ones once, and each road's state:
+    road_id, arrived (names in the order of `expected`), n_lines, partial.
+
+    vertices: road_id, source, line_id, seq, lat, lng; arrivals: road_id, source, ok. A source has arrived for a road once any of its
+    answers was ok; lines of others are left out. Of lines that are equal at 5 decimals, either way round, the one of the first
+    source stays, of that the least line_id; lines of one vertex go. A road is partial until all expected sources have arrived, so
+    answers can come in any order and again: the state of a union of answers is that of all of them together."""
+    flags = arrivals.groupBy("road_id", "source").agg(F.coalesce(F.bool_or("ok"), F.lit(False)).alias("ok")).filter("ok")
+    names = F.array(*[F.lit(x) for x in expected])
+    here = flags.groupBy("road_id").agg(F.array_intersect(names, F.collect_set("source")).alias("arrived"))
+    here = arrivals.select("road_id").distinct().join(here, "road_id", "left").withColumn("arrived", F.coalesce("arrived", F.array().cast("array<string>")))
+    rank = F.array_position(names, F.col("source"))
+    v = vertices.join(flags.select("road_id", "source"), ["road_id", "source"], "left_semi").withColumn("own_", F.struct(F.when(rank > 0, rank).otherwise(len(expected) + 1).alias("rank"), "source", "line_id"))
+    long = v.groupBy("road_id", "own_").agg(F.count("*").alias("n")).filter("n >= 2").select("road_id", "own_")
+    lines = dedupe_lines(v.join(long, ["road_id", "own_"], "left_semi"), ["road_id"], "own_").select("road_id", "own_.source", "own_.line_id")
+    state = here.join(lines.groupBy("road_id").agg(F.count("*").alias("n_lines")), "road_id", "left")
+    return lines, state.select("road_id", "arrived", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), (F.size("arrived") < len(expected)).alias("partial"))
