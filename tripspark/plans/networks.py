@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripspark.functions.geo import haversine
-from tripspark.operators import coverage, graph, places
+from tripspark.operators import coverage, graph, places, scan
 from tripspark.plans import fixtures as fx
 from tripspark.plans.fixtures import Tables, using
-from tripspark.plans.queries import MERIDIAN, big, km6, query
+from tripspark.plans.queries import MERIDIAN, RADIUS, big, km6, query
 from tripspark.sources.roads import union_road_sources
 
 NETWORK = """road AS (SELECT CAST(s_suppkey AS BIGINT) AS r FROM supplier),
@@ -117,3 +117,42 @@ def q_route_medals(t: Tables) -> DataFrame:
     specs = routes.select(k.alias("route_id"), (k % 3 == 0).alias("is_long"), F.lit(None).cast("double").alias("complete_percent"), F.lit(4.0).alias("min_km"), F.lit(8.0).alias("total_km"), F.when(k % 4 > 0, 9.0).alias("alternative_km"), (k % 5 > 0).alias("both"))
     m = coverage.route_medals(runs, specs)
     return m.select("user_id", "route_id", F.round("percent", 4).alias("percent"), F.round("alternative_percent", 4).alias("alternative_percent"), km6("longest_km"), "discovered", "medal")
+
+
+#: Two regions that roads pass, besides their own country.
+REGIONS = [(1, "AR", -30.0, False, 0.0, -48.9, 0.0), (2, "UY", -19.9, False, 0.0, -60.0, 0.0)]
+SCAN = f"""v AS (SELECT trip_id, alat AS lat, alng AS lng FROM trip_edges UNION SELECT trip_id, blat, blng FROM trip_edges), own AS (SELECT DISTINCT trip_id, user_id FROM trip_edges WHERE trip_id % 10 > 0),
+said AS (SELECT trip_id, CASE user_id % 4 WHEN 0 THEN 'BR' WHEN 1 THEN 'AR' ELSE 'US' END AS code FROM own WHERE user_id % 4 <> 2),
+passed AS (SELECT DISTINCT trip_id, CASE WHEN lng >= -48.9 THEN 'AR' ELSE 'UY' END AS code FROM v WHERE lng >= -48.9 OR lat >= -19.9), code AS (SELECT * FROM said UNION SELECT * FROM passed),
+asked AS (SELECT trip_id, code FROM code JOIN own USING (trip_id) WHERE code IN ('BR', 'AR', 'UY') UNION SELECT trip_id, 'BR' FROM own WHERE trip_id NOT IN (SELECT trip_id FROM code)),
+spot AS (SELECT *, CASE WHEN place_id % 4 < 2 THEN CASE WHEN place_id % 9 = 0 THEN 10 ELSE 4 END ELSE {RADIUS} END AS radius, CASE WHEN place_id % 4 < 2 THEN 'BR' WHEN place_id % 4 = 2 THEN 'AR' ELSE 'UY' END AS code FROM places),
+met AS (SELECT trip_id, place_id, radius, sqrt(power((lng - alng) * 111.32 * greatest(0.01, cos(radians(lat))), 2) + power((lat - greatest(alat, least(blat, lat))) * 111.32, 2)) AS km
+  FROM trip_edges JOIN asked USING (trip_id) JOIN spot USING (code) WHERE lat BETWEEN alat - 0.15 AND blat + 0.15 AND lng BETWEEN alng - 0.15 AND alng + 0.15)"""
+
+
+def city_scan(t: Tables) -> tuple[DataFrame, DataFrame]:
+    e, k, u = fx.trip_edges(t), F.col("place_id"), F.col("user_id") % 4
+    last = e.groupBy("trip_id").agg(F.max_by(F.struct((F.col("seq") + 1).alias("seq"), F.col("blat").alias("lat"), F.col("blng").alias("lng")), "seq").alias("b")).select("trip_id", "b.*")
+    vertices = e.select("trip_id", "seq", F.col("alat").alias("lat"), F.col("alng").alias("lng")).union(last)
+    ends = e.select("trip_id", "user_id").distinct().select("trip_id", F.lit(0).alias("ord"), F.when(u == 0, "BR").when(u == 1, "ar").when(u == 3, "US").alias("country_code"))
+    trips = e.select("trip_id").distinct().withColumn("mode", F.when(F.col("trip_id") % 10 == 0, "aviao").otherwise("carro"))
+    boxes = t.spark.createDataFrame(REGIONS, "priority int, code string, s double, open boolean, n double, w double, e double")
+    rings = t.spark.createDataFrame([], "priority int, code string, ring array<struct<lat:double,lng:double>>")
+    spots = fx.places(t).withColumns({"country_code": F.when(k % 4 < 2, "BR").when(k % 4 == 2, "AR").otherwise("UY"), "capital": k % 9 == 0})
+    return scan.scan_cities(trips, vertices, scan.trip_countries(vertices, ends, boxes, rings), spots)
+
+
+@query(using("trip_edges", "places", more=SCAN) + "SELECT trip_id, place_id, round(min(km), 6) AS km FROM met WHERE km <= radius GROUP BY ALL")
+def q_scan_cities(t: Tables) -> DataFrame:
+    """Cities that road trips come near to, in the countries that their ends name or their lines pass."""
+    found, _ = city_scan(t)
+    return found.select("trip_id", "place_id", km6("km"))
+
+
+@query(using("trip_edges", "places", more=SCAN) + """SELECT t.trip_id, CASE WHEN user_id IS NULL THEN 'flight' ELSE coalesce(p.parts, '') || CASE WHEN user_id % 4 < 2 THEN '' WHEN p.parts IS NULL THEN 'pending' ELSE '+partial' END END AS source,
+user_id IS NULL OR user_id % 4 < 2 AS complete FROM (SELECT DISTINCT trip_id FROM trip_edges) t LEFT JOIN own USING (trip_id)
+LEFT JOIN (SELECT trip_id, string_agg('local-' || lower(a.code), '+' ORDER BY CASE WHEN a.code = 'BR' THEN 0 WHEN s.code IS NOT NULL THEN 1 ELSE 2 END, a.place) AS parts
+  FROM (SELECT trip_id, code, CASE WHEN code = 'AR' THEN 0 ELSE 1 END AS place FROM asked) a LEFT JOIN said s USING (trip_id, code) GROUP BY trip_id) p USING (trip_id)""")
+def q_scan_state(t: Tables) -> DataFrame:
+    """Which catalogs a trip's scan has asked, and whether they are all it needs."""
+    return city_scan(t)[1]
