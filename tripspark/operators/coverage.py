@@ -130,13 +130,17 @@ def road_medal(progress: DataFrame, gold_roads: DataFrame) -> DataFrame:
     return progress.join(g, "road_id", "left").withColumn("medal", medal).drop("gold_")
 
 
-def route_achievement(runs: DataFrame, specs: DataFrame) -> DataFrame:
+def route_achievement(runs: DataFrame, specs: DataFrame, untouched: bool = True) -> DataFrame:
     """Every route of specs (route_id, is_long, min_km, total_km) for every user of runs (user_id, route_id, km): longest_km,
-    traveled_km, percent, discovered, complete; zeros for routes not touched."""
-    users = runs.select("user_id").distinct()
+    traveled_km, percent, discovered, complete; zeros for routes not touched, which makes users x routes rows. Without `untouched`
+    only routes that a user has a run of."""
     done = runs.groupBy("user_id", "route_id").agg(F.max("km").alias("longest_km"), F.sum("km").alias("traveled_km"))
-    every = users.crossJoin(small(specs.select("route_id", "is_long", "min_km", "total_km")))  # each of these pairs is a result
-    out = every.join(done, ["user_id", "route_id"], "left").fillna(0.0, ["longest_km", "traveled_km"])
+    s = specs.select("route_id", "is_long", "min_km", "total_km")
+    if untouched:
+        every = runs.select("user_id").distinct().crossJoin(small(s))  # each of these pairs is a result
+        out = every.join(done, ["user_id", "route_id"], "left").fillna(0.0, ["longest_km", "traveled_km"])
+    else:
+        out = done.join(s, "route_id")
     percent = F.when(F.col("total_km") > 0, F.least(F.lit(100.0), F.col("traveled_km") / F.col("total_km") * 100)).otherwise(F.lit(0.0))
     found = F.col("longest_km") >= F.col("min_km")
     return out.select("user_id", "route_id", "longest_km", "traveled_km", percent.alias("percent"), found.alias("discovered"), F.when(F.col("is_long"), percent >= 85).otherwise(found).alias("complete"))

@@ -9,6 +9,7 @@ from tripspark.functions.geo import point_edge_km
 from tripspark.operators.coverage import ENDS, edges
 from tripspark.operators.places import PLACE_CELL_DEG, _around, _cells, radius_km
 from tripspark.operators.regions import point_region
+from tripspark.operators.rounds import Rounds
 
 #: Countries that have a catalog beside Brazil's, kilometres around Brazil's capitals and its other cities, and how
 #: far beyond a trip's bounds a place may lie, in degrees.
@@ -32,7 +33,8 @@ def trip_countries(vertices: DataFrame, ends: DataFrame, boxes: DataFrame, rings
     at = point_region(v.select(F.struct("trip_id", "i").alias("point_id"), "lat", "lng"), boxes, rings).filter(F.col("code").isin(*known))
     passed = at.select("point_id.trip_id", "code", F.lit(False).alias("said"), F.col("point_id.i").alias("pos"))
     said = ends.select("trip_id", F.upper(F.coalesce("country_code", F.lit(""))).alias("code"), F.lit(True).alias("said"), F.col("ord").cast("int").alias("pos")).filter("code <> ''")
-    return said.union(passed).groupBy("trip_id", "code").agg(F.min(F.struct((~F.col("said")).alias("a"), "pos")).alias("b")).select("trip_id", "code", (~F.col("b.a")).alias("said"), F.col("b.pos").alias("pos"))
+    # written, as a scan asks for it several times
+    return Rounds(vertices.sparkSession, "countries").write("countries", said.union(passed).groupBy("trip_id", "code").agg(F.min(F.struct((~F.col("said")).alias("a"), "pos")).alias("b")).select("trip_id", "code", (~F.col("b.a")).alias("said"), F.col("b.pos").alias("pos")))
 
 
 def _asked(trips: DataFrame, countries: DataFrame, known: tuple[str, ...]) -> DataFrame:

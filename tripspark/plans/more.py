@@ -10,7 +10,7 @@ from tripspark.operators import coverage as cov
 from tripspark.operators import graph, lines, marts, match, places, roads, sync
 from tripspark.plans import fixtures as fx
 from tripspark.plans.fixtures import using
-from tripspark.plans.queries import HITS, MERIDIAN, ORACLE_SQL, big, covered, km6, query
+from tripspark.plans.queries import HITS, MERIDIAN, big, covered, km6, query
 
 
 @query(using("trips") + """SELECT trip_id, CASE mode WHEN 'carro' THEN 'Carro' WHEN 'moto' THEN 'Moto' WHEN 'bicicleta' THEN 'Bicicleta' ELSE 'Avião' END AS mode, strftime(trip_date, '%d/%m/%Y') AS day,
@@ -93,26 +93,17 @@ def q_graph_edges(t):
 
 @query(using("road_edges", "trip_edges", "places", "conquests", more=HITS) + f""", s AS (SELECT *, seq - row_number() OVER (PARTITION BY user_id, road_id ORDER BY seq) AS g FROM h WHERE hit = 1),
 runs AS (SELECT user_id, road_id, min(seq) AS a, max(seq) AS b, count(*) AS n FROM s GROUP BY user_id, road_id, g), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, road_id ORDER BY n DESC, a) AS r FROM runs) WHERE r = 1),
-c AS (SELECT DISTINCT user_id, place_id AS road_id FROM conquests WHERE user_id % 20 = 0), tot AS (SELECT user_id, road_id, sum(hit) AS n FROM h GROUP BY ALL HAVING sum(hit) > 0)
+c AS (SELECT DISTINCT user_id, place_id AS road_id FROM conquests), tot AS (SELECT user_id, road_id, sum(hit) AS n FROM h GROUP BY ALL HAVING sum(hit) > 0)
 SELECT user_id, road_id, round(tot.n * {MERIDIAN.format('0.009')}, 4) AS traveled_km, CAST(round(tot.n * 5.0, 4) AS DOUBLE) AS percent, best.n IS NOT NULL AS has_run FROM c LEFT JOIN tot USING (user_id, road_id) LEFT JOIN best USING (user_id, road_id)""")
-def q_road_report(t):
-    return _road_report(t, fx.conquests(t).filter("user_id % 20 = 0"))
-
-
-@query(ORACLE_SQL["q_road_report"].replace(" WHERE user_id % 20 = 0", ""))
 def q_road_report_all(t):
     """The report of all users."""
-    return _road_report(t, fx.conquests(t))
-
-
-def _road_report(t, conquests):
     coverage = covered(t)
     p = cov.road_progress(coverage).filter("covered_edges > 0")
     runs = cov.covered_runs(coverage, ["user_id", "road_id", "line_id"])
     e = coverage.select("user_id", "road_id", "line_id", "seq", *cov.ENDS)
     first, last = e.select("user_id", "road_id", "line_id", F.col("seq").alias("first_seq"), "alat", "alng"), e.select("user_id", "road_id", "line_id", F.col("seq").alias("last_seq"), "blat", "blng")
     runs = runs.join(first, ["user_id", "road_id", "line_id", "first_seq"]).join(last, ["user_id", "road_id", "line_id", "last_seq"])
-    c = conquests.select("user_id", F.col("place_id").alias("road_id")).distinct()
+    c = fx.conquests(t).select("user_id", F.col("place_id").alias("road_id")).distinct()
     out = marts.road_report(p, runs, fx.places(t), c)
     return out.select("user_id", "road_id", F.round("traveled_km", 4).alias("traveled_km"), F.round("percent", 4).alias("percent"), F.col("start_place").isNotNull().alias("has_run"))
 

@@ -88,17 +88,17 @@ def q_road_medal(t: Tables) -> DataFrame:
     return cov.road_medal(p, gold).select("user_id", "road_id", "country", F.round("percent", 1).alias("percent"), "medal")
 
 
-@query(using("trip_edges") + f""", u AS (SELECT DISTINCT user_id FROM trip_edges), runs AS (SELECT user_id, road_id % 20 AS route_id, {MERIDIAN.format('max(blat) - min(alat)')} AS km FROM trip_edges GROUP BY user_id, trip_id, road_id),
-spec AS (SELECT s_suppkey AS route_id, s_suppkey % 3 = 0 AS is_long FROM supplier WHERE s_suppkey < 20), d AS (SELECT user_id, route_id, max(km) AS longest_km, sum(km) AS traveled_km FROM runs GROUP BY ALL)
+@query(using("trip_edges") + f""", runs AS (SELECT user_id, road_id AS route_id, {MERIDIAN.format('max(blat) - min(alat)')} AS km FROM trip_edges GROUP BY user_id, trip_id, road_id),
+spec AS (SELECT s_suppkey AS route_id, s_suppkey % 3 = 0 AS is_long FROM supplier), d AS (SELECT user_id, route_id, max(km) AS longest_km, sum(km) AS traveled_km FROM runs GROUP BY ALL)
 SELECT user_id, CAST(route_id AS BIGINT) AS route_id, round(coalesce(longest_km, 0), 6) AS longest_km, round(least(100, coalesce(traveled_km, 0) / 30 * 100), 4) AS percent, coalesce(longest_km, 0) >= 2 AS discovered,
   CASE WHEN is_long THEN least(100, coalesce(traveled_km, 0) / 30 * 100) >= 85 ELSE coalesce(longest_km, 0) >= 2 END AS complete
-FROM u CROSS JOIN spec LEFT JOIN d USING (user_id, route_id)""")
+FROM d JOIN spec USING (route_id)""")
 def q_route_achievement(t: Tables) -> DataFrame:
     e = fx.trip_edges(t)
     own = e.groupBy("user_id", "trip_id", "road_id").agg(F.sum(haversine(*[F.col(c) for c in cov.ENDS])).alias("km"))
-    runs = own.select("user_id", (F.col("road_id") % 20).alias("route_id"), "km")
-    specs = t.supplier.filter("s_suppkey < 20").select(F.col("s_suppkey").cast("long").alias("route_id"), (F.col("s_suppkey") % 3 == 0).alias("is_long"), F.lit(2.0).alias("min_km"), F.lit(30.0).alias("total_km"))
-    return cov.route_achievement(runs, specs).select("user_id", "route_id", km6("longest_km"), F.round("percent", 4).alias("percent"), "discovered", "complete")
+    runs = own.select("user_id", F.col("road_id").alias("route_id"), "km")
+    specs = t.supplier.select(F.col("s_suppkey").cast("long").alias("route_id"), (F.col("s_suppkey") % 3 == 0).alias("is_long"), F.lit(2.0).alias("min_km"), F.lit(30.0).alias("total_km"))
+    return cov.route_achievement(runs, specs, untouched=False).select("user_id", "route_id", km6("longest_km"), F.round("percent", 4).alias("percent"), "discovered", "complete")
 
 
 def route_lines(t: Tables) -> DataFrame:
@@ -162,12 +162,12 @@ def q_crossed_not_destination(t: Tables) -> DataFrame:
     return places.crossed_not_destination(s, visited)
 
 
-@query(using("places", "road_vertices") + """, p AS (SELECT road_id AS point_id, lat, lng FROM road_vertices WHERE seq = 10),
+@query(using("places", "road_vertices") + """, p AS (SELECT road_id * 100 + seq AS point_id, lat, lng FROM road_vertices),
 d AS (SELECT point_id, place_id, 2 * 6371.0088 * asin(least(1, sqrt(power(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * power(sin(radians(q.lng - p.lng) / 2), 2)))) AS km FROM p JOIN places q ON abs(q.lat - p.lat) < 0.4 AND abs(q.lng - p.lng) < 0.4),
 b AS (SELECT point_id, place_id, km, row_number() OVER (PARTITION BY point_id ORDER BY km, place_id) AS n FROM d WHERE km <= 35)
 SELECT p.point_id, place_id, round(km, 5) AS km FROM p LEFT JOIN b ON b.point_id = p.point_id AND n = 1""")
 def q_nearest_city(t: Tables) -> DataFrame:
-    p = fx.road_vertices(t).filter("seq = 10").select(F.col("road_id").alias("point_id"), "lat", "lng")
+    p = fx.road_vertices(t).select((F.col("road_id") * 100 + F.col("seq")).alias("point_id"), "lat", "lng")
     return places.nearest(p, fx.places(t), 35.0).select("point_id", "place_id", F.round("km", 5).alias("km"))
 
 
