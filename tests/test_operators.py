@@ -231,3 +231,21 @@ def test_sources_of_a_road_in_any_order(spark):
     assert sorted(map(tuple, state.collect())) == [(1, ["relations", "ways"], 2, False), (2, ["ways"], 1, True), (3, ["relations"], 1, True), (4, [], 0, True)]
     again, later = union_road_sources(v, told.union(told).union(spark.createDataFrame([(3, "ways", True)], told.schema)))
     assert sorted(map(tuple, later.filter("road_id = 3").collect())) == [(3, ["relations", "ways"], 2, False)] and again.filter("road_id = 1").count() == 2
+
+
+def test_progress_of_covered_edges_is_that_of_all_edges(spark):
+    import random
+
+    r = random.Random(3)
+    walk = lambda n: [(r.uniform(0, 0.002) + i * 0.004, r.uniform(0, 0.004)) for i in range(n)]
+    road = [(k, 0, i, *a, *b) for k in range(6) for p in [walk(25)] for i, (a, b) in enumerate(zip(p, p[1:]))] + [(1, 0, 99, 0.0, 0.0, 0.0, 0.0)]
+    trip = [(u, *a, *b) for u in range(8) for p in [walk(r.randint(3, 25))] for a, b in zip(p, p[1:])]
+    roads = spark.createDataFrame(road, "road_id long, line_id int, seq int, alat double, alng double, blat double, blng double")
+    trips = spark.createDataFrame(trip, "user_id long, alat double, alng double, blat double, blng double")
+    key = lambda df: sorted((x["user_id"], x["road_id"], x["total_edges"], x["covered_edges"], round(x["traveled_km"], 9), round(x["percent"], 9), x["end_to_end"]) for x in df.collect())
+    whole = cov.corridor_coverage(roads, trips)
+    some = cov.covered_edges(roads, trips, ["user_id"])
+    want = key(cov.road_progress(whole).filter("covered_edges > 0"))
+    assert key(cov.progress_of(some, roads)) == want and len({w[3] for w in want}) > 3
+    by, runs = ["user_id", "road_id", "line_id"], lambda df: sorted((x["user_id"], x["road_id"], x["first_seq"], x["last_seq"], x["n_edges"]) for x in df.collect())
+    assert runs(cov.covered_runs(some, by)) == runs(cov.covered_runs(whole, by))

@@ -105,6 +105,18 @@ def road_progress(coverage: DataFrame, complete_ratio: float = 0.985) -> DataFra
         F.count("*").alias("total_edges"), F.count_if("covered").alias("covered_edges"),
         F.sum("km").alias("total_km"), F.coalesce(F.sum(F.when(F.col("covered"), F.col("km"))), F.lit(0.0)).alias("covered_km"),
     )
+    return _shares(g, complete_ratio)
+
+
+def progress_of(covered: DataFrame, roads: DataFrame, complete_ratio: float = 0.985) -> DataFrame:
+    """What road_progress gives for roads of which a user has covered some (covered_edges by user_id), with each road's sums made once."""
+    e = roads.withColumn("km", haversine(*map(F.col, ENDS))).filter("km > 1e-6")
+    totals = e.groupBy("road_id").agg(F.count("*").alias("total_edges"), F.sum("km").alias("total_km"))
+    own = covered.groupBy("user_id", "road_id").agg(F.count("*").alias("covered_edges"), F.sum("km").alias("covered_km"))
+    return _shares(own.join(totals, "road_id"), complete_ratio)
+
+
+def _shares(g: DataFrame, complete_ratio: float) -> DataFrame:
     ratio = F.when(F.col("total_km") > 0, F.least("covered_km", "total_km") / F.col("total_km")).otherwise(F.lit(0.0))
     full = ratio >= complete_ratio
     return g.select(

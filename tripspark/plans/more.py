@@ -98,7 +98,7 @@ SELECT user_id, road_id, round(tot.n * {MERIDIAN.format('0.009')}, 4) AS travele
 def q_road_report_all(t):
     """The report of all users."""
     coverage = covered(t)
-    p = cov.road_progress(coverage).filter("covered_edges > 0")
+    p = cov.progress_of(coverage, fx.road_edges(t))
     runs = cov.covered_runs(coverage, ["user_id", "road_id", "line_id"])
     e = coverage.select("user_id", "road_id", "line_id", "seq", *cov.ENDS)
     first, last = e.select("user_id", "road_id", "line_id", F.col("seq").alias("first_seq"), "alat", "alng"), e.select("user_id", "road_id", "line_id", F.col("seq").alias("last_seq"), "blat", "blng")

@@ -45,14 +45,18 @@ h AS (SELECT ur.user_id, r.road_id, r.seq, max(CASE WHEN t.trip_id IS NOT NULL A
 
 
 def covered(t: Tables) -> DataFrame:
-    return cov.corridor_coverage(fx.road_edges(t), fx.trip_edges(t))
+    return cov.covered_edges(fx.road_edges(t), fx.trip_edges(t), ["user_id"])
+
+
+def progress(t: Tables) -> DataFrame:
+    return cov.progress_of(covered(t), fx.road_edges(t))
 
 
 @query(using("road_edges", "trip_edges", more=HITS) + """
 SELECT user_id, road_id, count(*) AS total_edges, CAST(sum(hit) AS BIGINT) AS covered_edges, round(CAST(sum(hit) AS DOUBLE) * 100 / count(*), 1) AS raw_percent
 FROM h GROUP BY ALL HAVING sum(hit) > 0""")
 def q_road_progress(t: Tables) -> DataFrame:
-    p = cov.road_progress(covered(t)).filter("covered_edges > 0")
+    p = progress(t)
     return p.select("user_id", "road_id", *big("total_edges", "covered_edges"), "raw_percent")
 
 
@@ -83,7 +87,7 @@ def q_traversal_density(t: Tables) -> DataFrame:
 @query(using("road_edges", "trip_edges", more=HITS) + """, p AS (SELECT user_id, road_id, CASE WHEN road_id % 2 = 0 THEN 'BR' ELSE 'AR' END AS country, CAST(sum(hit) AS DOUBLE) * 100 / 20 AS percent FROM h GROUP BY ALL HAVING sum(hit) > 0)
 SELECT user_id, road_id, country, round(percent, 1) AS percent, CASE WHEN road_id % 10 = 0 OR country = 'BR' AND percent >= 85 THEN 'gold' WHEN country <> 'BR' AND percent >= 90 THEN 'silver' END AS medal FROM p""")
 def q_road_medal(t: Tables) -> DataFrame:
-    p = cov.road_progress(covered(t)).filter("covered_edges > 0").withColumn("country", F.when(F.col("road_id") % 2 == 0, "BR").otherwise("AR"))
+    p = progress(t).withColumn("country", F.when(F.col("road_id") % 2 == 0, "BR").otherwise("AR"))
     gold = fx.road_edges(t).select("road_id").distinct().filter("road_id % 10 = 0")
     return cov.road_medal(p, gold).select("user_id", "road_id", "country", F.round("percent", 1).alias("percent"), "medal")
 
