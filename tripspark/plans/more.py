@@ -100,9 +100,9 @@ def q_road_report_all(t):
     coverage = covered(t)
     p = cov.progress_of(coverage, fx.road_edges(t))
     runs = cov.covered_runs(coverage, ["user_id", "road_id", "line_id"])
-    e = coverage.select("user_id", "road_id", "line_id", "seq", *cov.ENDS)
-    first, last = e.select("user_id", "road_id", "line_id", F.col("seq").alias("first_seq"), "alat", "alng"), e.select("user_id", "road_id", "line_id", F.col("seq").alias("last_seq"), "blat", "blng")
-    runs = runs.join(first, ["user_id", "road_id", "line_id", "first_seq"]).join(last, ["user_id", "road_id", "line_id", "last_seq"])
+    e = fx.road_edges(t)
+    first, last = e.select("road_id", "line_id", F.col("seq").alias("first_seq"), "alat", "alng"), e.select("road_id", "line_id", F.col("seq").alias("last_seq"), "blat", "blng")
+    runs = runs.join(first, ["road_id", "line_id", "first_seq"]).join(last, ["road_id", "line_id", "last_seq"])
     c = fx.conquests(t).select("user_id", F.col("place_id").alias("road_id")).distinct()
     out = marts.road_report(p, runs, fx.places(t), c)
     return out.select("user_id", "road_id", F.round("traveled_km", 4).alias("traveled_km"), F.round("percent", 4).alias("percent"), F.col("start_place").isNotNull().alias("has_run"))
