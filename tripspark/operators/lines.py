@@ -118,6 +118,63 @@ def merge_route_parts(parts: DataFrame, by: list[str]) -> DataFrame:
     return parts.groupBy(*by).agg(F.sum("distance").alias("distance"), F.when(whole, F.sum("duration")).alias("duration"), F.count("*").alias("n_parts"))
 
 
+def merge_route_lines(vertices: DataFrame, by: list[str]) -> DataFrame:
+    """by, seq, lat, lng: the parts (part, seq, lat, lng) of each route joined in order, seq numbered anew from 0. A part's first vertex
+    goes if it is exactly the vertex before it; other repeated vertices stay. Routes of fewer than two vertices are left out."""
+    w = Window.partitionBy(*by).orderBy("part", "seq")
+    joint = (F.lag("part").over(w) != F.col("part")) & (F.lag("lat").over(w) == F.col("lat")) & (F.lag("lng").over(w) == F.col("lng"))
+    v = vertices.select(*by, "part", "seq", "lat", "lng", F.coalesce(joint, F.lit(False)).alias("joint_")).filter("not joint_")
+    v = v.withColumn("of_", F.count("*").over(Window.partitionBy(*by))).withColumn("n_", F.row_number().over(w) - 1)
+    return v.filter("of_ >= 2").select(*by, F.col("n_").alias("seq"), "lat", "lng")
+
+
+def _weights(lat: np.ndarray, lng: np.ndarray, least_m: float) -> np.ndarray:
+    """For each vertex the metres below which, as a tolerance, Ramer-Douglas-Peucker keeps it, in one plane for the whole line (at its
+    mean latitude): where a piece is split does not depend on the tolerance, so a vertex stays as long as it and all splits above it
+    are farther out. Both ends are endless; vertices that least_m drops have 0."""
+    x, y = lng * 111320.0 * np.cos(np.radians(lat.mean())), lat * 110540.0
+    weight = np.zeros(len(lat))
+    weight[[0, -1]] = np.inf
+    todo = [(0, len(lat) - 1, np.inf)]
+    while todo:
+        a, b, bound = todo.pop()
+        if b - a < 2:
+            continue
+        dx, dy, px, py = x[b] - x[a], y[b] - y[a], x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
+        length = dx * dx + dy * dy
+        t = np.clip((px * dx + py * dy) / length, 0, 1) if length > 0 else np.zeros(b - a - 1)
+        d = np.hypot(px - t * dx, py - t * dy)
+        at = int(d.argmax())
+        own = min(bound, float(d[at]))
+        if own > least_m:
+            weight[a + 1 + at] = own
+            todo += [(a, a + 1 + at, own), (a + 1 + at, b, own)]
+    return weight
+
+
+def vertex_weights(vertices: DataFrame, by: list[str], least_m: float = 0.0) -> DataFrame:
+    """by, seq, lat, lng, n_source, weight: the vertices of each line (of two or more; null coordinates left out) with the tolerance in
+    metres below which simplifying keeps them. Lines at any tolerance t of least_m or more are the vertices of weight over t, so one fold
+    of a line serves all of them."""
+    v = vertices.filter("lat is not null and lng is not null").select(*by, F.struct("seq", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")).alias("p"))
+    lines = v.groupBy(*by).agg(F.array_sort(F.collect_list("p")).alias("ps")).filter(F.size("ps") >= 2)  # one line's vertices
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ps = batch.column("ps")
+            flat, size = ps.flatten(), ps.value_lengths().to_numpy()
+            lat, lng = (flat.field(c).to_numpy() for c in ("lat", "lng"))
+            ends = np.cumsum(size).tolist()
+            found = [_weights(lat[e - n : e], lng[e - n : e], least_m) for e, n in zip(ends, size.tolist())]
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            weights = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0), *found])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, weights], [*batch.schema.names, "ws"])
+
+    out = lines.mapInArrow(run, f"{schema}, ws array<double>").select(*by, F.size("ps").alias("n_source"), F.explode(F.arrays_zip("ps", "ws")).alias("v"))
+    return out.select(*by, "v.ps.seq", "v.ps.lat", "v.ps.lng", "n_source", F.col("v.ws").alias("weight"))
+
+
 def _simplified(lat: np.ndarray, lng: np.ndarray, tolerance_m: float) -> np.ndarray:
     """Which vertices stay: Ramer-Douglas-Peucker in a plane at each piece, ends kept, split where the distance is over tolerance."""
     keep = np.zeros(len(lat), bool)
