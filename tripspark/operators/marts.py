@@ -47,7 +47,7 @@ def group_cities(cities: DataFrame) -> DataFrame:
     """user_id, group_key, n_cities, pos: states by name, then the unknown state, then countries."""
     g = cities.withColumn("group_key", city_group(*[F.col(c) for c in ("region", "label", "country_code", "country")])).groupBy("user_id", "group_key").agg(F.count("*").alias("n_cities"))
     names = F.create_map(*[F.lit(x) for s, n in STATES.items() for x in (f"BR-{s}", n)])
-    order = [F.col("group_key").startswith("COUNTRY-"), F.col("group_key") == "BR-OUTROS", F.coalesce(plain(F.element_at(names, F.col("group_key"))), F.col("group_key"))]
+    order = [F.col("group_key").startswith("COUNTRY-"), F.col("group_key") == "BR-OUTROS", plain(F.coalesce(F.element_at(names, F.col("group_key")), F.col("group_key"))), "group_key"]
     return g.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
 
 

@@ -1,14 +1,17 @@
-"""Registered queries of curated routes and of routes put together from parts."""
+"""Registered queries of curated routes, of routes put together from parts, and of groups."""
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripspark.operators import catalog, lines
+from tripspark.functions import text as X
+from tripspark.operators import catalog, groups, lines
 from tripspark.plans import fixtures as fx
 from tripspark.plans.fixtures import Tables, using
-from tripspark.plans.queries import query
+from tripspark.plans.queries import STATE_LIST, query
 
 #: Places in a line, tolerances, vertices of a line and bytes of a bundle in the query of curated routes.
 IN_LINE, LADDER, MOST, BYTES = 50, (500.0, 3000.0, 9000.0, 30000.0), 24, 1200
@@ -75,3 +78,70 @@ def q_merge_route_lines(t: Tables) -> DataFrame:
     ends = F.array(F.struct(F.lit(0).alias("seq"), F.when(apart, F.col("alng")).otherwise(F.col("alat")).alias("lat"), F.col("alng").alias("lng")), F.struct(F.lit(1).alias("seq"), F.col("blat").alias("lat"), F.col("blng").alias("lng")))
     v = e.select("trip_id", F.col("seq").alias("part"), F.explode(ends).alias("p")).select("trip_id", "part", "p.*")
     return lines.merge_route_lines(v, ["trip_id"]).select("trip_id", F.col("seq").cast("long").alias("seq"), "lat", "lng")
+
+
+GROUPS = """r AS (SELECT CAST(p_partkey AS BIGINT) AS k, CASE p_partkey % 5 WHEN 0 THEN 'estrada real ' WHEN 1 THEN 'caminho ' WHEN 2 THEN 'estrada parque ' ELSE '' END || lower(p_name) AS name, CASE p_partkey % 5 WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 2 ELSE 3 END AS priority,
+  CASE WHEN p_partkey % 6 = 1 OR p_partkey % 8 = 7 THEN 'international' WHEN p_partkey % 6 = 0 THEN 'br' ELSE 'state' END AS kind,
+  list_sort(list_distinct(list_concat(CASE p_partkey % 6 WHEN 2 THEN ['SP'] WHEN 4 THEN ['MG'] WHEN 5 THEN ['MG', 'SP'] ELSE [] END, CASE WHEN p_partkey % 4 = 1 THEN ['BA'] WHEN p_partkey % 4 = 2 THEN ['SP'] WHEN p_partkey % 8 = 3 THEN ['GO'] ELSE [] END))) AS states FROM part),
+g AS (SELECT *, CASE WHEN kind <> 'state' THEN upper(kind) WHEN len(states) = 1 THEN states[1] WHEN len(states) > 1 THEN 'INTERSTATE' ELSE 'REGIONAL' END AS group_key FROM r),
+z AS (SELECT kind, group_key, row_number() OVER (PARTITION BY kind ORDER BY n DESC, CASE group_key WHEN 'SP' THEN 'sao paulo' WHEN 'MG' THEN 'minas gerais' WHEN 'BA' THEN 'bahia' WHEN 'GO' THEN 'goias' WHEN 'INTERSTATE' THEN 'interestaduais' WHEN 'REGIONAL' THEN 'regionais' ELSE group_key END) AS group_pos FROM (SELECT kind, group_key, count(*) AS n FROM g GROUP BY ALL))"""
+
+
+@query(f"WITH {GROUPS} SELECT k AS route_id, kind, group_key, group_pos, row_number() OVER (PARTITION BY kind, group_key ORDER BY priority, name, k) AS pos FROM g JOIN z USING (kind, group_key)")
+def q_route_groups(t: Tables) -> DataFrame:
+    """Routes by kind and state, of their references and regions."""
+    k = F.col("p_partkey")
+    refs = lambda *x: F.array(*[F.lit(i) for i in x])
+    road = F.when(k % 6 == 0, refs("SP-1", "br-116")).when(k % 6 == 1, refs("INT:AR:RN:3")).when(k % 6 == 2, F.array(F.concat(F.lit("sp-"), (k % 300).cast("string")))).when(k % 6 == 4, refs("LMG-808", "XX-1")).when(k % 6 == 5, refs("SP-10", "MG-20"))
+    region = F.when(k % 4 == 1, "Sertão da Bahia").when(k % 4 == 2, "Serra / São Paulo").when(k % 8 == 7, "Patagônia, Argentina").when(k % 8 == 3, "GO")
+    name = F.concat(F.when(k % 5 == 0, "Estrada Real ").when(k % 5 == 1, "Caminho ").when(k % 5 == 2, "Estrada-Parque ").otherwise(""), F.col("p_name"), F.lit(" "), k.cast("string"))
+    routes = t.part.select(k.cast("long").alias("route_id"), name.alias("name"), F.lit(None).cast("string").alias("family"), F.when(k % 5 == 3, "Rota histórica").alias("category"), region.alias("region"), road.alias("road_refs"))
+    out = groups.group_routes(routes)
+    return out.select("route_id", "kind", "group_key", F.col("group_pos").cast("long").alias("group_pos"), F.col("pos").cast("long").alias("pos"))
+
+
+_PLAIN = "[" + ", ".join("'" + unicodedata.normalize("NFD", n).encode("ascii", "ignore").decode().lower() + "'" for n in X.STATES.values()) + "]"
+
+
+@query(f"""WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS city_id, c_mktsegment AS user_id, n_nationkey % 3 > 0 AS abroad, CASE n_nationkey % 3 WHEN 0 THEN 'BR-' || ({STATE_LIST})[CAST(c_custkey % 27 + 1 AS BIGINT)] WHEN 1 THEN 'COUNTRY-PE' ELSE 'COUNTRY-' || regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g') END AS group_key,
+  CASE WHEN n_nationkey % 3 = 0 THEN ({_PLAIN})[CAST(c_custkey % 27 + 1 AS BIGINT)] END AS state FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT city_id, user_id, group_key, dense_rank() OVER (PARTITION BY user_id ORDER BY abroad, coalesce(state, lower(replace(group_key, '-', ' ')))) AS group_pos, row_number() OVER (PARTITION BY user_id, group_key ORDER BY city_id) AS pos FROM c""")
+def q_ordered_city_groups(t: Tables) -> DataFrame:
+    """Cities whose names end in numbers, by state and country."""
+    at = (F.col("c_custkey") % 27 + 1).cast("int")
+    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    cities = c.select(
+        F.col("c_custkey").cast("long").alias("city_id"), F.col("c_mktsegment").alias("user_id"), F.concat(F.lit("Cidade "), F.col("c_custkey").cast("string")).alias("city"), F.lit("").alias("label"), F.lit("").alias("country_code"),
+        F.element_at(F.array(*[F.lit(n) for n in X.STATES.values()]), at).alias("region"), F.when(F.col("n_nationkey") % 3 == 0, "Brasil").when(F.col("n_nationkey") % 3 == 1, "Perú").otherwise(F.col("n_name")).alias("country"))
+    return groups.ordered_city_groups(cities).select("city_id", "user_id", "group_key", F.col("group_pos").cast("long").alias("group_pos"), F.col("pos").cast("long").alias("pos"))
+
+
+@query(using("conquests") + """, w AS (SELECT user_id, 'city ' || place_id % 50 AS item_key, min((trip_date, trip_id, place_id)) AS f FROM conquests WHERE trip_id % 7 <> 0 GROUP BY ALL),
+o AS (SELECT trip_id, place_id % 50 AS c, min(place_id) AS p FROM conquests GROUP BY ALL)
+SELECT user_id, item_key, CASE WHEN f[3] % 3 > 0 THEN CAST(f[3] AS DOUBLE) ELSE p / 4e0 END AS lat, CAST(f[3] AS DOUBLE) / 2 AS lng, f[2] AS trip_id, 'Trip ' || f[2] AS trip_name FROM w JOIN o ON o.trip_id = f[2] AND c = f[3] % 50""")
+def q_city_snapshot(t: Tables) -> DataFrame:
+    """First conquests of cities, a third of which take their latitude from a place of the trip."""
+    c, p = fx.conquests(t).drop("item"), F.col("place_id")
+    city = F.concat(F.lit("City "), (p % 50).cast("string"))
+    won = c.select("user_id", "trip_id", F.concat(F.lit("Trip "), F.col("trip_id").cast("string")).alias("trip_name"), "trip_date", p.alias("pos"), F.when(p % 2 == 0, city).otherwise("").alias("label"), city.alias("city"), F.when(p % 3 > 0, p.cast("double")).alias("lat"), (p / F.lit(2.0)).alias("lng"))
+    none = F.lit(None).cast("string")
+    places = c.select("trip_id", p.alias("pos"), F.when(p % 4 == 1, F.upper(city)).alias("label"), F.when(p % 4 != 1, city).alias("city"), none.alias("region"), none.alias("country"), (p / F.lit(4.0)).alias("lat"), F.lit(0.0).alias("lng")).distinct()
+    return groups.city_snapshot(won, places, c.filter("trip_id % 7 = 0").select("user_id", "trip_id").distinct()).select("user_id", "item_key", "lat", "lng", "trip_id", "trip_name")
+
+
+@query(using("conquests") + f"""SELECT user_id, count(DISTINCT CASE WHEN s_nationkey % 3 < 2 THEN place_id % 27 END) AS n_states, count(DISTINCT CASE WHEN s_nationkey % 3 > 0 THEN s_nationkey END) + max(CASE WHEN s_nationkey % 3 = 0 THEN 1 ELSE 0 END) AS n_countries FROM conquests JOIN supplier ON s_suppkey = place_id GROUP BY ALL""")
+def q_profile_places(t: Tables) -> DataFrame:
+    k, nation = F.col("place_id"), F.col("s_nationkey")
+    c = fx.conquests(t).join(t.supplier, F.col("s_suppkey") == k)
+    region = F.element_at(F.array(*[F.lit(n) for n in X.STATES.values()]), (k % 27 + 1).cast("int"))
+    places = c.select("user_id", F.when(k % 2 == 0, F.upper(region)).otherwise(region).alias("region"), F.when(nation % 3 == 0, "br").when(nation % 3 == 2, nation.cast("string")).otherwise("").alias("country_code"), F.when(nation % 3 == 1, F.concat(F.lit("Brasil "), nation.cast("string"))).otherwise("x").alias("country"))
+    return groups.profile_places(places).select("user_id", F.col("n_states").cast("long").alias("n_states"), F.col("n_countries").cast("long").alias("n_countries"))
+
+
+@query(using("conquests") + """, c AS (SELECT DISTINCT place_id AS road_id FROM conquests WHERE trip_id % 4 <> 0), q AS (SELECT CAST(s_suppkey * 3 AS BIGINT) AS road_id FROM supplier),
+j AS (SELECT coalesce(c.road_id, q.road_id) AS road_id, c.road_id IS NOT NULL AS won, q.road_id IS NOT NULL AS waits FROM c FULL JOIN q ON c.road_id = q.road_id)
+SELECT road_id, CASE WHEN NOT won OR road_id % 4 = 2 THEN 'dropped' WHEN waits THEN 'kept' ELSE 'added' END AS action, CASE WHEN NOT won THEN 'orphan' WHEN road_id % 4 = 2 THEN 'complete' ELSE 'pending' END AS reason FROM j WHERE NOT won OR waits OR road_id % 4 <> 2""")
+def q_audit_queue(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey").cast("long")
+    catalog = t.supplier.filter(k % 4 != 3).select(k.alias("road_id"), (k % 4 == 2).alias("validated"))
+    return groups.audit_queue(fx.conquests(t).filter("trip_id % 4 <> 0").select(F.col("place_id").alias("road_id")), catalog, t.supplier.select((k * 3).alias("road_id")))
