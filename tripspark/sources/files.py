@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripspark.functions.geo import haversine
 from tripspark.functions.text import STATES, clean_road_ref, road_key
-from tripspark.operators.lines import polyline_deltas
+from tripspark.operators.lines import decode_lines, encode_lines, line_metrics, polyline_deltas, simplify_lines
 
 #: Number of each state in the municipality file.
 UF_CODES = {11: "RO", 12: "AC", 13: "AM", 14: "RR", 15: "PA", 16: "AP", 17: "TO", 21: "MA", 22: "PI", 23: "CE", 24: "RN", 25: "PB", 26: "PE", 27: "AL", 28: "SE", 29: "BA", 31: "MG", 32: "ES", 33: "RJ", 35: "SP", 41: "PR", 42: "SC", 43: "RS", 50: "MS", 51: "MT", 52: "GO", 53: "DF"}
@@ -92,29 +93,69 @@ def read_airports(spark: SparkSession, path: str) -> DataFrame:
     return out.filter(F.col("alat").between(-90, 90) & F.col("alng").between(-180, 180))
 
 
+def _tracks(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
+    """name and trkseg of a GPX file's tracks, without alternatives, car tracks and trails."""
+    point = "struct<_lat:double,_lon:double>"
+    t = spark.read.format("xml").option("rowTag", row_tag).schema(f"name string, trkseg array<struct<trkpt:array<{point}>>>").load(path)
+    return t.filter(~F.coalesce("name", F.lit("")).rlike("(?i)alternativ|carro|trilha"))
+
+
+def _latlng(p: Column) -> Column:
+    return F.struct(p["_lat"].alias("lat"), p["_lon"].alias("lng"))
+
+
 def read_gpx_tracks(spark: SparkSession, path: str, row_tag: str = "trk") -> DataFrame:
     """name, segment, coords (array of lat, lng) of a GPX file's tracks, without alternatives, car tracks and trails, and without
     segments of one point."""
-    point = "struct<_lat:double,_lon:double>"
-    t = spark.read.format("xml").option("rowTag", row_tag).schema(f"name string, trkseg array<struct<trkpt:array<{point}>>>").load(path)
-    t = t.filter(~F.coalesce("name", F.lit("")).rlike("(?i)alternativ|carro|trilha"))
-    s = t.select("name", F.posexplode("trkseg").alias("segment", "s")).select("name", "segment", F.transform("s.trkpt", lambda p: F.struct(p["_lat"].alias("lat"), p["_lon"].alias("lng"))).alias("coords"))
-    return s.filter(F.size("coords") >= 2)
+    s = _tracks(spark, path, row_tag).select("name", F.posexplode("trkseg").alias("segment", "s"))
+    return s.select("name", "segment", F.transform("s.trkpt", _latlng).alias("coords")).filter(F.size("coords") >= 2)
+
+
+def _length_km(coords: Column) -> Column:
+    """Great-circle length of an array of lat, lng in order."""
+    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.size(coords) - 1, F.lit(1))), lambda i: haversine(*[F.get(coords, k)[c] for k in (i - 1, i) for c in ("lat", "lng")]))
+    return F.aggregate(steps, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+
+
+def read_official_tracks(spark: SparkSession, path: str, least_km: float = 1.0, tolerance_m: float = 20.0, row_tag: str = "trk") -> DataFrame:
+    """name, encoded, n_points, km of a GPX file's tracks, each with all its segments as one line: those of least_km or more, simplified.
+    Lines that are equal forwards or backwards once simplified count once, under the least name (null first), then encoding; points without both
+    coordinates are left out, and so are the tracks that read_gpx_tracks leaves out."""
+    points = F.flatten(F.transform("trkseg", lambda s: F.coalesce(s["trkpt"], F.array().cast("array<struct<_lat:double,_lon:double>>"))))
+    t = _tracks(spark, path, row_tag).select("name", F.filter(F.transform(points, _latlng), lambda p: p["lat"].isNotNull() & p["lng"].isNotNull()).alias("coords"))
+    t = t.filter((F.size("coords") >= 2) & (_length_km(F.col("coords")) >= least_km)).select("name", F.sha2(F.to_json("coords"), 256).alias("line"), "coords")
+    t = simplify_lines(t, tolerance_m).groupBy("line").agg(F.min(F.struct("name")).alias("n"), F.first("coords").alias("coords"))
+    t = t.select("line", "n.name", _length_km(F.col("coords")).alias("km"), "coords")
+    v = t.select("line", "name", "km", F.posexplode("coords").alias("seq", "p")).select("line", "name", "km", "seq", "p.*")
+    there, back = encode_lines(v, ["line", "name", "km"]), encode_lines(v.withColumn("seq", -F.col("seq")), ["line"])
+    both = there.join(back.select("line", F.col("encoded").alias("back_")), "line").groupBy(F.least("encoded", "back_").alias("either_"))
+    return both.agg(F.min(F.struct("name", "encoded", "n_points", "km")).alias("f")).select("f.*")
+
 
+CATALOG = "kind string, schema string, validationSchema string, key string, cacheVersion string, partial boolean, totalKm double, pointCount int, precision int, bounds array<array<double>>, compactToleranceM double, encodedLines array<string>"
 
-CATALOG = "kind string, schema int, validation string, key string, cacheVersion string, partial boolean, totalKm double, pointCount int, precision int, encodedLines array<string>"
 
+def read_road_catalog(spark: SparkSession, path: str, version: str | None = None, expected: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Roads (key, totalKm, pointCount, lines, precision, bounds, compactToleranceM) that can be used, and the files that cannot: of another kind or
+    version, partial, without a key, or without one line that decodes to two vertices or more.
 
-def read_road_catalog(spark: SparkSession, path: str, version: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Roads (key, totalKm, pointCount, lines) that can be used, and the files that cannot: of another kind or version, partial, or
-    without one line that decodes."""
-    c = spark.read.schema(CATALOG).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    good_lines = F.filter("encodedLines", lambda e: polyline_deltas(e).isNotNull())
+    expected: what kind, schema and validationSchema must be; fields that are not named are not looked at. Lines that do not decode are left
+    out of lines. A precision that is absent or 0 is 5, a tolerance 25 m; a length or number of points that is absent or 0 is that of the lines."""
+    c = spark.read.schema(CATALOG).option("multiLine", True).option("recursiveFileLookup", True).json(path).select("*", F.col("_metadata.file_path").alias("file_"))
+    good_lines = F.filter("encodedLines", lambda e: F.size(F.coalesce(polyline_deltas(e), F.array().cast("array<bigint>"))) >= 4)
     ok = F.col("key").isNotNull() & ~F.coalesce("partial", F.lit(False)) & (F.size(good_lines) >= 1)
-    if version is not None:
-        ok = ok & (F.col("cacheVersion") == version)
+    for field, value in ((expected or {}) | ({"cacheVersion": version} if version is not None else {})).items():
+        ok = ok & (F.col(field) == value)
     c = c.withColumn("ok_", F.coalesce(ok, F.lit(False)))
-    return c.filter("ok_").select("key", "totalKm", "pointCount", good_lines.alias("lines")), c.filter("not ok_").drop("ok_")
+    or_else = lambda name, other: F.when(F.coalesce(F.col(name), F.lit(0)) == 0, other).otherwise(F.col(name)).alias(name)
+    good = c.filter("ok_").select("file_", "key", "totalKm", "pointCount", good_lines.alias("lines"), or_else("precision", F.lit(5)), "bounds", or_else("compactToleranceM", F.lit(25.0)))
+    by = ["file_", "key", "precision", "line_"]
+    lacking = good.filter("coalesce(totalKm, 0) = 0 or coalesce(pointCount, 0) = 0").select("file_", "key", "precision", F.posexplode("lines").alias("line_", "encoded"))
+    scale = F.pow(F.lit(10.0), F.col("precision"))
+    v = decode_lines(lacking, by, "encoded", 0).withColumns({"lat": F.col("lat") / scale, "lng": F.col("lng") / scale})
+    own = line_metrics(v, by).groupBy("file_", "key").agg(F.sum("km").alias("km_"), F.sum("n_points").cast("int").alias("n_"))
+    good = good.join(own, ["file_", "key"], "left").select("key", or_else("totalKm", F.col("km_")), or_else("pointCount", F.col("n_")), "lines", "precision", "bounds", "compactToleranceM")
+    return good, c.filter("not ok_").drop("ok_", "file_")
 
 
 def read_iconic_catalog(spark: SparkSession, specs: str, geometry: str) -> tuple[DataFrame, DataFrame]:
