@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripspark.functions import text as X
-from tripspark.operators import catalog, groups, lines
+from tripspark.functions.geo import DEGREE_KM
+from tripspark.operators import catalog, groups, lines, scan_modes
 from tripspark.plans import fixtures as fx
 from tripspark.plans.fixtures import Tables, using
-from tripspark.plans.queries import STATE_LIST, query
+from tripspark.plans.queries import STATE_LIST, areas, query
 
 #: Places in a line, tolerances, vertices of a line and bytes of a bundle in the query of curated routes.
 IN_LINE, LADDER, MOST, BYTES = 50, (500.0, 3000.0, 9000.0, 30000.0), 24, 1200
@@ -145,3 +146,16 @@ def q_audit_queue(t: Tables) -> DataFrame:
     k = F.col("s_suppkey").cast("long")
     catalog = t.supplier.filter(k % 4 != 3).select(k.alias("road_id"), (k % 4 == 2).alias("validated"))
     return groups.audit_queue(fx.conquests(t).filter("trip_id % 4 <> 0").select(F.col("place_id").alias("road_id")), catalog, t.supplier.select((k * 3).alias("road_id")))
+
+
+AREAS = "a AS (SELECT CAST(n_nationkey AS BIGINT) AS area_id, (n_nationkey * 600 - 1999870) / 1e5 AS s, (n_nationkey * 600 - 1998530) / 1e5 AS n, (n_nationkey * 4000 - 4900510) / 1e5 AS w, (n_nationkey * 4000 - 4896730) / 1e5 AS e FROM nation)"
+
+
+@query(using("trip_edges", "places", more=f"""{AREAS}, c AS (SELECT *, seq // 3 AS chunk FROM trip_edges), hit AS (SELECT DISTINCT trip_id, chunk, area_id FROM c JOIN a ON alng BETWEEN w AND e AND blat >= s AND alat <= n),
+bare AS (SELECT * FROM c ANTI JOIN hit USING (trip_id, chunk)), p AS (SELECT place_id, lat, lng, CASE feature_code WHEN 'PPLC' THEN 2.5e0 WHEN 'PPLA' THEN 1.5e0 ELSE 0.75e0 END AS radius FROM places WHERE feature_code <> 'PPLX')""")
+    + f"""SELECT DISTINCT trip_id, 'admin' AS via, area_id AS city_id FROM hit UNION ALL SELECT DISTINCT trip_id, 'place', place_id FROM bare JOIN p ON lng BETWEEN alng - 0.1 AND alng + 0.1
+WHERE {DEGREE_KM!r} * sqrt(power((lng - alng) * cos(radians(lat)), 2) + power(lat - greatest(alat, least(blat, lat)), 2)) <= radius""")
+def q_scan_outlines(t: Tables) -> DataFrame:
+    """Municipalities that trips cross, and places near the chunks that meet none."""
+    kind = F.when(F.col("feature_code") == "PPLC", "city").when(F.col("feature_code") == "PPLA", "town").when(F.col("feature_code") == "PPL", "village")
+    return scan_modes.scan_outlines(fx.trip_edges(t).withColumn("chunk", F.floor(F.col("seq") / 3)), areas(t), fx.places(t).withColumn("kind", kind))
