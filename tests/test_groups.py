@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tripspark.operators import groups, marts
+from tripspark.operators.sync import route_signature
 
 
 def test_positions_of_one_large_group(spark):
@@ -65,3 +66,11 @@ def test_queue(spark):
     catalog = spark.createDataFrame([(1, True), (2, False), (3, None), (3, True), (9, True)], "road_id int, validated boolean")
     got = groups.audit_queue(one(1, 2, 2, 3, 4), catalog, one(1, 2, 9, 8)).collect()
     assert sorted(tuple(r) for r in got) == [(1, "dropped", "complete"), (2, "kept", "pending"), (4, "added", "pending"), (8, "dropped", "orphan"), (9, "dropped", "orphan")]
+
+
+def test_signature_of_points(spark):
+    t = spark.createDataFrame([(1, "ab", [1], [1, 2]), (2, None, [1], [1, 2]), (3, None, None, [1, 2]), (4, None, None, [1, 3]), (5, None, None, None)], "id int, line string, coords array<int>, points array<int>")
+    shape = lambda *more: [r[0] for r in t.orderBy("id").select(route_signature("v2", F.col("line"), F.col("coords"), [F.lit("")], *more)).collect()]
+    with_points, without = shape(F.col("points")), shape()
+    assert [x.split("|")[1].rsplit(":", 1)[0] for x in with_points] == ["poly:2", "geo:1", "pts:2", "pts:2", "none"] and len(set(with_points)) == 5
+    assert without[:2] == with_points[:2] and [x.split("|")[1] for x in without[2:]] == ["none"] * 3

@@ -18,7 +18,8 @@ INTERSTATE, REGIONAL = "INTERSTATE", "REGIONAL"
 
 
 def positions(rows: DataFrame, by: list[str], order: list[str], name: str = "pos") -> DataFrame:
-    """rows with each one's place (1, 2, ...) in its group, ascending, nulls first; rows of equal order are placed in any order.
+    """rows with each one's place (1, 2, ...) in its group, ascending, nulls first; rows of equal order are placed in any order and
+    share a range, so an order that ends in a unique column is cut best.
 
     A group may hold any share of the rows: they are cut into ranges of the order, numbered in each, and begin after what the ranges
     before hold of their group. The ranges are written once, so that a lost executor leaves all numbers as they are."""

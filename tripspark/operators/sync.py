@@ -41,12 +41,13 @@ def strip_for_cloud(trips: DataFrame, id_col: str = "id", trip_id_col: str = "tr
     return trips.select(F.coalesce(F.nullif(own, F.lit("")), F.col(trip_id_col).cast("string")).alias(id_col), *columns)
 
 
-def route_signature(schema: str, polyline: Column, coordinates: Column, updated: list[Column]) -> Column:
+def route_signature(schema: str, polyline: Column, coordinates: Column, updated: list[Column], points: Column | None = None) -> Column:
     """schema, geometry and time of the last update, joined by bars: equal signatures mean that a trip need not be scanned again.
 
-    The geometry is told by its encoded line, else by its coordinates, else as none; a time is the first that is not empty."""
+    The geometry is told by its encoded line, else by its coordinates, else by the trip's own points, if given, else as none; a time is the first that is not empty."""
     shape = F.when(polyline.isNotNull(), F.concat(F.lit("poly:"), F.length(polyline).cast("string"), F.lit(":"), F.sha2(polyline, 256)))
-    shape = F.coalesce(shape, F.concat(F.lit("geo:"), F.size(coordinates).cast("string"), F.lit(":"), F.sha2(F.to_json(coordinates), 256)), F.lit("none"))
+    own = F.lit(None).cast("string") if points is None else F.concat(F.lit("pts:"), F.size(points).cast("string"), F.lit(":"), F.sha2(F.to_json(points), 256))
+    shape = F.coalesce(shape, F.concat(F.lit("geo:"), F.size(coordinates).cast("string"), F.lit(":"), F.sha2(F.to_json(coordinates), 256)), own, F.lit("none"))
     return F.concat_ws("|", F.lit(schema), shape, F.coalesce(*[F.nullif(c.cast("string"), F.lit("")) for c in updated], F.lit("")))
 
 
