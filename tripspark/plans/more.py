@@ -73,9 +73,8 @@ def q_iconic_groups(t):
 @query(using("trip_edges", "places") + """SELECT DISTINCT trip_id, place_id FROM trip_edges JOIN places ON place_id % 97 = trip_id % 97
 WHERE sqrt(power((lng - alng) * 111.32 * greatest(0.01, cos(radians(lat))), 2) + power((lat - greatest(alat, least(blat, lat))) * 111.32, 2)) <= 3""")
 def q_route_passes(t):
-    e = fx.trip_edges(t)
-    own = e.select("trip_id").distinct().join(fx.places(t), F.expr("place_id % 97 = trip_id % 97")).select("trip_id", "place_id", "lat", "lng")
-    return places.route_passes(e, own)
+    e, p = fx.trip_edges(t).withColumn("of", F.col("trip_id") % 97), fx.places(t).withColumn("of", F.col("place_id") % 97)
+    return places.route_passes(e, p, on="of")
 
 
 @query(using("road_vertices") + f"SELECT road_id, count(*) AS n_points, round({MERIDIAN.format('max(lat) - min(lat)')}, 5) AS km FROM (SELECT road_id, lat FROM road_vertices WHERE seq IN (0, 10, 20) UNION ALL SELECT road_id, NULL FROM road_vertices, unnest(range(0, 158)) WHERE seq = 0) GROUP BY ALL")
