@@ -68,9 +68,11 @@ def line_metrics(vertices: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("n_points"), F.sum("step_").alias("km"), F.min("lat").alias("s"), F.min("lng").alias("w"), F.max("lat").alias("n"), F.max("lng").alias("e"))
 
 
-def clean_points(vertices: DataFrame, by: list[str]) -> DataFrame:
-    """by, seq, lat, lng: points in range that differ from the point before; lines of fewer than two are left out. seq is numbered anew."""
-    v = vertices.filter(F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180))
+def clean_points(vertices: DataFrame, by: list[str], unwrapped: bool = False) -> DataFrame:
+    """by, seq, lat, lng: points in range that differ from the point before; lines of fewer than two are left out. seq is numbered anew.
+
+    unwrapped: longitudes go on past 180 degrees, so any of them is in range."""
+    v = vertices.filter(F.col("lat").between(-90, 90) & (F.col("lng").isNotNull() if unwrapped else F.col("lng").between(-180, 180)))
     w = Window.partitionBy(*by).orderBy("seq")
     same = (F.abs(F.col("lat") - F.lag("lat").over(w)) < 1e-7) & (F.abs(F.col("lng") - F.lag("lng").over(w)) < 1e-7)
     v = v.withColumn("same_", F.coalesce(same, F.lit(False))).filter(~F.col("same_")).drop("same_")
