@@ -75,13 +75,15 @@ def points_in_rings(points: DataFrame, rings: DataFrame, cell: float = CELL_DEG)
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = CELL_DEG) -> DataFrame:
     """point_id, priority, code: the boxes (priority, code, s, open, n, w, e) that hold each point, borders included; where open,
-    the southern border is not."""
+    the southern border is not. A side (w, e) that is null has no end, so any longitude that way is inside."""
     reach = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
-    cells = boxes.withColumn("cx", reach("w", "e")).withColumn("cy", reach("s", "n"))
+    cells = boxes.filter("w is not null and e is not null").withColumn("cx", reach("w", "e")).withColumn("cy", reach("s", "n"))
+    rows = boxes.filter("w is null or e is null").withColumn("cy", reach("s", "n"))
     placed = points.select("point_id", "lat", "lng", F.floor(F.col("lng") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
     inside = (F.col("lat") > F.col("s")) | ~F.col("open") & (F.col("lat") == F.col("s"))
-    hit = placed.join(small(cells), ["cx", "cy"]).filter(inside & (F.col("lat") <= F.col("n")) & F.col("lng").between(F.col("w"), F.col("e")))
-    return hit.select("point_id", "priority", "code").distinct()
+    inside = inside & (F.col("lat") <= F.col("n")) & (F.col("w").isNull() | (F.col("lng") >= F.col("w"))) & (F.col("e").isNull() | (F.col("lng") <= F.col("e")))
+    found = [placed.join(small(c), on).filter(inside & F.col("lng").isNotNull()).select("point_id", "priority", "code") for c, on in ((cells, ["cx", "cy"]), (rows, ["cy"]))]
+    return found[0].union(found[1]).distinct()
 
 
 def outline_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

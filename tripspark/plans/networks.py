@@ -119,8 +119,8 @@ def q_route_medals(t: Tables) -> DataFrame:
     return m.select("user_id", "route_id", F.round("percent", 4).alias("percent"), F.round("alternative_percent", 4).alias("alternative_percent"), km6("longest_km"), "discovered", "medal")
 
 
-#: Two regions that roads pass, besides their own country.
-REGIONS = [(1, "AR", -30.0, False, 0.0, -48.9, 0.0), (2, "UY", -19.9, False, 0.0, -60.0, 0.0)]
+#: Two regions that roads pass, besides their own country; eastwards they have no end, as each road lies east of the one before.
+REGIONS = [(1, "AR", -30.0, False, 0.0, -48.9, None), (2, "UY", -19.9, False, 0.0, -60.0, None)]
 SCAN = f"""v AS (SELECT trip_id, alat AS lat, alng AS lng FROM trip_edges UNION SELECT trip_id, blat, blng FROM trip_edges), own AS (SELECT DISTINCT trip_id, user_id FROM trip_edges WHERE trip_id % 10 > 0),
 said AS (SELECT trip_id, CASE user_id % 4 WHEN 0 THEN 'BR' WHEN 1 THEN 'AR' ELSE 'US' END AS code FROM own WHERE user_id % 4 <> 2),
 passed AS (SELECT DISTINCT trip_id, CASE WHEN lng >= -48.9 THEN 'AR' ELSE 'UY' END AS code FROM v WHERE lng >= -48.9 OR lat >= -19.9), code AS (SELECT * FROM said UNION SELECT * FROM passed),
