@@ -14,23 +14,18 @@ from tripspark.operators.coverage import edges
 
 
 def polyline_deltas(encoded: Column) -> Column:
-    """Signed steps of an encoded polyline, latitude and longitude in turn; null if it is cut short or has other characters."""
-    codes = F.transform(F.split(encoded, ""), lambda c: F.ascii(c) - 63)
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("value"), F.lit(0).alias("shift"))
-
-    def step(s: Column, c: Column) -> Column:
-        value = s["value"] + F.expr("0").cast("bigint") + c.bitwiseAND(31).cast("bigint") * F.pow(F.lit(2.0), s["shift"]).cast("bigint")
-        signed = F.when(value % 2 == 1, -F.floor(value / 2) - 1).otherwise(F.floor(value / 2)).cast("bigint")
-        more = c >= 32
-        return F.struct(
-            F.when(more, s["out"]).otherwise(F.concat(s["out"], F.array(signed))).alias("out"),
-            F.when(more, value).otherwise(F.lit(0).cast("bigint")).alias("value"),
-            F.when(more, s["shift"] + 5).otherwise(F.lit(0)).alias("shift"),
-        )
-
-    done = F.aggregate(F.filter(codes, lambda c: c.isNotNull()), start, step)
-    good = (done["shift"] == 0) & (F.size(done["out"]) % 2 == 0) & ~F.exists(codes, lambda c: (c < 0) | (c > 63))
-    return F.when(good & (F.length(encoded) > 0), done["out"])
+    """Signed steps of an encoded polyline, latitude and longitude in turn; null if it is cut short or has other characters.
+
+    The characters of each step are cut out first, so a line costs as much as its length, whatever that is."""
+    steps = F.regexp_extract_all(encoded, F.lit(r"[_-~]*[?-^]"), F.lit(0))
+
+    def value(step: Column) -> Column:
+        digits = F.transform(F.split(step, ""), lambda c: F.ascii(c) - 63)
+        places = F.transform(F.filter(digits, lambda d: d >= 0), lambda d, i: F.when(i < 13, d.bitwiseAND(31).cast("bigint") * F.pow(F.lit(32.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        return F.aggregate(places, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+    signed = F.transform(F.transform(steps, value), lambda v: F.when(v % 2 == 1, -F.floor(v / 2) - 1).otherwise(F.floor(v / 2)).cast("bigint"))
+    return F.when(encoded.rlike(r"\A[?-~]*[?-^]\z") & (F.size(steps) % 2 == 0), signed)
 
 
 def decode_lines(lines: DataFrame, by: list[str], encoded: str = "encoded", precision: int = 5) -> DataFrame:
