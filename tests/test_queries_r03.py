@@ -45,3 +45,19 @@ def test_every_user_has_every_route(spark):
     got = plans.QUERIES["q_route_achievement"](spark, sf)
     users = duckdb.sql(f"SELECT count(DISTINCT o_custkey) FROM '{sf}/orders.parquet' WHERE substr(o_orderpriority, 1, 1) < '4'").fetchone()[0]
     assert got.count() == users * spark.read.parquet(f"{sf}/supplier.parquet").count()
+
+
+def test_weights_are_plain_roots():
+    import math
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    for _ in range(200):
+        lat, lng = np.array([rng.uniform(-21, -19) for _ in range(3)]), np.array([rng.uniform(0, 120) for _ in range(3)])
+        c = math.cos(math.radians((0.0 + lat[0] + lat[1] + lat[2]) / 3))
+        x, y = [v * 111320.0 * c for v in lng.tolist()], [v * 110540.0 for v in lat.tolist()]
+        dx, dy, px, py = x[2] - x[0], y[2] - y[0], x[1] - x[0], y[1] - y[0]
+        t = max(0.0, min(1.0, (px * dx + py * dy) / (dx * dx + dy * dy)))
+        assert lines._weights(lat, lng, 0.0)[1] == math.sqrt((px - t * dx) ** 2 + (py - t * dy) ** 2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,7 +130,8 @@ def _weights(lat: np.ndarray, lng: np.ndarray, least_m: float) -> np.ndarray:
     """For each vertex the metres below which, as a tolerance, Ramer-Douglas-Peucker keeps it, in one plane for the whole line (at its
     mean latitude): where a piece is split does not depend on the tolerance, so a vertex stays as long as it and all splits above it
     are farther out. Both ends are endless; vertices that least_m drops have 0."""
-    x, y = lng * 111320.0 * np.cos(np.radians(lat.mean())), lat * 110540.0
+    # plain sums and roots, as SQL has them: vertices at equal distances must not be told apart by the last bit
+    x, y = lng * 111320.0 * math.cos(math.radians(float(np.cumsum(lat)[-1]) / len(lat))), lat * 110540.0
     weight = np.zeros(len(lat))
     weight[[0, -1]] = np.inf
     todo = [(0, len(lat) - 1, np.inf)]
@@ -140,7 +142,7 @@ def _weights(lat: np.ndarray, lng: np.ndarray, least_m: float) -> np.ndarray:
         dx, dy, px, py = x[b] - x[a], y[b] - y[a], x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
         length = dx * dx + dy * dy
         t = np.clip((px * dx + py * dy) / length, 0, 1) if length > 0 else np.zeros(b - a - 1)
-        d = np.hypot(px - t * dx, py - t * dy)
+        d = np.sqrt((px - t * dx) ** 2 + (py - t * dy) ** 2)
         at = int(d.argmax())
         own = min(bound, float(d[at]))
         if own > least_m:
