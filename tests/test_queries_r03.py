@@ -61,3 +61,11 @@ def test_weights_are_plain_roots():
         dx, dy, px, py = x[2] - x[0], y[2] - y[0], x[1] - x[0], y[1] - y[0]
         t = max(0.0, min(1.0, (px * dx + py * dy) / (dx * dx + dy * dy)))
         assert lines._weights(lat, lng, 0.0)[1] == math.sqrt((px - t * dx) ** 2 + (py - t * dy) ** 2)
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    from tripspark.operators import sizes
+
+    df = spark.range(100)
+    assert sizes.dealt(df, 250_000 * 50, "id").rdd.getNumPartitions() == 50
+    assert sizes.dealt(df, 1, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
