@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripspark.functions.text import fuzzy_score, plain
+from tripspark.operators.sizes import dealt
 
 #: Neighbouring countries, which come before others.
 NEARBY = ["AR", "UY", "PY", "BO", "CL", "PE", "CO", "EC", "VE"]
@@ -38,13 +39,16 @@ def match_places(queries: DataFrame, places: DataFrame, local: int = 8, most: in
     return s.withColumn("pos", F.row_number().over(own.orderBy(*order))).filter(F.col("pos") <= most).select("query_id", "place_id", "score", "pos")
 
 
-def merge_results(cities: DataFrame, pois: DataFrame, most: int = 12) -> DataFrame:
+def merge_results(cities: DataFrame, pois: DataFrame, most: int = 12, rows: int | None = None) -> DataFrame:
     """query_id, kind, item_id, pos: exact cities, then points of interest that match exactly or by category, then other cities
-    and other points. cities, pois: query_id, item_id, score; pois also category_hit."""
+    and other points. cities, pois: query_id, item_id, score; pois also category_hit. rows: about how many there are, where it is known:
+    they are then dealt so that no task's share grows with them."""
     c = cities.select("query_id", F.lit("city").alias("kind"), "item_id", "score", F.when(F.col("score") == 0, 0).otherwise(2).alias("rank_"))
     p = pois.select("query_id", F.lit("poi").alias("kind"), "item_id", "score", F.when(F.col("category_hit") | (F.col("score") == 0), 1).otherwise(3).alias("rank_"))
     w = Window.partitionBy("query_id").orderBy("rank_", "score", "kind", "item_id")
-    return c.union(p).distinct().withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= most).select("query_id", "kind", "item_id", "pos")
+    both = c.union(p)
+    both = both if rows is None else dealt(both, rows, "query_id")
+    return both.distinct().withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= most).select("query_id", "kind", "item_id", "pos")
 
 
 def _pieces(name: str) -> Column:
