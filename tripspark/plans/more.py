@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tripspark.functions import display as D
 from tripspark.operators import coverage as cov
 from tripspark.operators import graph, lines, marts, match, places, roads, sync
+from tripspark.operators.sizes import dealt
 from tripspark.plans import fixtures as fx
 from tripspark.plans.fixtures import using
 from tripspark.plans.queries import HITS, MERIDIAN, big, covered, km6, query
@@ -54,10 +55,10 @@ def q_merge_segments(t):
 b AS (SELECT query_id, 'city' AS kind, item_id, score, CASE WHEN score = 0 THEN 0 ELSE 2 END AS r FROM c UNION ALL SELECT query_id, 'poi', item_id, score, CASE WHEN score = 0 OR item_id % 7 = 0 THEN 1 ELSE 3 END FROM p)
 SELECT query_id, kind, item_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r, score, kind, item_id) AS pos FROM b) WHERE pos <= 12""")
 def q_merge_results(t):
-    c = fx.conquests(t).select(F.col("user_id").alias("query_id"), F.col("place_id").alias("item_id")).distinct()
+    c = fx.conquests(t).select(F.col("user_id").alias("query_id"), F.col("place_id").alias("item_id"))
     cities = c.filter("item_id % 2 = 0").withColumn("score", (F.col("item_id") % 4).cast("double"))
     pois = c.filter("item_id % 2 = 1").withColumn("score", (F.col("item_id") % 5).cast("double")).withColumn("category_hit", F.col("item_id") % 7 == 0)
-    return match.merge_results(cities, pois).select("query_id", "kind", "item_id", *big("pos"))
+    return match.merge_results(cities, pois, rows=t.lineitem.count()).select("query_id", "kind", "item_id", *big("pos"))
 
 
 @query("""SELECT kind, group_key, n_routes, row_number() OVER (PARTITION BY kind ORDER BY n_routes DESC, group_key) AS pos FROM (
@@ -80,6 +81,7 @@ def q_route_passes(t):
 @query(using("road_vertices") + f"SELECT road_id, count(*) AS n_points, round({MERIDIAN.format('max(lat) - min(lat)')}, 5) AS km FROM (SELECT road_id, lat FROM road_vertices WHERE seq IN (0, 10, 20) UNION ALL SELECT road_id, NULL FROM road_vertices, unnest(range(0, 158)) WHERE seq = 0) GROUP BY ALL")
 def q_great_circle(t):
     stops = fx.road_vertices(t).filter("seq % 10 = 0").withColumn("seq", (F.col("seq") / 10).cast("int"))
+    stops = dealt(stops, 2 * 81 * t.supplier.count(), "road_id")  # a row becomes 81 where it lies
     m = lines.line_metrics(lines.great_circle_route(stops, ["road_id"]), ["road_id"])
     return m.select("road_id", *big("n_points"), F.round("km", 5).alias("km"))
 
