@@ -69,3 +69,12 @@ def test_rows_are_dealt_by_their_number(spark):
     df = spark.range(100)
     assert sizes.dealt(df, 250_000 * 50, "id").rdd.getNumPartitions() == 50
     assert sizes.dealt(df, 1, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_labels_are_parsed_once(spark):
+    from tripspark.operators import roads
+
+    r = spark.range(50).select((F.col("id") % 9).alias("user_id"), F.concat(F.lit("BR-"), (F.col("id") % 4).cast("string")).alias("label"), F.lit(1).alias("first_at"))
+    out = roads.rank_road_achievements(r)
+    logical = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in logical and out.count() == 50

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripspark.functions.text import key, parse_road_code
+from tripspark.operators.rounds import Rounds
+from tripspark.operators.sizes import small
 
 
 def road_groups(steps: DataFrame, max_gap_km: float = 20.0, min_km: float = 20.0) -> DataFrame:
@@ -86,8 +88,10 @@ def route_summary(steps: DataFrame, most: int = 4) -> DataFrame:
 def rank_road_achievements(roads: DataFrame) -> DataFrame:
     """user_id, label, tier, state, pos: federal roads by number, then states by how many roads they have, name and number,
     then roads abroad in the order of their first conquest. roads: user_id, label, first_at."""
-    p = parse_road_code(F.col("label"))
-    r = roads.withColumn("tier", F.when(p["international"], 3).when(p["federal"], 1).otherwise(2))
+    # a label's parts are worked out once, not for each user that has it
+    p, parsed = F.col("p_"), roads.select("label").distinct().withColumn("p_", parse_road_code(F.col("label")))
+    parsed = Rounds(roads.sparkSession, "labels").write("labels", parsed)
+    r = roads.join(small(parsed), "label", "left").withColumn("tier", F.when(p["international"], 3).when(p["federal"], 1).otherwise(2))
     r = r.withColumn("state", F.when(F.col("tier") == 3, "").when(F.col("tier") == 1, "BR").otherwise(F.coalesce(p["parent_state"], F.substring_index(F.upper("label"), "-", 1))))
     r = r.withColumn("number", F.coalesce(F.regexp_extract(F.coalesce(p["number"], "label"), r"\d{1,4}", 0).try_cast("int"), F.lit(0)))
     r = r.withColumn("n_state", F.when(F.col("tier") == 2, F.count("*").over(Window.partitionBy("user_id", "tier", "state"))).otherwise(0))
