@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tripspark.functions import text as X
 from tripspark.functions.geo import DEGREE_KM
 from tripspark.operators import catalog, groups, lines, scan_modes
+from tripspark.operators.sizes import dealt
 from tripspark.plans import fixtures as fx
 from tripspark.plans.fixtures import Tables, using
 from tripspark.plans.queries import STATE_LIST, areas, query
@@ -122,12 +123,13 @@ o AS (SELECT trip_id, place_id % 50 AS c, min(place_id) AS p FROM conquests GROU
 SELECT user_id, item_key, CASE WHEN f[3] % 3 > 0 THEN CAST(f[3] AS DOUBLE) ELSE p / 4e0 END AS lat, CAST(f[3] AS DOUBLE) / 2 AS lng, f[2] AS trip_id, 'Trip ' || f[2] AS trip_name FROM w JOIN o ON o.trip_id = f[2] AND c = f[3] % 50""")
 def q_city_snapshot(t: Tables) -> DataFrame:
     """First conquests of cities, a third of which take their latitude from a place of the trip."""
-    c, p = fx.conquests(t).drop("item"), F.col("place_id")
+    n, p = t.lineitem.count(), F.col("place_id")
+    c = fx.conquests(t).drop("item")
     city = F.concat(F.lit("City "), (p % 50).cast("string"))
-    won = c.select("user_id", "trip_id", F.concat(F.lit("Trip "), F.col("trip_id").cast("string")).alias("trip_name"), "trip_date", p.alias("pos"), F.when(p % 2 == 0, city).otherwise("").alias("label"), city.alias("city"), F.when(p % 3 > 0, p.cast("double")).alias("lat"), (p / F.lit(2.0)).alias("lng"))
+    won = dealt(c, n, "user_id").select("user_id", "trip_id", F.concat(F.lit("Trip "), F.col("trip_id").cast("string")).alias("trip_name"), "trip_date", p.alias("pos"), F.when(p % 2 == 0, city).otherwise("").alias("label"), city.alias("city"), F.when(p % 3 > 0, p.cast("double")).alias("lat"), (p / F.lit(2.0)).alias("lng"))
     none = F.lit(None).cast("string")
     places = c.select("trip_id", p.alias("pos"), F.when(p % 4 == 1, F.upper(city)).alias("label"), F.when(p % 4 != 1, city).alias("city"), none.alias("region"), none.alias("country"), (p / F.lit(4.0)).alias("lat"), F.lit(0.0).alias("lng")).distinct()
-    return groups.city_snapshot(won, places, c.filter("trip_id % 7 = 0").select("user_id", "trip_id").distinct()).select("user_id", "item_key", "lat", "lng", "trip_id", "trip_name")
+    return groups.city_snapshot(won, places, dealt(c.filter("trip_id % 7 = 0").select("user_id", "trip_id"), n, "user_id").distinct()).select("user_id", "item_key", "lat", "lng", "trip_id", "trip_name")
 
 
 @query(using("conquests") + f"""SELECT user_id, count(DISTINCT CASE WHEN s_nationkey % 3 < 2 THEN place_id % 27 END) AS n_states, count(DISTINCT CASE WHEN s_nationkey % 3 > 0 THEN s_nationkey END) + max(CASE WHEN s_nationkey % 3 = 0 THEN 1 ELSE 0 END) AS n_countries FROM conquests JOIN supplier ON s_suppkey = place_id GROUP BY ALL""")
