@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tripspark.functions.text import PARENT_STATE, STATES, key, plain
 from tripspark.operators.marts import city_group, family_priority, numbers_in_order
+from tripspark.operators.rounds import Rounds
+from tripspark.operators.sizes import dealt
 from tripspark.sources.shared import new_path
 
 # Names that make a route's region foreign, without accents.
@@ -62,11 +64,15 @@ def group_routes(routes: DataFrame) -> DataFrame:
 
     Routes of the kind state are grouped by their one state, INTERSTATE if they have several, REGIONAL if none; the other kinds are one
     group. Groups come by size, largest first, then by name; routes by family, name with numbers by value, name, id."""
+    # the rules are worked out once, spread over all cores: a table of few bytes may come in one part
+    routes = dealt(routes, routes.count(), "route_id")
     r = routes.withColumns({"kind": route_kind(*[F.col(c) for c in ("road_refs", "region", "category")]), "states_": route_states(F.col("road_refs"), F.col("region"))})
+    r = Rounds(routes.sparkSession, "routes").write("routes", r.select("route_id", "name", "family", "category", "kind", "states_"))
     own = F.when(F.size("states_") == 1, F.col("states_")[0]).when(F.size("states_") > 1, INTERSTATE).otherwise(REGIONAL)
     r = r.select("route_id", "kind", F.when(F.col("kind") == "state", own).otherwise(F.upper("kind")).alias("group_key"),
                  family_priority(F.col("name"), F.col("family"), F.col("category")).alias("priority"), numbers_in_order(F.col("name")).alias("sorted"), "name")
     names = F.create_map(*[F.lit(x) for s in STATES.items() for x in s], F.lit(INTERSTATE), F.lit("Interestaduais"), F.lit(REGIONAL), F.lit("Regionais"))
+    r = Rounds(routes.sparkSession, "sorted").write("sorted", r)
     placed = positions(r, ["kind", "group_key"], ["priority", "sorted", "name", "route_id"])
     size = placed.groupBy("kind", "group_key").agg(F.count("*").alias("n_"))  # 31 rows at most
     size = size.withColumn("group_pos", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n_"), plain(F.coalesce(F.element_at(names, F.col("group_key")), F.col("group_key"))), "group_key")))
