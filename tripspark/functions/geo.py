@@ -32,11 +32,17 @@ def bearing_difference(a: Column, b: Column) -> Column:
     return F.least(d, 180 - d)
 
 
-def point_edge_km(plat: Column, plng: Column, alat: Column, alng: Column, blat: Column, blng: Column) -> Column:
+def squeeze_at(plat: Column) -> Column:
+    """How much shorter a degree of longitude is than one of latitude, in the plane at a point."""
+    return F.greatest(F.lit(0.01), F.cos(F.radians(plat)))
+
+
+def point_edge_km(plat: Column, plng: Column, alat: Column, alng: Column, blat: Column, blng: Column, squeeze: Column | None = None) -> Column:
     """Distance from a point to an edge, in the plane at the point.
 
-    Written so that few terms stand twice: inside a join condition Spark does not share them."""
-    squeeze = F.greatest(F.lit(0.01), F.cos(F.radians(plat)))
+    Written so that few terms stand twice: inside a join condition Spark does not share them. squeeze: the point's squeeze_at where
+    it has been worked out before."""
+    squeeze = squeeze_at(plat) if squeeze is None else squeeze
     wx, wy, vx, vy = (plng - alng) * squeeze, plat - alat, (blng - alng) * squeeze, blat - alat
     along, length = wx * vx + wy * vy, vx * vx + vy * vy
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(along, length), F.lit(0.0))))

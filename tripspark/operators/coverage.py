@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripspark.functions.geo import bearing, bearing_difference, edges_meet, ends_km, haversine, point_edge_km
+from tripspark.functions.geo import bearing, bearing_difference, edges_meet, ends_km, haversine, point_edge_km, squeeze_at
 from tripspark.operators.sizes import is_small, small
 
 CELL_DEG = 0.012
@@ -31,25 +31,34 @@ def with_cells(e: DataFrame, pad_km: float, cell: float = CELL_DEG) -> DataFrame
     return e.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
 
 
-def grid_candidates(left: DataFrame, right: DataFrame, on: list[str], pad_km: float, condition: Column, how: str = "left_semi", cell: float = CELL_DEG) -> DataFrame:
+def grid_candidates(left: DataFrame, right: DataFrame, on: list[str], pad_km: float, condition: Column, how: str = "left_semi", cell: float = CELL_DEG, points: tuple[float, ...] = ()) -> DataFrame:
     """Joins edges l_* of left and r_* of right (ends, and dir for their bearing) that share a grid cell and `on`, under
-    condition. left's rows are padded; a semi join gives each left cell row at most once."""
+    condition. left's rows are padded; a semi join gives each left cell row at most once. points: places along left's edges
+    that near_and_parallel asks for. Rows of cells of an inner join are never broadcast: Spark takes them for no more than the edges."""
     own = lambda df, s: df.withColumns({**{f"{s}_{c}": F.col(c) for c in ENDS}, f"{s}_dir": bearing(*[F.col(c) for c in ENDS])})
-    l, r = with_cells(own(left, "l"), pad_km, cell).drop(*ENDS), with_cells(own(right, "r"), 0.0, cell).drop(*ENDS)
+    l, r = with_cells(with_points(own(left, "l"), points), pad_km, cell).drop(*ENDS), with_cells(own(right, "r"), 0.0, cell).drop(*ENDS)
     keys = [*on, "cx", "cy"]
     r = r.select(*keys, "r_dir", *[f"r_{c}" for c in ENDS], *([c for c in right.columns if c not in (*on, *ENDS)] if how == "inner" else []))
     match = condition
     for k in keys:
         match = match & (l[k] == r[k])
-    return l.join(r, match, how)
+    return l.hint("merge").join(r, match, how) if how == "inner" else l.join(r, match, how)
+
+
+def with_points(e: DataFrame, points: tuple[float, ...]) -> DataFrame:
+    """e with l_lat, l_lng and l_squeeze, numbered, of the points along its edges l_ (0 the start, 1 the end): what a point alone
+    tells is worked out once for each edge, and the condition of a join stays short enough to be compiled."""
+    l = [F.col(f"l_{c}") for c in ENDS]
+    at = {f"l_lat{i}": l[0] + (l[2] - l[0]) * t for i, t in enumerate(points)} | {f"l_lng{i}": l[1] + (l[3] - l[1]) * t for i, t in enumerate(points)}
+    return e.withColumns(at).withColumns({f"l_squeeze{i}": squeeze_at(F.col(f"l_lat{i}")) for i in range(len(points))}) if points else e
 
 
 def near_and_parallel(tolerance_km: float, bearing_deg: float, points: tuple[float, ...] = (0.5,)) -> Column:
-    """Points along edge l_ (0 its start, 1 its end) all within tolerance of edge r_, and the directions alike."""
-    l, r = [F.col(f"l_{c}") for c in ENDS], [F.col(f"r_{c}") for c in ENDS]
+    """Points along edge l_ (see with_points) all within tolerance of edge r_, and the directions alike."""
+    r = [F.col(f"r_{c}") for c in ENDS]
     ok = bearing_difference(F.col("l_dir"), F.col("r_dir")) <= bearing_deg
-    for t in points:
-        ok = ok & (point_edge_km(l[0] + (l[2] - l[0]) * t, l[1] + (l[3] - l[1]) * t, *r) <= tolerance_km)
+    for i in range(len(points)):
+        ok = ok & (point_edge_km(F.col(f"l_lat{i}"), F.col(f"l_lng{i}"), *r, F.col(f"l_squeeze{i}")) <= tolerance_km)
     return ok
 
 
@@ -66,33 +75,37 @@ def corridor_coverage(roads: DataFrame, trips: DataFrame, tolerance_km: float =
     trip_cells = with_cells(t, 0.0, cell)
     seen = trip_cells.select("user_id", "cx", "cy").distinct().join(road_cells, ["cx", "cy"]).select("user_id", "road_id").distinct()
     asked = e.join(seen, "road_id")
-    met = grid_candidates(asked, t, ["user_id"], tolerance_km, near_and_parallel(tolerance_km, bearing_deg, points), cell=cell)
+    met = grid_candidates(asked, t, ["user_id"], tolerance_km, near_and_parallel(tolerance_km, bearing_deg, points), cell=cell, points=points)
     met = met.select("user_id", "road_id", "line_id", "seq").distinct().withColumn("covered", F.lit(True))
     out = asked.join(met, ["user_id", "road_id", "line_id", "seq"], "left")
     return out.select("user_id", "road_id", "line_id", "seq", *ENDS, haversine(*map(F.col, ENDS)).alias("km"), F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
 def covered_edges(roads: DataFrame, trips: DataFrame, by: list[str], tolerance_km: float = 0.20, bearing_deg: float = 55.0, points: tuple[float, ...] = (0.5,), cell: float = CELL_DEG) -> DataFrame:
-    """by, road_id, line_id, seq, pos, ends, km, covered (true): the covered edges alone, by the columns `by` of trips.
+    """by, road_id, line_id, seq, pos, joined, km, covered (true): the covered edges alone, by the columns `by` of trips.
 
     Each side is dealt to cells once, whatever the number of users or trips that share a road; see corridor_coverage for the
-    rule. pos is an edge's place among its line's edges of some length."""
+    rule. pos is an edge's place among its line's edges of some length, joined whether it begins where the one before it ends. The rows
+    are dealt by `by` and road_id, so what is grouped by these or more after that is not dealt again."""
     w = Window.partitionBy("road_id", "line_id").orderBy("seq")
-    e = roads.filter(haversine(*map(F.col, ENDS)) > 1e-6).select("road_id", "line_id", "seq", *ENDS, F.row_number().over(w).alias("pos"))
-    t = trips.filter(haversine(*map(F.col, ENDS)) > 1e-6).select(*by, *ENDS)
-    met = grid_candidates(e, t, [], tolerance_km, near_and_parallel(tolerance_km, bearing_deg, points), "inner", cell)
-    met = met.select(*by, "road_id", "line_id", "seq", "pos", *[F.col(f"l_{c}").alias(c) for c in ENDS]).distinct()
-    return met.withColumn("km", haversine(*map(F.col, ENDS))).withColumn("covered", F.lit(True))
+    joined = F.coalesce((F.lag("blat").over(w) == F.col("alat")) & (F.lag("blng").over(w) == F.col("alng")), F.lit(False))
+    length = haversine(*map(F.col, ENDS))
+    e = roads.filter(length > 1e-6).select("road_id", "line_id", "seq", *ENDS, F.row_number().over(w).alias("pos"), joined.alias("joined"), length.alias("km"))
+    t = trips.filter(length > 1e-6).select(*by, *ENDS)
+    met = grid_candidates(e, t, [], tolerance_km, near_and_parallel(tolerance_km, bearing_deg, points), "inner", cell, points)
+    met = met.select(*by, "road_id", "line_id", "seq", "pos", "joined", "km").repartition(*by, "road_id")
+    return met.dropDuplicates([*by, "road_id", "line_id", "pos"]).withColumn("covered", F.lit(True))
 
 
 def covered_runs(coverage: DataFrame, by: list[str]) -> DataFrame:
     """by, run_no, first_seq, last_seq, n_edges, km: consecutive covered edges that touch, by line.
 
-    Where coverage has the covered edges alone, pos (see covered_edges) tells which are consecutive."""
+    Where coverage has the covered edges alone, pos and joined (see covered_edges) tell which are consecutive."""
     w = Window.partitionBy(*by).orderBy("seq")
-    touch = (F.lag("covered").over(w)) & (F.lag("blat").over(w) == F.col("alat")) & (F.lag("blng").over(w) == F.col("alng"))
     if "pos" in coverage.columns:
-        touch = touch & (F.lag("pos").over(w) + 1 == F.col("pos"))
+        touch = F.col("joined") & (F.lag("pos").over(w) + 1 == F.col("pos"))
+    else:
+        touch = F.lag("covered").over(w) & (F.lag("blat").over(w) == F.col("alat")) & (F.lag("blng").over(w) == F.col("alng"))
     c = coverage.withColumn("start_", F.when(F.col("covered") & ~F.coalesce(touch, F.lit(False)), 1).otherwise(0))
     c = c.withColumn("run_no", F.sum("start_").over(w)).filter("covered")
     return c.groupBy(*by, "run_no").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n_edges"), F.sum("km").alias("km"))
@@ -109,10 +122,12 @@ def road_progress(coverage: DataFrame, complete_ratio: float = 0.985) -> DataFra
 
 
 def progress_of(covered: DataFrame, roads: DataFrame, complete_ratio: float = 0.985) -> DataFrame:
-    """What road_progress gives for roads of which a user has covered some (covered_edges by user_id), with each road's sums made once."""
+    """What road_progress gives for roads of which a user has covered some (covered_edges by user_id, or their covered_runs), with each
+    road's sums made once."""
     e = roads.withColumn("km", haversine(*map(F.col, ENDS))).filter("km > 1e-6")
     totals = e.groupBy("road_id").agg(F.count("*").alias("total_edges"), F.sum("km").alias("total_km"))
-    own = covered.groupBy("user_id", "road_id").agg(F.count("*").alias("covered_edges"), F.sum("km").alias("covered_km"))
+    n = F.sum("n_edges") if "n_edges" in covered.columns else F.count("*")
+    own = covered.groupBy("user_id", "road_id").agg(n.alias("covered_edges"), F.sum("km").alias("covered_km"))
     return _shares(own.join(totals, "road_id"), complete_ratio)
 
 
