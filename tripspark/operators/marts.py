@@ -66,10 +66,11 @@ def road_report(progress: DataFrame, runs: DataFrame, cities: DataFrame, conquer
 
     longest = runs.groupBy("user_id", "road_id").agg(F.max_by(F.struct("alat", "alng", "blat", "blng"), F.struct("km", -F.col("line_id"), -F.col("run_no"))).alias("r"))
     ends = longest.select("user_id", "road_id", F.explode(F.array(F.struct(F.lit("start").alias("end"), F.col("r.alat").alias("lat"), F.col("r.alng").alias("lng")), F.struct(F.lit("end").alias("end"), F.col("r.blat").alias("lat"), F.col("r.blng").alias("lng")))).alias("p"))
-    ends = ends.select(F.struct("user_id", "road_id", "p.end").alias("point_id"), "p.lat", "p.lng")
-    near = nearest(ends, cities, 35.0)
-    near = near.groupBy(F.col("point_id.user_id").alias("user_id"), F.col("point_id.road_id").alias("road_id")).agg(
-        F.max(F.when(F.col("point_id.end") == "start", F.col("place_id"))).alias("start_place"), F.max(F.when(F.col("point_id.end") == "end", F.col("place_id"))).alias("end_place"))
+    ends = ends.select("user_id", "road_id", "p.*")
+    # many runs begin or end at the same place: each is looked for once
+    spot = nearest(ends.select(F.struct("lat", "lng").alias("point_id"), "lat", "lng").dropDuplicates(["lat", "lng"]), cities, 35.0).filter("place_id is not null")
+    near = ends.join(spot.select("point_id.*", "place_id"), ["lat", "lng"]).groupBy("user_id", "road_id").agg(
+        F.max(F.when(F.col("end") == "start", F.col("place_id"))).alias("start_place"), F.max(F.when(F.col("end") == "end", F.col("place_id"))).alias("end_place"))
     return conquered.join(progress, ["user_id", "road_id"], "left").join(near, ["user_id", "road_id"], "left").select("user_id", "road_id", "traveled_km", "total_km", "percent", "start_place", "end_place")
 
 

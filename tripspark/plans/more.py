@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tripspark.functions import display as D
 from tripspark.operators import coverage as cov
 from tripspark.operators import graph, lines, marts, match, places, roads, sync
+from tripspark.operators.rounds import Rounds
 from tripspark.operators.sizes import dealt
 from tripspark.plans import fixtures as fx
 from tripspark.plans.fixtures import using
@@ -98,9 +99,9 @@ c AS (SELECT DISTINCT user_id, place_id AS road_id FROM conquests), tot AS (SELE
 SELECT user_id, road_id, round(tot.n * {MERIDIAN.format('0.009')}, 4) AS traveled_km, CAST(round(tot.n * 5.0, 4) AS DOUBLE) AS percent, best.n IS NOT NULL AS has_run FROM c LEFT JOIN tot USING (user_id, road_id) LEFT JOIN best USING (user_id, road_id)""")
 def q_road_report_all(t):
     """The report of all users."""
-    coverage = covered(t)
-    p = cov.progress_of(coverage, fx.road_edges(t))
-    runs = cov.covered_runs(coverage, ["user_id", "road_id", "line_id"])
+    # written once, as progress and the ends of runs both come from it
+    runs = Rounds(t.spark, "report").write("runs", cov.covered_runs(covered(t), ["user_id", "road_id", "line_id"]))
+    p = cov.progress_of(runs, fx.road_edges(t))
     e = fx.road_edges(t)
     first, last = e.select("road_id", "line_id", F.col("seq").alias("first_seq"), "alat", "alng"), e.select("road_id", "line_id", F.col("seq").alias("last_seq"), "blat", "blng")
     runs = runs.join(first, ["road_id", "line_id", "first_seq"]).join(last, ["road_id", "line_id", "last_seq"])
