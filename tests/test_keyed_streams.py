@@ -169,3 +169,12 @@ def test_stream_of_first_conquests(spark, tmp_path):
     got = {(r["user_id"], r["item_key"]): (r["trip_date"], r["trip_id"]) for r in kt.read_table(spark, path).collect()}
     mart = {(r["user_id"], r["item_key"]): (r["trip_date"], r["trip_id"]) for r in first_of_changes(spark.createDataFrame(rows, CHANGE), ["user_id", "item_key"]).collect()}
     assert got == mart == plain_first([r for r in rows if r[2] is not None]) and len(got) == 9
+
+
+def test_a_buckets_rows_are_several_tasks_work(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(kt, "PART_ROWS", 50)
+    path = str(tmp_path / "t")
+    for k in range(2):
+        now = kt.merge_batch(batch(spark, [(i, f"v{k}", k) for i in range(400)]), path, ["id"], buckets=2)
+    files = [len(list((tmp_path / "t" / f).glob("*.parquet"))) for f in now.folders.values()]
+    assert len(files) == 2 and min(files) > 1 and content(spark, path) == {i: ("v1", 1) for i in range(400)}

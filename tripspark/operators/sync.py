@@ -126,10 +126,12 @@ def verify_remote(local: DataFrame, remote: DataFrame, keys: list[str], by: list
     return j.groupBy(*by).agg(F.count("*").alias("n_local"), F.count_if(live).alias("n_live"), F.count_if(equal).alias("n_equal"), F.bool_and(equal).alias("verified"))
 
 
-def upsert(table: DataFrame, changes: DataFrame, keys: list[str], at: str = "updated_at") -> DataFrame:
-    """table after changes: the later row of each key stays, on a tie the change; of several changes to a key the last."""
+def upsert(table: DataFrame, changes: DataFrame, keys: list[str], at: str = "updated_at", deal: tuple | None = None) -> DataFrame:
+    """table after changes: the later row of each key stays, on a tie the change; of several changes to a key the last. deal: a number of
+    partitions and some of the keys, by which rows are dealt to them."""
     w = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc("new_"))
     both = table.withColumn("new_", F.lit(0)).unionByName(changes.select(*table.columns).withColumn("new_", F.lit(1)))
+    both = both if deal is None else both.repartition(*deal)
     return both.withColumn("n_", F.row_number().over(w)).filter("n_ = 1").drop("n_", "new_")
 
 

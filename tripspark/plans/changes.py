@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tripspark import streaming
 from tripspark.functions import regions as outlines
 from tripspark.operators import regions, review
+from tripspark.operators.sizes import PART_ROWS
 from tripspark.plans import fixtures as fx
 from tripspark.plans.fixtures import Tables, using
 from tripspark.plans.queries import MERIDIAN, km6, query
@@ -43,8 +44,9 @@ ORDER_CHANGES = "SELECT user_id, item AS item_key, trip_id, CAST(date_diff('day'
 def streamed(t: Tables, changes: DataFrame, name: str) -> tuple[DataFrame, str]:
     """changes as a stream of files, a few batches of them, and a new folder for what a stream keeps."""
     path = new_path(t.spark, name)
-    changes.repartition(6, F.xxhash64(*changes.columns)).write.parquet(f"{path}/in")
-    return streaming.read_changes(t.spark, f"{path}/in", changes.schema, 2), path
+    files = 2 * -(-t.lineitem.count() // (24 * PART_ROWS))  # of a batch, by a row or none for each line
+    changes.repartition(3 * files, F.xxhash64(*changes.columns)).write.parquet(f"{path}/in")
+    return streaming.read_changes(t.spark, f"{path}/in", changes.schema, files), path
 
 
 @query(using("conquests", more=f"c AS ({ORDER_CHANGES})") + """, l AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_key, trip_id ORDER BY updated_at DESC, deleted DESC, trip_date DESC) AS n FROM c)

@@ -8,12 +8,14 @@ also says which batch of which stream came last, so one that is run again change
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripspark.operators.sizes import PART_ROWS
 from tripspark.operators.sync import upsert
 from tripspark.sources.shared import Files
 
@@ -32,6 +34,8 @@ class Manifest(NamedTuple):
     folders: dict[str, str]
     #: The last batch of each stream.
     batches: dict[str, int]
+    #: The keys that tell a row's bucket, where that is some of them.
+    by: list[str] | None = None
 
 
 def manifest(spark: SparkSession, path: str, version: int | None = None) -> Manifest | None:
@@ -65,47 +69,61 @@ def read_table(spark: SparkSession, path: str, version: int | None = None) -> Da
     return _read(spark, path, now)
 
 
+def read_buckets_of(spark: SparkSession, path: str, rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The buckets of the table that the keys of rows fall into, whole; None for a table that does not exist."""
+    now = manifest(spark, path)
+    if now is None:
+        return None
+    only = [r["b"] for r in rows.select(bucket_of(keys, now.buckets).alias("b")).distinct().collect()]  # a number each
+    return _read(spark, path, now, only)
+
+
 def lookup(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """Rows of the keys in wanted; only their buckets are read. Types of the keys must be the table's."""
     now = manifest(spark, path)
-    buckets = [r["b"] for r in wanted.select(bucket_of(now.keys, now.buckets).alias("b")).distinct().collect()]  # a number each
+    buckets = [r["b"] for r in wanted.select(bucket_of(now.by or now.keys, now.buckets).alias("b")).distinct().collect()]  # a number each
     return _read(spark, path, now, buckets).join(wanted.select(*now.keys).distinct(), now.keys, "left_semi")
 
 
-def merge_batch(changes: DataFrame, path: str, keys: list[str], at: str = "updated_at", stream: str = "", batch: int | None = None, buckets: int = BUCKETS, gone: Column | None = None) -> Manifest:
+def merge_batch(changes: DataFrame, path: str, keys: list[str], at: str = "updated_at", stream: str = "", batch: int | None = None, buckets: int = BUCKETS, gone: Column | None = None, by: list[str] | None = None, clean: Callable[[DataFrame], DataFrame] | None = None) -> Manifest:
     """Bring the table under path up to date with changes, of which the last of each key by `at` counts; a row that is later in the
     table stays. The first batch makes the table, with `buckets` buckets and the columns of changes.
 
     stream, batch: a batch with a number at or below the stream's last is passed over. gone: rows that are left out of
-    rewritten buckets (deleted ones whose time to be kept is over). If another writer puts its manifest down first, this
+    rewritten buckets (deleted ones whose time to be kept is over); clean: what is done with rewritten buckets before that. by: keys
+    that tell the bucket, if not all of them. A large bucket is written by several tasks, so that none's share grows with the table. If another writer puts its manifest down first, this
     batch is given up with an error and leaves the table alone."""
     spark, files = changes.sparkSession, Files(changes.sparkSession, path)
     now = manifest(spark, path)
     if now is not None and batch is not None and batch <= now.batches.get(stream, -1):
         return now
     if now is None:
-        now = Manifest(-1, buckets, keys, json.dumps(changes.schema.jsonValue()), {}, {})
+        now = Manifest(-1, buckets, keys, json.dumps(changes.schema.jsonValue()), {}, {}, by)
     if keys != now.keys:
         raise ValueError(f"the table's keys are {now.keys}")
     fields = T.StructType.fromJson(json.loads(now.schema)).fields
     rows = changes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
-    own = bucket_of(keys, now.buckets)
-    touched = sorted(r["b"] for r in rows.select(own.alias("b")).distinct().collect())  # a number for each bucket
+    own = bucket_of(now.by or keys, now.buckets)
+    found = {r["b"]: r["count"] for r in rows.groupBy(own.alias("b")).count().collect()}  # a number for each bucket
+    touched = sorted(found)
     version, folders = now.version + 1, dict(now.folders)
     if touched:
-        merged = upsert(_read(spark, path, now, touched), rows, keys, at)
+        table = _read(spark, path, now, touched)
+        parts = -(-(table.count() + sum(found.values())) // (PART_ROWS * len(touched)))  # of a bucket, each a task's work
+        place = {"bucket_": own, "part_": F.pmod(F.xxhash64(F.lit("part"), *keys), F.lit(parts)).cast("int")}
+        merged = upsert(table.withColumns(place), rows.withColumns(place), [*place, *keys], at, (len(touched) * parts, *place)).drop("part_")
+        merged = merged if clean is None else clean(merged)
         if gone is not None:
             merged = merged.filter(~F.coalesce(gone, F.lit(False)))
         folder = f"data/{version:012d}"
-        spread = merged.withColumn("bucket_", own).repartition(len(touched), "bucket_")
-        spread.write.partitionBy("bucket_").mode("overwrite").parquet(f"{path}/{folder}")
+        merged.write.partitionBy("bucket_").mode("overwrite").parquet(f"{path}/{folder}")
         full = {n.removeprefix("bucket_=") for n in files.names(folder) if n.startswith("bucket_=")}
         folders |= {b: f"{folder}/bucket_={b}" for b in full}
         for b in map(str, touched):
             if b not in full:
                 folders.pop(b, None)
     batches = now.batches | ({} if batch is None else {stream: batch})
-    new = Manifest(version, now.buckets, keys, now.schema, folders, batches)
+    new = Manifest(version, now.buckets, keys, now.schema, folders, batches, now.by)
     if not files.put_new(f"manifests/{_name(version)}", json.dumps(new._asdict())):
         raise RuntimeError(f"version {version} of {path} was written by another batch")
     return new
