@@ -178,3 +178,14 @@ def test_a_buckets_rows_are_several_tasks_work(spark, tmp_path, monkeypatch):
         now = kt.merge_batch(batch(spark, [(i, f"v{k}", k) for i in range(400)]), path, ["id"], buckets=2)
     files = [len(list((tmp_path / "t" / f).glob("*.parquet"))) for f in now.folders.values()]
     assert len(files) == 2 and min(files) > 1 and content(spark, path) == {i: ("v1", 1) for i in range(400)}
+
+
+def test_first_conquests_call_no_python_for_each_key_and_forget(spark, tmp_path):
+    path, cp = str(tmp_path / "t"), str(tmp_path / "cp")
+    parts = [[(1, "x", 5, 3, 1, False), (None, "x", 5, 3, 1, False)], [(1, "x", 5, 3, 2, True), (1, "x", 6, 9, 30, False)], [(1, "x", 5, 3, 1, False)], [(1, "x", 6, 9, 31, True)]]
+    want = [{1: 5, None: 5}, {1: 6, None: 5}, {1: 5, None: 5}, {1: 5, None: 5}]
+    for part, firsts in zip(parts, want):
+        stream = streaming.stream_first_conquests(files_of(spark, tmp_path, CHANGE, [part]), path, cp, ["user_id", "item_key"], buckets=2, remembered=10).trigger(availableNow=True).start()
+        stream.awaitTermination()
+        assert stream.lastProgress is None or not stream.lastProgress["stateOperators"]
+        assert {r["user_id"]: r["trip_id"] for r in kt.read_table(spark, path).collect()} == firsts
