@@ -97,3 +97,11 @@ def test_covered_edges_agree_with_corridor_coverage(spark):
     key = ["user_id", "road_id", "line_id"]
     pick = lambda c: sorted(map(tuple, cov.covered_runs(c, key).select(*key, "first_seq", "last_seq", "n_edges").collect()))
     assert pick(full) == pick(alone) and len(pick(full)) > 3
+
+
+def test_runs_are_worked_out_once(spark):
+    own = tables(spark, {1: (0.0, 0, 20)}, {1: (0.0, 0, 10)})
+    first = review_trips(*own)
+    for r in (first, review_trips(*own, first)):
+        plans = [t._jdf.queryExecution().toString() for t in r]
+        assert not any("cx#" in p or "l_squeeze" in p for p in plans) and runs(r) == {(1, 1): (0, 9)}

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripspark.operators.coverage import ENDS, STRICT, covered_edges, covered_runs
+from tripspark.operators.rounds import Rounds
 
 #: Fixed value: kilometres of a run that count as a conquest.
 LEAST_KM = 2.0
@@ -44,11 +45,12 @@ def matched_runs(roads: DataFrame, trips: DataFrame, least_km: float = LEAST_KM)
     return runs.select("road_id", "trip_id", "line_id", "first_seq", "last_seq", "km")
 
 
-def changed(now: DataFrame, before: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def changed(now: DataFrame, before: DataFrame, key: str, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
     """Keys of now that are new or whose signature differs, and keys whose stored pairs are void (those that differ, or are gone)."""
     both = now.select(key, F.col("signature").alias("new")).join(before.select(key, F.col("signature").alias("old")), key, "full_outer")
     differs = ~F.col("new").eqNullSafe(F.col("old"))
-    return both.filter(differs & F.col("new").isNotNull()).select(key), both.filter(differs & F.col("old").isNotNull()).select(key)
+    both = rounds.write(f"changed_{key}", both.filter(differs))  # asked for several times
+    return both.filter(F.col("new").isNotNull()).select(key), both.filter(F.col("old").isNotNull()).select(key)
 
 
 def _conquests(runs: DataFrame, given: DataFrame | None) -> DataFrame:
@@ -64,18 +66,22 @@ def review_trips(roads: DataFrame, trips: DataFrame, before: Review | None = Non
 
     given: conquests (road_id, trip_id) that a trip has by itself; they stay without any run (km and n_runs null). Pairs of a
     road or trip that is gone lose their runs. The result equals a review from nothing; before must have been made with the
-    same least_km. Ids must be known; edges of no length are ignored."""
-    road_signs, trip_signs = signatures(roads, "road_id", ["line_id", "seq"]), signatures(trips, "trip_id", ["seq"])
+    same least_km. Ids must be known; edges of no length are ignored.
+
+    Runs and signatures are written as they are found, so that each is worked out once, whatever is then read of the review."""
+    rounds = Rounds(roads.sparkSession, "review")
+    road_signs = rounds.write("roads", signatures(roads, "road_id", ["line_id", "seq"]))
+    trip_signs = rounds.write("trips", signatures(trips, "trip_id", ["seq"]))
     if before is None:
-        runs = matched_runs(roads, trips, least_km)
+        runs = rounds.write("runs", matched_runs(roads, trips, least_km))
         conquests = _conquests(runs, given)
         return Review(runs, conquests, conquests, road_signs, trip_signs)
-    new_roads, void_roads = changed(road_signs, before.roads, "road_id")
-    new_trips, void_trips = changed(trip_signs, before.trips, "trip_id")
+    new_roads, void_roads = changed(road_signs, before.roads, "road_id", rounds)
+    new_trips, void_trips = changed(trip_signs, before.trips, "trip_id", rounds)
     stay = before.runs.join(void_roads, "road_id", "left_anti").join(void_trips, "trip_id", "left_anti")
     by_road = matched_runs(roads.join(new_roads, "road_id", "left_semi"), trips, least_km)
     by_trip = matched_runs(roads.join(new_roads, "road_id", "left_anti"), trips.join(new_trips, "trip_id", "left_semi"), least_km)
-    runs = stay.unionByName(by_road).unionByName(by_trip)
+    runs = rounds.write("runs", stay.unionByName(by_road).unionByName(by_trip))
     conquests = _conquests(runs, given)
     return Review(runs, conquests, conquests.join(before.conquests, ["road_id", "trip_id"], "left_anti"), road_signs, trip_signs)
 
