@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from tripspark.functions.geo import haversine
-from tripspark.operators import coverage, places
+from tripspark.operators import coverage, places, scan
 
 
 def plan(df):
@@ -63,3 +63,11 @@ def test_the_strict_match_is_compiled(spark, capsys):
         assert len(sizes) > 2 and max(sizes) < 8000 and "BroadcastHashJoin" not in plan(got) and got.count() == 9
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_a_places_squeeze_is_worked_out_before_its_pairs(spark):
+    v = spark.createDataFrame([(1, 0, -20.0, -49.0), (1, 1, -20.01, -49.0)], "trip_id long, seq int, lat double, lng double")
+    said = spark.createDataFrame([(1, "BR", True, 0)], "trip_id long, code string, said boolean, pos int")
+    towns = spark.createDataFrame([(7, -20.0, -49.01, "BR", False, 5, "PPL"), (8, -21.0, -49.0, "BR", False, 5, "PPL")], "place_id long, lat double, lng double, country_code string, capital boolean, population long, feature_code string")
+    found, _ = scan.scan_cities(spark.createDataFrame([(1, "carro")], "trip_id long, mode string"), v, said, towns)
+    assert "squeeze" in plan(found) and [(r["place_id"], r["ord"]) for r in found.collect()] == [(7, 1)]

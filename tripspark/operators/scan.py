@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripspark.functions.geo import point_edge_km
+from tripspark.functions.geo import point_edge_km, squeeze_at
 from tripspark.operators.coverage import ENDS, edges
 from tripspark.operators.places import PLACE_CELL_DEG, _around, _cells, radius_km
 from tripspark.operators.regions import point_region
@@ -60,12 +60,12 @@ def scan_cities(trips: DataFrame, vertices: DataFrame, countries: DataFrame, pla
     asked = _asked(road, countries, known)
     few = F.broadcast(asked.select("country_code").distinct())  # at most the known countries and Brazil
     near = places.filter("lat is not null and lng is not null").join(few, "country_code", "left_semi")
-    near = near.select("place_id", "country_code", "lat", "lng", catalog_radius_km(*[F.col(c) for c in ("country_code", "capital", "population", "feature_code")]).alias("radius_km"))
+    near = near.select("place_id", "country_code", "lat", "lng", catalog_radius_km(*[F.col(c) for c in ("country_code", "capital", "population", "feature_code")]).alias("radius_km"), squeeze_at(F.col("lat")).alias("squeeze"))  # once for each place
     e = edges(vertices, ["trip_id"]).join(road.select("trip_id", "s", "n_", "w", "e"), "trip_id").join(asked.select("trip_id", "country_code", "pos"), "trip_id")
     e = _cells(e, F.least("alat", "blat"), F.greatest("alat", "blat"), F.least("alng", "blng"), F.greatest("alng", "blng"), cell)
     j = e.join(_around(near, F.col("radius_km"), cell), ["country_code", "cx", "cy"])
     inside = F.col("lat").between(F.col("s") - PAD_DEG, F.col("n_") + PAD_DEG) & F.col("lng").between(F.col("w") - PAD_DEG, F.col("e") + PAD_DEG)
-    km = point_edge_km(F.col("lat"), F.col("lng"), *[F.col(c) for c in ENDS])
+    km = point_edge_km(F.col("lat"), F.col("lng"), *[F.col(c) for c in ENDS], F.col("squeeze"))
     met = j.filter(inside).withColumn("km", km).filter("km <= radius_km").groupBy("trip_id", "place_id").agg(F.min("km").alias("km"), F.min("pos").alias("pos"))
     found = met.select("trip_id", "place_id", F.row_number().over(Window.partitionBy("trip_id").orderBy("pos", "place_id")).alias("ord"), "km")
     there = F.broadcast(places.join(few, "country_code", "left_semi").select("country_code").distinct().withColumn("there", F.lit(True)))  # as few
