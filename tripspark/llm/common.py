@@ -79,14 +79,15 @@ def materialize(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps, whose results now stand in written tables."""
-    gc.collect()
+    """Let Spark delete the shuffle files of finished steps, whose results now stand in written tables. What the driver's Python
+    has freed goes back to the machine."""
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 
 def small(df: DataFrame) -> DataFrame:
     """df, marked for broadcast if it has BROADCAST_ROWS rows at most; more are left to be joined by shuffling."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripspark.llm.common import labelled_sample, map_rows, slices, text_buffer
+from tripspark.llm.common import give_back, labelled_sample, map_rows, slices, text_buffer
 from tripspark.llm.hashing import SPACE, mix, prefix_sums, span_hashes, word_spans
 
 BUCKETS = 1 << 18
@@ -111,7 +111,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: fl
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            bucket = np.concatenate([rows[i][0] for i in pick])
+            bucket = np.concatenate([rows[i][0] for i in pick]).astype(np.int64)
             weight = np.concatenate([rows[i][1] for i in pick]).astype(np.float32)
             doc = np.repeat(np.arange(len(pick)), [len(rows[i][0]) for i in pick])
             each = table[bucket] * weight[:, None]
@@ -171,12 +171,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         return work
 
     found = map_rows(sample, make, "y int, bucket binary, weight binary").toArrow()
-    given = [(np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(w, np.float32)) for b, w in zip(found["bucket"].to_pylist(), found["weight"].to_pylist())]
+    given = [(np.frombuffer(b.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float32)) for b, w in zip(found["bucket"], found["weight"])]  # no copies
     order = sorted(range(len(given)), key=lambda i: (len(given[i][0]), given[i][0].tobytes()))  # whatever order the tasks ended in
     y = found["y"].to_numpy()
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))))
-    return fit([given[i] for i in order], y[order].astype(np.int64), prior)
+    model = fit([given[i] for i in order], y[order].astype(np.int64), prior)
+    del found, given
+    give_back()  # the driver lives on through the pipeline's other stages
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
