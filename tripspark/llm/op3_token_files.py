@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,28 +20,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripspark.llm.common import bound_batches, give_back, map_rows, new_path, resident, slices, tokenizer_path, whole_ids, with_key
-from tripspark.llm.prefix_bpe import Memo, splitter, unnamed
+from tripspark.llm.prefix_bpe import LONGEST, splitter, unnamed
 
 CHUNK = 8
 RANK_BITS = 512
 #: Tokens after which a block is closed; a document is never cut, so a longer one is a block of its own.
 BLOCK_TOKENS = 1 << 18
+#: Words that a generation of those learnt holds, about; two are kept (of rare words most come again only in other texts).
+WORDS = 250_000
 #: Columns of the files; ids are whole numbers, or text where they are of another type.
 BLOCK = "shard int, block int, first_id {id}, first_key long, n_tokens long, ids array<{id}>, ends array<long>, chunks array<binary>, flags array<binary>, ranks array<binary>"
 
 
 def pack(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
     """Chunks, bitmaps and rank directories, by level, of non-negative ids."""
-    chunks, flags, ranks, rest = [], [], [], ids.astype(np.uint64)
+    kind = np.uint32 if ids.dtype == np.uint32 else np.uint64
+    chunks, flags, ranks, rest = [], [], [], ids.astype(kind, copy=False)
     while len(rest) or not chunks:
-        chunks.append((rest & np.uint64(255)).astype(np.uint8).tobytes())
+        chunks.append((rest & kind(255)).astype(np.uint8).tobytes())
         more = rest > 255
         bits = np.packbits(more, bitorder="little")
         bits = np.concatenate((bits, np.zeros(-len(bits) % (RANK_BITS // 8), np.uint8)))
         ones = np.bitwise_count(bits).reshape(-1, RANK_BITS // 8).sum(1, dtype=np.uint32)
         flags.append(bits.tobytes())
         ranks.append((np.cumsum(ones, dtype=np.uint32) - ones).tobytes())
-        rest = rest[more] >> np.uint64(CHUNK)
+        rest = rest[more] >> kind(CHUNK)
     return chunks, flags, ranks
 
 
@@ -74,17 +77,34 @@ class Block:
 
     def tokens(self, start: int, end: int) -> np.ndarray:
         """Tokens start .. end - 1."""
-        out, at, a, b = np.zeros(end - start, np.uint32), np.arange(end - start), start, end
+        out, at, a, b = self.chunks[0][start:end].astype(np.uint32), np.zeros(0, np.int64), start, end
         for level in range(len(self.chunks)):
-            out[at] |= self.chunks[level][a:b].astype(np.uint32) << np.uint32(CHUNK * level)
-            more = np.unpackbits(self.flags[level][a // 8 : -(-b // 8)], bitorder="little")[a % 8 :][: b - a].astype(bool)
+            if level:
+                out[at] |= self.chunks[level][a:b].astype(np.uint32) << np.uint32(CHUNK * level)
+            more = np.unpackbits(self.flags[level][a // 8 : -(-b // 8)], bitorder="little")[a % 8 :][: b - a].view(bool)
             if not more.any():
                 break
-            at, a = at[more], self.ones_before(level, a)
+            at, a = at[more] if level else np.flatnonzero(more), self.ones_before(level, a)
             b = a + len(at)
         return out
 
 
+class _Learnt(dict):
+    """Words -> bytes, each learnt when it is first asked for. before: those of the generation before, looked at first."""
+
+    def __init__(self, learn: Callable[[str], bytes], before: dict[str, bytes]):
+        super().__init__()
+        self.learn, self.before = learn, before
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.before.get(word)
+        if value is None:
+            value = self.learn(word)
+        if len(word) <= LONGEST:
+            self[word] = value
+        return value
+
+
 class WordIds:
     """Texts -> their ids as bytes of uint32, by the library's model for each word that the tokenizer's own steps cut.
 
@@ -105,13 +125,13 @@ class WordIds:
         self.added = [x["content"] for x in said["added_tokens"]]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
-        self.sign = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.memo = Memo(self._learn)
+        self.sign = {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.model, self.memo = self.library.model, _Learnt(self._learn, {})
 
-    def _learn(self, words: list[str]) -> Iterator[bytes]:
-        for word in words:
-            tokens = self.library.model.tokenize("".join([self.sign[b] for b in word.encode()]))
-            yield array("I", [t.id for t in tokens]).tobytes()
+    def _learn(self, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(self.sign)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _words(self, text: str) -> list[str]:
         if not text.isascii():
@@ -119,11 +139,15 @@ class WordIds:
         return self.split(text.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [any(a in t for a in self.added) or unnamed(t) for t in texts]
-        rows = self.memo.joined([[] if own else self._words(t) for t, own in zip(texts, whole)])
-        for i, own in enumerate(whole):
-            if own:
-                rows[i] = array("I", self.library.encode(texts[i], add_special_tokens=False).ids).tobytes()
+        rows, of = [], self.memo.__getitem__
+        for text in texts:
+            if any(a in text for a in self.added) or unnamed(text):
+                rows.append(array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes())
+            else:
+                rows.append(b"".join(map(of, self._words(text))))
+        if len(self.memo) > WORDS:
+            self.memo.before = {}
+            self.memo = _Learnt(self._learn, self.memo)
         return rows
 
 
@@ -188,7 +212,7 @@ def read_blocks(spark: SparkSession, out: str) -> DataFrame:
 def read_documents(spark: SparkSession, out: str) -> DataFrame:
     """doc_id (long or string, as written), start, n_tokens (long), ids (binary: little-endian unsigned 32-bit integers) of every
     document under out."""
-    rows = read_blocks(spark, out).select("ids", "ends", "chunks", "flags", "ranks", "start")
+    rows = read_blocks(spark, out).select("ids", "ends", "n_tokens", "chunks", "flags", "ranks", "start")
     kind = rows.schema["ids"].dataType.elementType.simpleString()
     id_type = pa.string() if kind == "string" else pa.int64()
 
@@ -198,7 +222,8 @@ def read_documents(spark: SparkSession, out: str) -> DataFrame:
                 block = Block(row["chunks"], row["flags"], row["ranks"])
                 ends = np.array(row["ends"], np.int64)
                 starts = np.concatenate(([0], ends[:-1]))
-                ids = [block.tokens(a, b).astype("<u4").tobytes() for a, b in zip(starts, ends)]
+                every = block.tokens(0, row["n_tokens"]).astype("<u4").tobytes()
+                ids = [every[4 * a : 4 * b] for a, b in zip(starts.tolist(), row["ends"])]
                 own = pa.array([None if i == -(2**63) else i for i in row["ids"]], id_type)
                 yield pa.RecordBatch.from_arrays([own, pa.array(starts + row["start"]), pa.array(ends - starts), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
