@@ -54,7 +54,7 @@ def scan_outlines(trips: DataFrame, rings: DataFrame, places: DataFrame, cell: f
     held = _overlaps(p, _box(rings, ["area_id"]), [], cell)
     bare = p.join(held, "piece", "left_anti").select("piece.trip_id", *ENDS)
     known = places.filter(F.col("kind").isin(*KINDS) & F.col("lat").isNotNull() & F.col("lng").isNotNull()).withColumn("radius_km", fallback_radius_km(F.col("kind")))
-    near = crossed_cities(bare, known, PLACE_CELL_DEG).select("trip_id", F.lit("place").alias("via"), F.col("place_id").alias("city_id"))
+    near = crossed_cities(bare, known, trips).select("trip_id", F.lit("place").alias("via"), F.col("place_id").alias("city_id"))
     return inside.union(near).distinct()
 
 
@@ -72,7 +72,7 @@ def scan_towns(trips: DataFrame, places: DataFrame, rings: DataFrame, municipali
     own = rings.join(known.select("place_id"), "place_id", "left_semi").withColumnRenamed("place_id", "area_id")
     across = line_in_polygon(p.withColumnRenamed("piece", "trip_id"), own).select(F.col("trip_id").alias("piece"), F.col("area_id").alias("place_id"))
     points = known.filter("lat is not null and lng is not null").withColumn("radius_km", town_radius_km(F.col("population"), F.col("kind")))
-    near = crossed_cities(p.withColumnRenamed("piece", "trip_id"), points, PLACE_CELL_DEG).select(F.col("trip_id").alias("piece"), "place_id")
+    near = crossed_cities(p.withColumnRenamed("piece", "trip_id"), points).select(F.col("trip_id").alias("piece"), "place_id")
     met = across.union(near).distinct().join(known.select("place_id", plain(F.coalesce(F.when(F.trim("city") != "", F.col("city")), F.col("label"), F.lit(""))).alias("name_")), "place_id")
     area = municipalities.select("area_id", plain(F.coalesce("name", F.lit(""))).alias("m_name"), F.struct("region", "country_code", "country").alias("m"), *"snwe")
     area = area.join(met.select(F.col("name_").alias("m_name")).distinct(), "m_name", "left_semi")
