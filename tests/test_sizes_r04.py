@@ -43,6 +43,14 @@ def test_pairs_of_users_and_routes_are_not_dealt(spark, monkeypatch, few):
     assert rows[2, 9] == (0.0, 0.0, 0.0, True, True) and rows[3, 9] == (0.25, 0.25, 2.5, True, True)
 
 
+def test_users_are_spread_by_the_rows_made_of_them(spark):
+    """A few kilobytes of users become millions of rows: they must not be put together in one partition."""
+    specs = spark.range(3000).selectExpr("id as route_id", "false as is_long", "1.0D as min_km", "10.0D as total_km")
+    runs = spark.range(200).selectExpr("id as user_id", "id as route_id", "2.0D as km")
+    got = coverage.route_achievement(runs, specs).select("user_id", F.spark_partition_id().alias("part")).groupBy("part").agg(F.count_distinct("user_id").alias("n"), F.count("*").alias("rows")).collect()
+    assert sum(r["rows"] for r in got) == 600_000 and len([r for r in got if r["rows"] > 3000]) >= 20
+
+
 def test_medals_of_untouched_routes(spark, monkeypatch):
     runs, specs = routes_of(spark, monkeypatch, True)
     specs = specs.withColumns({"complete_percent": F.lit(None).cast("double"), "alternative_km": F.lit(None).cast("double"), "both": F.lit(True)})
